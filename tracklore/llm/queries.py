@@ -15,6 +15,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secrets import RULES, find_secrets
+
+    found = find_secrets(table(spark, sf_dir, "documents"))
+    count = lambda k: F.size(F.filter("secrets", lambda s: s["kind_no"] == k)).cast("long")
+    named = lambda spans: F.array_join(
+        F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ","
+    )
+    base = F.filter("secrets", lambda s: s["kind_no"] < len(RULES))
+    return found.select(
+        "doc_id",
+        *(count(k).alias(f"n_{rule.kind}") for k, rule in enumerate(RULES)),
+        F.sha2(named(base), 256).alias("base_sha256"),
+        named(F.col("secrets")).alias("spans"),
+    )
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -40,6 +57,19 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .minhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .superkmer import remove_repeats
+
+    removed = remove_repeats(table(spark, sf_dir, "documents"))
+    return removed.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -66,8 +96,11 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_secrets": op1_secrets,
         "op2_token_counts": op2_token_counts,
         "op3_byte_bpe": op3_byte_bpe,
+        "op5_minhash": op5_minhash,
+        "op7_substrings": op7_substrings,
         "op8_packing": op8_packing,
         "op9_quality": op9_quality,
     }
