@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: The largest input, in tokens, of the model that texts are counted for.
 TOKEN_LIMIT = 4096
+#: Components of the given embeddings.
+DIMENSIONS = 64
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,6 +65,12 @@ def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .capfilter import near_vectors
+
+    return near_vectors(table(spark, sf_dir, "embeddings"), DIMENSIONS)
+
+
 def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .superkmer import remove_repeats
 
@@ -94,15 +102,26 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .topk import top_k
+
+    vectors = table(spark, sf_dir, "embeddings")
+    sound = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    whole = F.when(sound, F.transform("embedding", lambda x: F.floor(F.lit(256.0) * x.cast("double")).cast("long")))
+    return top_k(vectors.withColumn("vector", whole), F.col("vec_id") % 50 == 0, 5, DIMENSIONS)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secrets": op1_secrets,
         "op2_token_counts": op2_token_counts,
         "op3_byte_bpe": op3_byte_bpe,
         "op5_minhash": op5_minhash,
+        "op6_embeddings": op6_embeddings,
         "op7_substrings": op7_substrings,
         "op8_packing": op8_packing,
         "op9_quality": op9_quality,
+        "op10_topk": op10_topk,
     }
 
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,6 +23,10 @@ def prepare(spark: SparkSession) -> SparkSession:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
     context = spark.sparkContext
+    if context.master.startswith("local["):
+        # Workers on this machine find the package wherever the driver was started; a cluster installs it.
+        paths = [str(Path(__file__).parents[2]), *filter(None, context.environment.get("PYTHONPATH", "").split(os.pathsep))]
+        context.environment["PYTHONPATH"] = os.pathsep.join(dict.fromkeys(paths))
     if spark.conf.get("spark.checkpoint.dir", None) is None and context.getCheckpointDir() is None:
         if not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
