@@ -10,8 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .graph import components
 from .runtime import cut, prepare
+from .stars import groups, in_shared_buckets
 from .textblocks import Block, blocks, combine, mix
 
 SHINGLE = 5
@@ -108,9 +108,9 @@ def _confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
-def _may_link(n: str, m: str) -> Column:
+def _may_link(x: str, y: str) -> Column:
     """Whether the sizes of two sets allow the similarity."""
-    return 100 * F.least(n, m) >= PERCENT * F.greatest(n, m)
+    return 100 * F.least(f"{x}.n", f"{y}.n") >= PERCENT * F.greatest(f"{x}.n", f"{y}.n")
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -137,31 +137,11 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     known = sketch.where("n > 0 and doc_id is not null")
     classes = cut(known.groupBy("mark").agg(F.min("doc_id").alias("doc_id")))
     firsts = known.join(classes.select("doc_id"), "doc_id", "left_semi")
-    members = firsts.dropDuplicates(["doc_id"]).select("doc_id", "n", F.explode("bands").alias("key"))
-    sizes = members.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    members = cut(members.join(sizes, "key"))
-    busy = members.groupBy("doc_id").agg(F.sum("size").alias("busy"))
-    centres = members.join(busy, "doc_id").groupBy("key").agg(
-        F.max(F.struct("busy", (-F.col("doc_id")).alias("least"), F.col("n").alias("m"))).alias("c")
-    )
-    centres = centres.select("key", (-F.col("c.least")).alias("a"), F.col("c.m").alias("m"))
-    star = members.join(centres, "key").where((F.col("doc_id") != F.col("a")) & _may_link("n", "m"))
-    star = cut(star.select("a", F.col("doc_id").alias("b")).distinct())
-    sets = cut(_sets(rows.join(busy.select("doc_id"), "doc_id", "left_semi")).dropDuplicates(["doc_id"]))
-    links = cut(_confirm(star, sets))
-    so_far = components(links)
-
-    placed = members.join(so_far.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    placed = cut(placed.select("key", "doc_id", "n", F.coalesce("component", "doc_id").alias("part")))
-    mixed = placed.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high")
-    left = placed.join(mixed.select("key"), "key")
-    right = left.select("key", F.col("doc_id").alias("other"), F.col("n").alias("m"), F.col("part").alias("other_part"))
-    rest = left.join(right, "key").where((F.col("part") < F.col("other_part")) & _may_link("n", "m"))
-    rest = rest.select(F.least("doc_id", "other").alias("a"), F.greatest("doc_id", "other").alias("b")).distinct()
-    tested = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = cut(_confirm(cut(rest.join(tested, ["a", "b"], "left_anti")), sets))
-    if more.head(1):
-        so_far = components(so_far.select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(more))
+    items = firsts.dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("id"), "n", F.explode("bands").alias("key"))
+    members = in_shared_buckets(items)
+    wanted = members.select(F.col("id").alias("doc_id")).distinct()
+    sets = cut(_sets(rows.join(wanted, "doc_id", "left_semi")).dropDuplicates(["doc_id"]))
+    so_far = groups(members, lambda pairs: _confirm(pairs, sets), _may_link, ["n"])
 
     named = sketch.join(classes.withColumnRenamed("doc_id", "first"), "mark", "left")
     named = named.join(so_far.select(F.col("node").alias("first"), "component"), "first", "left")

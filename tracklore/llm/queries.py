@@ -59,6 +59,13 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .linededup import dedup_lines
+
+    docs = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return docs.select("doc_id", "n_lines", "n_lines_removed", "text")
+
+
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .minhash import near_duplicates
 
@@ -116,6 +123,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_secrets": op1_secrets,
         "op2_token_counts": op2_token_counts,
         "op3_byte_bpe": op3_byte_bpe,
+        "op4_lines": op4_lines,
         "op5_minhash": op5_minhash,
         "op6_embeddings": op6_embeddings,
         "op7_substrings": op7_substrings,
