@@ -1 +1 @@
-
+"""Scalar functions: columns in, columns out."""

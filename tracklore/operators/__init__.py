@@ -1 +1 @@
-
+"""Operators over series, intervals and their measures: DataFrames in, DataFrames out."""
