@@ -87,7 +87,7 @@ def reading_order(spark, sf_dir):
 
 def box_padding(spark, sf_dir):
     out = G.padded("x", "y", "w", "h", 12, F.lit(300.0), F.lit(320.0))
-    return _boxes(spark, sf_dir).withColumn("area", F.col("w") * F.col("h") * (F.col("idx") + 1) / 12).where(G.plausible_blob("w", "w", "h", F.lit(100.0))).select("image", "idx", *out)
+    return _boxes(spark, sf_dir).withColumn("area", F.col("w") * F.col("h") * (F.col("idx") + 1) / 12).where(G.plausible_blob("area", "w", "h", F.lit(40000.0))).select("image", "idx", *out)
 
 
 def top_n_blobs(spark, sf_dir):
