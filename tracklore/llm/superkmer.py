@@ -90,7 +90,11 @@ def hot_minimisers(rows: DataFrame) -> list[int]:
 
 
 def super_kmers(rows: DataFrame, chosen: list[int], inside: bool) -> DataFrame:
-    """Super-k-mers whose minimiser is (``inside``) or is not among ``chosen``."""
+    """Super-k-mers whose minimiser is (``inside``) or is not among ``chosen``.
+
+    ``bucket`` is half of the minimiser: buckets may share it, which costs nothing, as windows are
+    told apart by their own hashes.
+    """
     shared = rows.sparkSession.sparkContext.broadcast(np.sort(np.array(chosen, np.int64)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,11 +105,14 @@ def super_kmers(rows: DataFrame, chosen: list[int], inside: bool) -> DataFrame:
                 some = keep[at : at + 20_000]
                 packed, mark = kmers.pack(some)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(kmers.minimiser[some]), ids.take(pa.array(kmers.text[some])), pa.array(kmers.place[some]), pa.array(mark), pa.array(packed, pa.binary())],
-                    ["minimiser", "doc_id", "place", "mark", "packed"],
+                    [
+                        pa.array((kmers.minimiser[some] >> 32).astype(np.int32)), ids.take(pa.array(kmers.text[some])), pa.array(kmers.place[some]),
+                        pa.array(mark), pa.array(kmers.last[some] - kmers.first[some] - WINDOW + 1), pa.array(packed, pa.binary()),
+                    ],
+                    ["bucket", "doc_id", "place", "mark", "windows", "packed"],
                 )
 
-    return rows.mapInArrow(run, "minimiser long, doc_id long, place long, mark long, packed binary")
+    return rows.mapInArrow(run, "bucket int, doc_id long, place long, mark long, windows long, packed binary")
 
 
 def _windows(packed: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -141,28 +148,29 @@ def _repeats_in_buckets(kmers: DataFrame) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            minimiser, doc, place = (batch.column(i).to_numpy() for i in range(3))
+            bucket, doc, place = (batch.column(i).to_numpy() for i in range(3))
             row, number, hashes = _windows(batch.column(3))
             at = place[row] + number
-            old = len(seen[0]) if minimiser[0] == last else 0
+            old = len(seen[0]) if bucket[0] == last else 0
             h = np.concatenate([seen[0][:old], hashes])
             d, p = np.concatenate([seen[1][:old], doc[row]]), np.concatenate([seen[2][:old], at])
             distinct, first, inverse = np.unique(h, return_index=True, return_inverse=True)
             again = ((d[first[inverse]] != d) | (p[first[inverse]] != p))[old:]
             yield _runs(doc, row, at, again)
-            last = minimiser[-1]
-            mine = first[(first >= old) & (minimiser[row[np.maximum(first - old, 0)]] == last)]
-            if minimiser[0] == last:
+            last = bucket[-1]
+            mine = first[(first >= old) & (bucket[row[np.maximum(first - old, 0)]] == last)]
+            if bucket[0] == last:
                 mine = np.concatenate([np.arange(old), mine])
             seen = [h[mine], d[mine], p[mine]]
 
-    sorted_rows = kmers.repartition("minimiser").sortWithinPartitions("minimiser", "doc_id", "place")
-    return sorted_rows.select("minimiser", "doc_id", "place", "packed").mapInArrow(run, "doc_id long, low long, high long")
+    dealt = kmers.select("bucket", "doc_id", "place", "packed").repartition("bucket")
+    return dealt.sortWithinPartitions("bucket", "doc_id", "place").mapInArrow(run, "doc_id long, low long, high long")
 
 
 def _repeats_of_hot(kmers: DataFrame) -> DataFrame:
     """The same for minimisers with very many super-k-mers: equal strings are counted once, before
-    the shuffle; their windows then meet by their own hashes, and the firsts go back to each string."""
+    the shuffle; their distinct windows then meet by their own hashes, and the firsts go back to
+    each string. A window that its string holds before is repeated anyway."""
     strings = kmers.groupBy("mark", "packed").agg(F.min(F.struct("doc_id", "place")).alias("f"))
     strings = strings.select("mark", "packed", "f.doc_id", "f.place")
 
@@ -170,6 +178,12 @@ def _repeats_of_hot(kmers: DataFrame) -> DataFrame:
         for batch in batches:
             if batch.num_rows:
                 row, number, hashes = _windows(batch.column(1))
+                # In each string, the first of equal windows: rows and numbers ascend.
+                order = np.lexsort((hashes, row))
+                new = np.ones(len(order), bool)
+                new[1:] = (row[order[1:]] != row[order[:-1]]) | (hashes[order[1:]] != hashes[order[:-1]])
+                first = order[new]
+                row, number, hashes = row[first], number[first], hashes[first]
                 mark, doc, place = (batch.column(i).to_numpy()[row] for i in (0, 2, 3))
                 columns = [mark, number, hashes.view(np.int64), doc, place + number]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["mark", "number", "hash", "doc_id", "place"])
@@ -182,15 +196,18 @@ def _repeats_of_hot(kmers: DataFrame) -> DataFrame:
 
     def mark_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            doc, place, firsts = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2)
-            row = np.repeat(np.arange(len(doc)), np.diff(firsts.offsets.to_numpy()))
+            doc, place, windows = (batch.column(i).to_numpy() for i in range(3))
+            firsts = batch.column(3)
+            begin = np.cumsum(windows) - windows
+            row = np.repeat(np.arange(len(doc)), windows)
+            at = place[row] + np.arange(len(row)) - begin[row]
+            again = np.ones(len(row), bool)
+            owner = np.repeat(np.arange(len(doc)), np.diff(firsts.offsets.to_numpy()))
             number, fd, fp = (firsts.flatten().field(i).to_numpy() for i in range(3))
-            order = np.lexsort((number, row))
-            number, fd, fp = number[order], fd[order], fp[order]
-            at = place[row] + number
-            yield _runs(doc, row, at, (fd != doc[row]) | (fp != at))
+            again[begin[owner] + number] = (fd != doc[owner]) | (fp != place[owner] + number)
+            yield _runs(doc, row, at, again)
 
-    marked = kmers.select("doc_id", "place", "mark").join(known, "mark").select("doc_id", "place", "firsts")
+    marked = kmers.select("doc_id", "place", "windows", "mark").join(known, "mark").select("doc_id", "place", "windows", "firsts")
     return marked.mapInArrow(mark_runs, "doc_id long, low long, high long")
 
 
