@@ -166,7 +166,7 @@ def near_vectors(
     Vectors link at a cosine of COSINE or more, computed in double precision; ``n_links`` counts
     the other vectors that link directly, ``component_id`` is the smallest id reachable. Equal
     vectors are compared once, whatever their number. Candidates share a filter: a pair at the
-    threshold shares about 14 of 24 on average, and has a recall above 0.99 (tested). Filters with many
+    threshold, in random directions, shares one with a chance of 0.985 (tested above 0.97), nearer ones with more. Filters with many
     members are compared chunk by chunk, so no task holds more than two chunks.
 
     Defined cases: vectors that are null, zero, of another length than ``dim``, or hold null or
