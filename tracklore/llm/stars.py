@@ -23,7 +23,23 @@ def in_shared_buckets(items: DataFrame) -> DataFrame:
     return cut(items.join(sizes, "key"))
 
 
-def groups(members: DataFrame, confirm: Confirm, may_link: MayLink, traits: list[str]) -> DataFrame:
+def pairs_and_crowds(items: DataFrame, may_link: MayLink, traits: list[str], crowd: int = 8) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) from buckets of at most ``crowd`` items, and the items in larger ones, as ``groups`` takes them.
+
+    For keys that many unlike items share by chance: small buckets are compared whole, at most
+    crowd * (crowd - 1) / 2 pairs each, and only pairs that may link are written.
+    """
+    crowded = cut(items.groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") > crowd))
+    x = items.join(crowded, "key", "left_anti").select("key", F.struct("id", *traits).alias("x"))
+    near = x.join(x.withColumnRenamed("x", "y"), "key").where((F.col("x.id") < F.col("y.id")) & may_link("x", "y"))
+    near = near.select(F.col("x.id").alias("id"), F.col("y.id").alias("other"))
+    many = items.join(crowded, "key")
+    found = cut(near.unionByName(many, allowMissingColumns=True))
+    pairs = found.where("other is not null").select(F.col("id").alias("a"), F.col("other").alias("b")).distinct()
+    return pairs, found.where("other is null").select("key", "id", "size", *traits)
+
+
+def groups(members: DataFrame, confirm: Confirm, may_link: MayLink, traits: list[str], more_pairs: DataFrame | None = None) -> DataFrame:
     """``node`` and ``component`` of items that link.
 
     ``members`` has key, id, size and ``traits``; ``may_link(x, y)`` rules out pairs by traits,
@@ -31,6 +47,7 @@ def groups(members: DataFrame, confirm: Confirm, may_link: MayLink, traits: list
     First each bucket's members are paired with its centre, the member whose buckets are the
     fullest, which is the likeliest original of a group of copies. Then, in buckets whose
     members are still in different components, all pairs across components are tested.
+    ``more_pairs`` are tested with the first.
     """
     x, y = (F.struct("id", *traits).alias(name) for name in "xy")
     busy = members.groupBy("id").agg(F.sum("size").alias("busy"))
@@ -39,7 +56,8 @@ def groups(members: DataFrame, confirm: Confirm, may_link: MayLink, traits: list
     known = members.select("id", *traits).dropDuplicates(["id"])
     lead = lead.join(known.withColumnRenamed("id", "lead"), "lead").select("key", F.struct(F.col("lead").alias("id"), *traits).alias("y"))
     star = members.select("key", x).join(lead, "key").where((F.col("x.id") != F.col("y.id")) & may_link("x", "y"))
-    star = cut(_ordered(star))
+    star = _ordered(star)
+    star = cut(star if more_pairs is None else star.unionByName(more_pairs).distinct())
     found = components(cut(confirm(star)))
 
     placed = members.join(found.withColumnRenamed("node", "id"), "id", "left")
