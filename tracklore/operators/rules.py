@@ -64,7 +64,7 @@ def _copulation(p: dict) -> Column:
     return (F.col("c2c_mm") < p["cop_distance_mm"]) & (F.col("vel_mm_s") < p["cop_velocity_mm_s"]) & (F.col("c2c_std") < p["cop_stability_mm"])
 
 
-@rule("Attempted", "att_cop_min_dur_s", 2)
+@rule("Attempted_Copulation", "att_cop_min_dur_s", 2)
 def _attempted(p: dict) -> Column:
     return (F.col("n2e_mm") < p["att_cop_nose_dist_mm"]) & (F.col("vel_mm_s") > p["att_cop_velocity_mm_s"])
 

@@ -12,14 +12,15 @@ from ..streaming.online import session_bouts, window_totals
 from .base import SERIES, merged_sql, runs_sql, series, table
 
 KEY = ["user_id"]
-HIGH, LOW = F.col("value") > 40, F.col("value") > 30
+#: Conditions of a hit, as SQL: columns need a session, which an import does not have.
+HIGH, LOW = "value > 40", "value > 30"
 #: Event types as behaviours in order of priority; errors have none.
 RANKS = {"purchase": 1, "signup": 2, "click": 3, "view": 4}
 _RANK_SQL = "CASE event_type WHEN 'purchase' THEN 1 WHEN 'signup' THEN 2 WHEN 'click' THEN 3 WHEN 'view' THEN 4 END"
 
 
 def _bouts(spark, sf_dir):
-    return B.from_scores(series(spark, sf_dir), KEY, HIGH, 2, 3)
+    return B.from_scores(series(spark, sf_dir), KEY, F.expr(HIGH), 2, 3)
 
 
 _BOUTS = f"""{SERIES}, {runs_sql("s", "user_id", "value > 40", "r")},
@@ -34,11 +35,11 @@ def bout_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bouts_islands(spark, sf_dir):
-    return B.runs(series(spark, sf_dir), KEY, HIGH)
+    return B.runs(series(spark, sf_dir), KEY, F.expr(HIGH))
 
 
 def bouts_min_len(spark, sf_dir):
-    return B.from_scores(series(spark, sf_dir), KEY, LOW, 3, 0)
+    return B.from_scores(series(spark, sf_dir), KEY, F.expr(LOW), 3, 0)
 
 
 def bouts_merge_gap(spark, sf_dir):
@@ -79,8 +80,8 @@ def unified_union(spark, sf_dir):
 def _sides(spark, sf_dir):
     """Two sets of spans: of values over 40 and over 30, as predicted and annotated."""
     s = series(spark, sf_dir).repartition("user_id")
-    p = B.from_scores(s, KEY, HIGH, 1, 3).select("user_id", F.col("start").alias("i"), F.col("start").alias("s"), (F.col("end") + 1).alias("e"))
-    r = B.from_scores(s, KEY, LOW, 1, 2).select("user_id", F.col("start").alias("j"), F.col("start").alias("rs"), (F.col("end") + 1).alias("re"))
+    p = B.from_scores(s, KEY, F.expr(HIGH), 1, 3).select("user_id", F.col("start").alias("i"), F.col("start").alias("s"), (F.col("end") + 1).alias("e"))
+    r = B.from_scores(s, KEY, F.expr(LOW), 1, 2).select("user_id", F.col("start").alias("j"), F.col("start").alias("rs"), (F.col("end") + 1).alias("re"))
     return p, r
 
 
@@ -130,7 +131,7 @@ def frame_confusion(spark, sf_dir):
 def interval_confusion(spark, sf_dir):
     s = series(spark, sf_dir)
     totals = s.groupBy("user_id").agg(F.count("*").alias("n"))
-    return M.interval_confusion(B.runs(s, KEY, HIGH), B.runs(s, KEY, F.col("event_type").isin("click", "view")), totals, KEY, "n")
+    return M.interval_confusion(B.runs(s, KEY, F.expr(HIGH)), B.runs(s, KEY, F.col("event_type").isin("click", "view")), totals, KEY, "n")
 
 
 def mean_f1(spark, sf_dir):
