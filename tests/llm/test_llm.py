@@ -331,6 +331,47 @@ def test_block_keys_miss_no_close_simhash(spark):
     assert df.where(shared).count() == len(rows)
 
 
+def edits_of(x, y):
+    """Edit distance of two lists."""
+    row = list(range(len(y) + 1))
+    for i, a in enumerate(x, 1):
+        last, row[0] = row[0], i
+        for j, b in enumerate(y, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (a != b))
+    return row[-1]
+
+
+def edited(rng, line, n, spread):
+    """The line after ``n`` edits at random, or of every fifth word."""
+    line = list(line)
+    for k in range(n):
+        at = (4 + 5 * k) % len(line) if spread else rng.randrange(len(line))
+        kind = 0 if spread else rng.randrange(3)
+        line[at : at + (kind != 1)] = [] if kind == 2 else [f"new{rng.randrange(10**6)}"]
+    return line
+
+
+def test_lines_link_by_the_edit_rule(spark):
+    """Against a brute-force edit join, by length: none missed up to 28 words; above, at the most edits, few."""
+    rng = random.Random(12)
+    lines, pairs = [], []
+    for n in [5, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15, 16, 19, 20, 24, 27, 40, 60]:
+        for k in range(12):
+            base = [f"v{rng.randrange(400)}" for _ in range(n)]
+            most = max(n // 5, 1)
+            other = edited(rng, base, (1, most, most)[k % 3], k % 3 == 2)
+            pairs.append((len(lines), len(lines) + 1))
+            lines += [base, other]
+    want = {(a, b) for a, b in itertools.combinations(range(len(lines)), 2) if 5 * abs(len(lines[a]) - len(lines[b])) <= max(len(lines[a]), len(lines[b])) and min(len(lines[a]), len(lines[b])) >= 5 and 5 * edits_of(lines[a], lines[b]) <= max(len(lines[a]), len(lines[b]))}
+    assert len(want & set(pairs)) > 150
+    df = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(lines)], "doc_id long, text string")
+    gone = {r.doc_id for r in linededup.dedup_lines(df).where("n_lines_removed > 0").collect()}
+    assert gone <= {b for _, b in want}
+    missed = [(a, b) for a, b in want if b not in gone]
+    assert not [x for x in missed if max(len(lines[k]) for k in x) <= 28]
+    assert len(missed) <= 0.02 * len(want)
+
+
 def test_components(spark):
     rng = random.Random(6)
     links = [(i, i + 1) for i in range(40)] + [(rng.randrange(100, 160), rng.randrange(100, 160)) for _ in range(35)] + [(7, 7), (None, 3)]
