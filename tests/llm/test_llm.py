@@ -372,6 +372,25 @@ def test_lines_link_by_the_edit_rule(spark):
     assert len(missed) <= 0.02 * len(want)
 
 
+def test_short_lines(spark):
+    chinese = "今天天气很好我们一起去公园散步然后回家吃晚饭看电视"
+    texts = ["Home\nMenu | About\n\n", "home!\nUnlike\n\n\n---", f"{chinese}。\nMenu, about", f"{chinese.replace('晚', '午')}\nMenu about us", "---"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = by_id(linededup.dedup_lines(df, short_lines=True))
+    assert [got[d].text for d in range(5)] == [texts[0], "Unlike\n\n\n---", f"{chinese}。", "Menu about us", "---"]
+    assert [r.n_lines_removed for r in linededup.dedup_lines(df).orderBy("doc_id").collect()] == [0] * 5
+
+
+def test_queries_remove_short_lines(spark, tmp_path):
+    import corpus_pipeline
+    from tracklore.llm import queries
+
+    df = spark.createDataFrame([(1, "Home\nOne"), (2, "HOME\nTwo")], "doc_id long, text string")
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    for out in (queries.op4_lines(spark, str(tmp_path)), corpus_pipeline.drop_lines(spark, df, str(tmp_path))):
+        assert {d: r.text for d, r in by_id(out).items()} == {1: "Home\nOne", 2: "Two"}
+
+
 def test_components(spark):
     rng = random.Random(6)
     links = [(i, i + 1) for i in range(40)] + [(rng.randrange(100, 160), rng.randrange(100, 160)) for _ in range(35)] + [(7, 7), (None, 3)]

@@ -62,7 +62,7 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .linededup import dedup_lines
 
-    docs = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    docs = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), short_lines=True)
     return docs.select("doc_id", "n_lines", "n_lines_removed", "text")
 
 
