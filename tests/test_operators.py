@@ -202,3 +202,15 @@ def test_online_bouts(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert sorted((r.start, r.end) for r in spark.table("bouts_found").collect()) == [(0, 4), (9, 11)]
+
+
+def test_background_is_the_upper_median_without_arrays(spark):
+    from tracklore.operators import image
+
+    values = {1: [5.0, 1.0, 5.0, 2.0], 2: [3.0], 3: [None, None], 4: [2.0, None, 9.0], 5: [4.0, 4.0, 1.0], 6: [float("nan"), 1.0, 2.0, 1.0]}
+    df = spark.createDataFrame([(k, v) for k, x in values.items() for v in x], "p int, v double")
+    out = image.background(df, ["p"], "v")
+    known = {k: sorted(v for v in x if v is not None) for k, x in values.items() if k < 6}
+    got = {r.p: r.background for r in out.collect()}
+    assert {k: got[k] for k in known} == {k: x[len(x) // 2] if x else None for k, x in known.items()} and got[6] == 2.0
+    assert "collect_list" not in out._jdf.queryExecution().toString()

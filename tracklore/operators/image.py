@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import PI
-from .grid import upper_median
 from .series import SO_FAR
 
 
@@ -27,8 +26,14 @@ def otsu(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
 
 
 def background(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """Upper median over time of each pixel (keys), of frames sampled before."""
-    return df.groupBy(*keys).agg(upper_median(F.collect_list(value)).alias("background"))
+    """Upper median over time of each pixel (keys), of frames sampled before.
+
+    From the histogram, as in ``otsu``: the first value that more than half of the values reach.
+    """
+    counts = df.groupBy(*keys, F.col(value).alias("v")).agg(F.count(value).alias("n"))
+    whole, so_far = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy("v").rowsBetween(*SO_FAR)
+    counts = counts.withColumns({"all": F.sum("n").over(whole), "so_far": F.sum("n").over(so_far)})
+    return counts.groupBy(*keys).agg(F.min(F.when(F.col("so_far") > F.floor(F.col("all") / 2), F.col("v"))).alias("background"))
 
 
 def opened(mask: DataFrame, keys: Sequence[str], radius: int = 1) -> DataFrame:
