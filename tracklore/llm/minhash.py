@@ -73,7 +73,7 @@ def _sketch(docs: DataFrame) -> DataFrame:
                 size, mark, bands = [], [], []
                 for found in shingle_sets(block):
                     size.append(len(found))
-                    mark.append(blake2b(found.tobytes(), digest_size=16).digest() if len(found) else None)
+                    mark.append(_mark(found) if len(found) else None)
                     bands.append(band_keys(found) if len(found) else np.zeros(0, np.int64))
                 ends = np.concatenate([[0], np.cumsum([len(b) for b in bands])]).astype(np.int32)
                 keys = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(bands)))
@@ -83,20 +83,25 @@ def _sketch(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n long, mark binary, bands array<long>")
 
 
+def _mark(found: np.ndarray) -> bytes:
+    return blake2b(found.tobytes(), digest_size=16).digest()
+
+
 def _sets(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start, stop, block in blocks(batch.column(1)):
-                raw = pa.array([found.tobytes() for found in shingle_sets(block)], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, stop - start), raw], ["doc_id", "shingles"])
+            for _, _, block in blocks(batch.column(0)):
+                found = list(shingle_sets(block))
+                columns = [pa.array([_mark(x) for x in found], pa.binary()), pa.array([x.tobytes() for x in found], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["mark", "shingles"])
 
-    return docs.mapInArrow(run, "doc_id long, shingles binary")
+    return docs.select("text").mapInArrow(run, "mark binary, shingles binary")
 
 
 def _both(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """``pairs`` (a, b, ..) with both sets, x of a and y of b; a skewed a is split by the join."""
-    left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x"))
-    right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y"))
+    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
+    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
     return pairs.join(right, "b").join(left, "a")
 
 
@@ -185,11 +190,10 @@ def _compare_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         if held:
             yield pa.Table.from_batches(held)
 
-    out: list[np.ndarray] = []
     for group in groups():
-        out += _chunk_links(group.combine_chunks())
-    pairs = np.array(out, np.int64).reshape(-1, 2)
-    yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+        if found := _chunk_links(group.combine_chunks()):
+            pairs = np.array(found, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
 
 def _chunk_links(group: pa.Table) -> list[tuple[int, int]]:
@@ -232,27 +236,31 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     outside space and 09-0D); documents link where 100 * intersection >= 75 * union, and a
     component's id is its smallest doc_id, which is kept. Candidates share a band of a
     one-permutation signature with optimal densification (32 bands of 4 bins: a pair at 0.75 is
-    missed with a chance of 5e-6); all links are confirmed on full sets.
+    missed with a chance of 5e-6); all links are confirmed on full sets, whose shingles are
+    64-bit hashes (two of a pair's n shingles collide with a chance of n ** 2 / 2 ** 65).
 
-    Pairs stay bounded: documents with equal sets count as one from the start, and each bucket's
-    members are paired with one centre, the member that shares most buckets with others. Members
-    that this leaves outside their centre's component are then compared with all its members, in
-    chunks (see ``_far_from_centre``), so that no candidate pair across components goes untested.
+    Pairs stay bounded: equal sets count as one from the start, and each bucket's members are
+    paired with one centre, the member that shares most buckets with others. Members that this
+    leaves outside their centre's component are then compared with all its members, in chunks
+    (see ``_far_from_centre``), so that no candidate pair across components goes untested.
 
     Defined cases: null or wordless texts have an empty set and link with nothing; a null id
-    links with nothing, has a null component and is kept; repeated rows each get a row; an empty
-    table gives an empty result; long texts count whole; other columns are ignored.
+    links with nothing, has a null component and is kept; repeated rows each get a row; rows that
+    share an id are one document in links, which any of their texts may give, and each has its
+    own text's ``n_shingles``; an empty table gives an empty result; long texts count whole;
+    other columns are ignored.
     """
     prepare(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     sketch = cut(_sketch(rows))
     known = sketch.where("n > 0 and doc_id is not null")
-    classes = cut(known.groupBy("mark").agg(F.min("doc_id").alias("doc_id")))
-    firsts = known.join(classes.select("doc_id"), "doc_id", "left_semi")
-    items = firsts.dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("id"), "n", F.explode("bands").alias("key"))
-    members = in_shared_buckets(items)
-    wanted = members.select(F.col("id").alias("doc_id")).distinct()
-    sets = cut(_sets(rows.join(wanted, "doc_id", "left_semi")).dropDuplicates(["doc_id"]))
+    # A node is a set; numbers are given once, as the checkpoint keeps them.
+    nodes = known.groupBy("mark").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    nodes = cut(nodes.withColumn("node", F.monotonically_increasing_id()))
+    members = in_shared_buckets(nodes.select(F.col("node").alias("id"), "n", F.explode("bands").alias("key")))
+    wanted = nodes.join(members.select(F.col("id").alias("node")).distinct(), "node", "left_semi").select("node", "mark", "doc_id")
+    texts = rows.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
+    sets = cut(_sets(texts).join(wanted.select("mark", "node"), "mark").dropDuplicates(["node"]).select("node", "shingles"))
     busy = members.groupBy("id").agg(F.sum("size").alias("busy"))
     lead = members.join(busy, "id").groupBy("key").agg(F.max(F.struct("busy", "id")).getField("id").alias("a"))
     star = members.join(lead, "key").where("id != a").select("a", F.col("id").alias("b")).distinct()
@@ -260,11 +268,18 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     links = cut(_confirm(star, sets))
     so_far = components(links)
     more = cut(_far_from_centre(star, so_far, sets))
+    # Sets of one document are tied as well.
+    of_document = known.join(nodes.select("mark", "node"), "mark").select("doc_id", "mark", "node")
+    twins = of_document.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("last")).where("a < last")
+    twins = cut(of_document.join(twins, "doc_id").where("node > a").select("a", F.col("node").alias("b")).distinct())
+    more = more.unionByName(twins)
     if more.head(1):
         so_far = components(so_far.select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(more))
 
-    named = sketch.join(classes.withColumnRenamed("doc_id", "first"), "mark", "left")
-    named = named.join(so_far.select(F.col("node").alias("first"), "component"), "first", "left")
-    whole = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "first", "doc_id"))
-    named = named.select("doc_id", F.col("n").alias("n_shingles"), whole.alias("component_id"))
-    return named.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    named = nodes.select("mark", "node", "doc_id").join(so_far, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    named = named.join(least, "component").select("mark", "component_id")
+    out = sketch.select("doc_id", "n", "mark").join(named, "mark", "left")
+    whole = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
+    out = out.select("doc_id", F.col("n").alias("n_shingles"), whole.alias("component_id"))
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

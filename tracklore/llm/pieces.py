@@ -14,7 +14,7 @@ from itertools import chain
 
 import numpy as np
 
-from .textblocks import SPACE, Block, slice_hashes
+from .textblocks import SPACE, Block, equal_slices, slice_hashes
 
 #: Lead bytes of all white space outside ASCII, and of U+2581, which SentencePiece takes for a space.
 _LEAD = np.zeros(256, bool)
@@ -43,11 +43,11 @@ def safe_cuts(block: Block) -> tuple[np.ndarray, np.ndarray]:
 class PieceEncoder:
     """Ids of pieces from ``encode(pieces, begins)``, remembered for a bounded number of distinct pieces.
 
-    Pieces are told apart by a 64-bit hash, in an open-addressing table that numpy probes for all
-    pieces of a block at once.
+    Pieces are looked up by a 64-bit hash, in an open-addressing table that numpy probes for all
+    pieces of a block at once; each hit counts only if its bytes are those of the piece kept there.
     """
 
-    def __init__(self, encode: Callable[[list[str], list[bool]], Iterable[list[int]]], most: int = 400_000):
+    def __init__(self, encode: Callable[[list[str], list[bool]], Iterable[list[int]]], most: int = 1_500_000):
         self._encode, self._most = encode, most
         self._slots = 1 << (2 * most).bit_length()
         self._clear()
@@ -59,6 +59,10 @@ class PieceEncoder:
         self._size = np.zeros(1 << 19, np.int32)
         self._from = np.zeros(1 << 19, np.int64)
         self._rows = self._used = 0
+        #: Bytes of the kept pieces, and where each row's begin and how many there are.
+        self._bytes = np.zeros(1 << 20, np.uint8)
+        self._byte_from, self._byte_size = np.zeros(1 << 19, np.int64), np.zeros(1 << 19, np.int64)
+        self._byte_used = 0
 
     def _find(self, marks: np.ndarray) -> np.ndarray:
         """Table row of each mark, or -1."""
@@ -90,11 +94,21 @@ class PieceEncoder:
         while self._used + len(flat) > len(self._flat):
             self._flat = np.concatenate([self._flat, np.zeros_like(self._flat)])
         while self._rows + len(got) > len(self._size):
-            self._size, self._from = (np.concatenate([x, np.zeros_like(x)]) for x in (self._size, self._from))
+            for name in ("_size", "_from", "_byte_from", "_byte_size"):
+                x = getattr(self, name)
+                setattr(self, name, np.concatenate([x, np.zeros_like(x)]))
+        raw = np.frombuffer(b"".join(keys), np.uint8)
+        while self._byte_used + len(raw) + 8 > len(self._bytes):
+            self._bytes = np.concatenate([self._bytes, np.zeros_like(self._bytes)])
+        self._bytes[self._byte_used : self._byte_used + len(raw)] = raw
         self._flat[self._used : self._used + len(flat)] = flat
         at = slice(self._rows, self._rows + len(got))
         self._size[at] = size
         self._from[at] = self._used + np.cumsum(size) - size
+        n_bytes = np.fromiter(map(len, keys), np.int64, len(keys))
+        self._byte_size[at] = n_bytes
+        self._byte_from[at] = self._byte_used + np.cumsum(n_bytes) - n_bytes
+        self._byte_used += len(raw)
         self._used += len(flat)
         self._rows += len(got)
 
@@ -111,12 +125,20 @@ class PieceEncoder:
         mark[begins] ^= _HEAD
         mark[mark == 0] = 1
         rows = self._find(mark)
+        raw = None
         if (miss := np.flatnonzero(rows < 0)).size:
             new, at = np.unique(mark[miss], return_index=True)
             at, base, raw = miss[at], self._rows, block.data.tobytes()
             self._learn([raw[s:e] for s, e in zip(cut[at].tolist(), end[at].tolist(), strict=True)], begins[at].tolist())
             self._add(new, np.arange(base, self._rows))
             rows[miss] = self._find(mark[miss])
+        size = end - cut
+        same = self._byte_size[rows] == size
+        same[same] = equal_slices(block.data, cut[same], self._bytes, self._byte_from[rows[same]], size[same])
+        if (unlike := np.flatnonzero(~same)).size:  # pieces that share a hash with another: encoded for themselves
+            raw, base = raw or block.data.tobytes(), self._rows
+            self._learn([raw[s:e] for s, e in zip(cut[unlike].tolist(), end[unlike].tolist(), strict=True)], begins[unlike].tolist())
+            rows[unlike] = np.arange(base, self._rows)
         return rows, cut
 
     def lengths(self, block: Block) -> np.ndarray:

@@ -1,40 +1,34 @@
 """Words and hashes of many UTF-8 texts at once, over the bytes of an Arrow column.
 
-A slice's hash is a polynomial in random 64-bit byte values, modulo 2**64, found for any slice
-from running sums; a finaliser mixes it. Words are runs of bytes outside space and 09-0D.
+A slice's hash chains a mixer over its 8-byte lanes, its length first, so that no algebra of
+repeated parts (as in polynomials modulo 2**64) makes unlike slices equal; slices beyond
+``LANES`` lanes take BLAKE2. ``equal_slices`` compares bytes. Words are runs of bytes outside
+space and 09-0D.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 _RNG = np.random.default_rng(20240229)
-#: Random odd value of each byte; A-Z and a-z may share theirs (``fold``).
-_BYTE = _RNG.integers(1, 2**64, 256, dtype=np.uint64) | np.uint64(1)
-_BASE = int(_RNG.integers(1, 2**61, dtype=np.uint64)) * 8 + 3
 _ODD = _RNG.integers(1, 2**64, 64, dtype=np.uint64) | np.uint64(1)
-_MOST = 1 << 20
+#: Starting values of the independent hashes that ``slice_hashes`` can give.
+_SEEDS = _RNG.integers(1, 2**64, 4, dtype=np.uint64)
+#: Lanes of 8 bytes that are hashed together for all slices; longer slices one by one.
+LANES = 32
+#: Of a lane, its first k bytes.
+_FIRST = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.ones(n, np.uint64)
-    if n > 1:
-        np.cumprod(np.full(n - 1, base % 2**64, np.uint64), out=out[1:])
-    return out
-
-
-_UP = _powers(_BASE, _MOST + 1)
-_DOWN = _powers(pow(_BASE, -1, 2**64), _MOST + 1)
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser of 64-bit values."""
     x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
@@ -42,19 +36,45 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def _inverse(exponents: np.ndarray) -> np.ndarray:
-    """Inverse powers of the base for any exponents."""
-    low, high = exponents % _MOST, exponents // _MOST
-    return _DOWN[low] * _powers(int(_DOWN[_MOST]), int(high.max(initial=0)) + 1)[high]
+def lanes_of(data: np.ndarray) -> np.ndarray:
+    """The 8 bytes from each place on as one number; zeros follow the end."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
 
 
-def slice_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+def slice_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
     """Hash of data[start:end] for each pair, equal for equal bytes wherever they stand."""
-    n = len(data)
-    up = _UP[:n] if n <= _MOST else _powers(_BASE, n)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(_BYTE[data] * up, out=sums[1:])
-    return mix((sums[end] - sums[start]) * _inverse(start) + (end - start).astype(np.uint64))
+    lanes, size = lanes_of(data), end - start
+    out = mix(size.astype(np.uint64) ^ _SEEDS[seed])
+    at = np.arange(len(size))
+    for k in range(LANES):
+        if not (at := at[size[at] > 8 * k] if k else at[size > 0]).size:
+            return out
+        lane = lanes[start[at] + 8 * k] & _FIRST[np.minimum(size[at] - 8 * k, 8)]
+        out[at] = mix(out[at] ^ lane)
+    for i in at[size[at] > 8 * LANES].tolist():
+        raw = blake2b(data[start[i] : end[i]].tobytes(), digest_size=8, key=bytes([seed])).digest()
+        out[i] = int.from_bytes(raw, "little")
+    return out
+
+
+def equal_slices(x: np.ndarray, x_start: np.ndarray, y: np.ndarray, y_start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether ``size`` bytes of x from x_start are those of y from y_start, for each triple.
+
+    8 bytes follow the last slice of y.
+    """
+    out, at = np.ones(len(size), bool), np.flatnonzero(size > 0)
+    left, right = lanes_of(x), np.ndarray(len(y) - 7, "<u8", y, strides=(1,))
+    for k in range(LANES):
+        if not at.size:
+            return out
+        i, j, mask = x_start[at] + 8 * k, y_start[at] + 8 * k, _FIRST[np.minimum(size[at] - 8 * k, 8)]
+        out[at] = ((left[i] ^ right[j]) & mask) == 0
+        at = at[out[at] & (size[at] > 8 * (k + 1))]
+    for i in at.tolist():
+        n = size[i]
+        out[i] = np.array_equal(x[x_start[i] : x_start[i] + n], y[y_start[i] : y_start[i] + n])
+    return out
 
 
 class Block:
@@ -85,21 +105,22 @@ class Words:
         self.end = np.flatnonzero(inside & (~after | edge[1:])) + 1
         #: Words of text i are first[i]:first[i + 1].
         self.first = np.searchsorted(self.start, bounds)
-        self.hash = slice_hashes(data, self.start, self.end)
+        self.hash = self.hashes(0)
 
-    def windows(self, width: int) -> np.ndarray:
-        """Hash of words[i : i + width] for each i; ranges that leave a text are the caller's to mask."""
-        return combine(self.hash, width)
+    def hashes(self, seed: int) -> np.ndarray:
+        """Hash of each word; those of different seeds are independent."""
+        return slice_hashes(self.data, self.start, self.end, seed)
 
 
-def combine(values: np.ndarray, width: int) -> np.ndarray:
-    """Order-dependent hash of each run of ``width`` values."""
+def combine(values: np.ndarray, width: int, seed: int = 0) -> np.ndarray:
+    """Order-dependent hash of each run of ``width`` values, at most 32 wide."""
     n = len(values) - width + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    out = values[:n] * _ODD[0]
+    odd = _ODD[32 * seed :]
+    out = values[:n] * odd[0]
     for k in range(1, width):
-        out = out + values[k : k + n] * _ODD[k]
+        out = out + values[k : k + n] * odd[k]
     return mix(out)
 
 
