@@ -124,3 +124,28 @@ def test_rows_that_share_an_id_do_not_touch_others(spark):
     n = len({tuple(long.split()[i : i + 5]) for i in range(56)})
     m = len({tuple(third.split()[i : i + 5]) for i in range(56)})
     assert near == sorted([(1, n, 1, True), (2, n, 1, False), (2, 1, 1, False), (2, 1, 1, False), (2, m, 1, False), (3, m, 1, False)])
+
+
+def test_top_k_of_repeats_and_large_components(spark):
+    from pyspark.sql import functions as F
+
+    from tracklore.llm.topk import top_k
+
+    rng = np.random.default_rng(3)
+    rows = [(k, [int(x) for x in rng.integers(-5, 6, 6)]) for k in range(60)]
+    rows += [(60, [10**11] * 6), (61, [-(10**11)] * 6), (62, [2**62] * 6), (63, [2**62] * 6), (64, [2**40] * 6), (None, [1] * 6), (65, None)]
+    again = [(3, rows[3][1]), (60, rows[60][1]), (7, [1000] * 6)]
+    df = spark.createDataFrame(rows + again, "vec_id long, vector array<long>").repartition(4)
+    good = {k: v for k, v in rows if k is not None and v is not None}
+    good[7] = min(good[7], [1000] * 6)
+    most = 2**61
+
+    def score(x, y):
+        return sum(max(-most, min(most, sum(a * b for a, b in zip(x[s], y[s], strict=True)))) for s in (slice(0, 3), slice(3, 6)))
+
+    want = []
+    for q in (k for k in good if k % 5 == 0):
+        best = sorted((-score(good[q], v), k) for k, v in good.items() if k != q)[:5]
+        want += [(q, rank, k, -s) for rank, (s, k) in enumerate(best, 1)]
+    got = top_k(df, F.col("vec_id") % 5 == 0, 5, 6).orderBy("query_id", "rank").collect()
+    assert [tuple(r) for r in got] == want

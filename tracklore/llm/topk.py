@@ -15,6 +15,11 @@ from .runtime import cut, prepare
 SLICES = 2
 #: Vectors and queries of a block; a node scores one block of queries against one of vectors at a time.
 BLOCK, QUERY_BLOCK = 8192, 1024
+#: Best entries of a query that a node gives first, k + 1 at least: the more, the nearer is the cutoff to the final one.
+LISTED = 64
+#: Parts of scores beyond this count as this, so that no sum of them leaves 64 bits.
+_FAR = 2**61
+_PAIR = ["query_id", "vec_id"]
 
 
 def _slices(dim: int) -> list[tuple[int, int]]:
@@ -22,11 +27,14 @@ def _slices(dim: int) -> list[tuple[int, int]]:
     return list(zip(at[:-1].tolist(), at[1:].tolist(), strict=True))
 
 
-def _blocks(rows: DataFrame, dim: int, size: int, extra: list[str]) -> DataFrame:
-    """(slice, block) -> ids and the slice's part of their vectors, little-endian 64-bit integers."""
-    n = max(1, -(-rows.count() // size))
+def _in_block(column: str, n: int) -> Column:
+    return F.pmod(F.xxhash64(column), F.lit(n)).cast("int")
+
+
+def _blocks(rows: DataFrame, dim: int, n: int, extra: list[str]) -> DataFrame:
+    """(slice, block) -> ids and the slice's part of their vectors, of ``n`` blocks."""
     spans = F.array(*(F.struct(F.lit(k).alias("slice"), F.slice("v", s + 1, e - s).alias("part")) for k, (s, e) in enumerate(_slices(dim))))
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")).select("block", "id", *extra, F.explode(spans).alias("s"))
+    dealt = rows.withColumn("block", _in_block("id", n)).select("block", "id", *extra, F.explode(spans).alias("s"))
     return dealt.groupBy("s.slice", "block").agg(F.collect_list(F.struct("id", *extra, F.col("s.part").alias("part"))).alias("rows"))
 
 
@@ -47,16 +55,37 @@ def _parts(column: pa.Array, row: int) -> tuple[dict[str, np.ndarray], np.ndarra
     return {k: v.to_numpy(zero_copy_only=False) for k, v in fields.items()}, part.flatten().to_numpy().reshape(len(rows), -1)
 
 
+def _reach(x: np.ndarray) -> int:
+    return max(abs(int(x.max(initial=0))), abs(int(x.min(initial=0))))
+
+
+def _limited(x: np.ndarray) -> np.ndarray:
+    return np.clip(x, -_FAR, _FAR).astype(np.int64)
+
+
 def _products(asked: np.ndarray, held: np.ndarray) -> np.ndarray:
-    """Exact integer products: in doubles where sums stay below 2 ** 53, else in 64-bit integers."""
-    most = float(np.abs(asked).max(initial=0)) * float(np.abs(held).max(initial=0)) * asked.shape[1]
+    """Exact integer products, up to _FAR: in doubles where sums stay below 2 ** 53, in 64-bit or else in unbounded integers."""
+    most = _reach(asked) * _reach(held) * asked.shape[1]
     if most < 2**53:
         return (asked.astype(np.float64) @ held.astype(np.float64).T).astype(np.int64)
-    return asked @ held.T
+    if most < 2**63:
+        return _limited(asked @ held.T)
+    return _limited(asked.astype(object) @ held.astype(object).T)
+
+
+def _row_products(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The same for row i of x and row i of y."""
+    if _reach(x) * _reach(y) * x.shape[1] < 2**63:
+        return _limited((x * y).sum(axis=1))
+    return _limited((x.astype(object) * y.astype(object)).sum(axis=1))
 
 
-def _local(choose) -> object:
-    """A function over task rows that yields (query, vector, score) where ``choose`` says so, query chunk by chunk."""
+_ENTRY = "query_id long, vec_id long, slice long, part long"
+
+
+def _local(choose, extra: list[str]) -> object:
+    """A function over task rows that yields (query, vector, slice, part, extra) where ``choose`` says so, query chunk by chunk."""
+    names = [*_PAIR, "slice", "part", *extra]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -67,19 +96,42 @@ def _local(choose) -> object:
                     some = {k: x[at : at + 128] for k, x in asked.items()}
                     scores = _products(q[at : at + 128], v)
                     i, j = choose(scores, some, held["id"])
-                    columns = [some["id"][i], held["id"][j], np.full(len(i), number), scores[i, j]]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["query_id", "vec_id", "slice", "part"])
+                    columns = [some["id"][i], held["id"][j], np.full(len(i), number), scores[i, j], *(some[x][i] for x in extra)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names)
 
     return run
 
 
-def _resolved(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
-    """Exact scores of (query_id, vec_id)."""
-    held = vectors.select(F.col("id").alias("vec_id"), F.col("v").alias("x"))
-    asked = vectors.select(F.col("id").alias("query_id"), F.col("v").alias("y"))
-    both = pairs.select("query_id", "vec_id").join(held, "vec_id").join(asked, "query_id")
-    score = F.aggregate(F.zip_with("x", "y", lambda a, b: a * b), F.lit(0).cast("long"), lambda s, p: s + p)
-    return both.select("query_id", "vec_id", score.alias("score"))
+def _missing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Parts of the pairs listed beside a block of queries and one of vectors."""
+    for batch in batches:
+        for row in range(batch.num_rows):
+            (asked, q), (held, v) = _parts(batch.column(1), row), _parts(batch.column(2), row)
+            pairs = batch.column(0)[row].values
+            query, vector = (pairs.field(i).to_numpy() for i in range(2))
+            at = []
+            for ids, wanted in ((asked["id"], query), (held["id"], vector)):
+                order = np.argsort(ids)
+                at.append(order[np.searchsorted(ids, wanted, sorter=order)])
+            part = [_row_products(q[at[0][k : k + 4096]], v[at[1][k : k + 4096]]) for k in range(0, len(query), 4096)]
+            yield pa.RecordBatch.from_arrays([pa.array(query), pa.array(vector), pa.array(np.concatenate(part))], [*_PAIR, "part"])
+
+
+def _resolved(entries: DataFrame, asked: DataFrame, held: DataFrame, n_asked: int, n_held: int) -> DataFrame:
+    """``query_id``, ``vec_id`` and exact ``score`` of pairs with a ``part``, the ``n`` slices it is of and one of them, ``have``.
+
+    The other slice gives what it has not sent: pairs come to its blocks in lists, not the
+    vectors to each pair. A list holds pairs of an eighth of a block of queries and a block of vectors.
+    """
+    lists = entries.where(F.col("n") < SLICES).select(
+        "query_id", "vec_id", (1 - F.col("have")).cast("int").alias("slice"), _in_block("query_id", n_asked).alias("q"),
+        _in_block("vec_id", n_held).alias("block"), F.pmod(F.hash("query_id"), F.lit(8)).alias("eighth"),
+    )
+    lists = lists.groupBy("slice", "q", "block", "eighth").agg(F.collect_list(F.struct(*_PAIR)).alias("pairs"))
+    asked = asked.select("slice", F.col("block").alias("q"), F.col("rows").alias("asked"))
+    tasks = lists.join(held, ["slice", "block"]).join(asked, ["slice", "q"]).select("pairs", "asked", "rows")
+    rest = tasks.mapInArrow(_missing, "query_id long, vec_id long, part long")
+    return entries.select(*_PAIR, "part").unionByName(rest).groupBy(*_PAIR).agg(F.sum("part").alias("score"))
 
 
 def _first(rows: DataFrame, k: int, by: list[str], score: str) -> DataFrame:
@@ -94,53 +146,66 @@ def top_k(
 
     Queries are the rows where ``is_query`` holds; candidates are all rows but the query's own;
     ties go to the smaller id. The three phases: every node (a slice of the dimensions) lists
-    its k best for each query, and their exact scores give a safe cutoff, as the k-th of some
+    its LISTED best for each query, and their exact scores give a safe cutoff, as the k-th of some
     rows is never above the k-th of all; a row that reaches the cutoff reaches its share,
-    cutoff / nodes, in some node, so nodes then send all such rows; those are scored exactly.
+    cutoff / nodes, in some node, so nodes then send all such rows; those that both nodes sent
+    have exact scores, whose k-th raises the cutoff, and rows whose upper bound (their part, and
+    less than the share in the other node) stays below it go; the rest are scored exactly.
     Equal vectors count as one until the end, with their k + 1 smallest ids. Blocks of queries
     meet blocks of vectors, so memory is bounded by the block sizes.
 
     Defined cases: rows whose vector is null, of another length than ``dim`` or holds a null, or
-    whose id is null, take no part; fewer candidates than k are all returned; an empty table or
-    no query gives an empty result; ids are expected to be unique; other columns are ignored.
+    whose id is null, take no part; of rows that share an id, the one with the least vector
+    counts; fewer candidates than k are all returned; a slice's part of a score counts up to
+    2 ** 61 either way, so that scores fit 64 bits; an empty table or no query gives an empty
+    result; other columns are ignored.
     """
     prepare(vectors.sparkSession)
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<long>").alias("v"), is_query.alias("asks"))
     rows = rows.where(F.col("id").isNotNull() & (F.size("v") == dim) & F.forall("v", lambda x: x.isNotNull()))
+    if rows.groupBy("id").count().where("count > 1").head(1):
+        rows = cut(rows.groupBy("id").agg(F.min(F.struct("v", "asks")).alias("r")).select("id", "r.*"))
     order = Window.partitionBy("v").orderBy("id")
     equals = cut(rows.withColumn("at", F.row_number().over(order)).where(F.col("at") <= k + 1).select("id", "v", "at"))
     classes = cut(equals.where("at = 1").select("id", "v"))
     asking = cut(rows.where("asks").join(classes.withColumnRenamed("id", "class"), "v").select("id", "class"))
     queries = cut(classes.join(asking.select(F.col("class").alias("id")).distinct(), "id", "left_semi"))
 
-    held = cut(_blocks(classes, dim, BLOCK, []))
+    n_held, n_asked = (max(1, -(-x.count() // size)) for x, size in ((classes, BLOCK), (queries, QUERY_BLOCK)))
+    held, asked = cut(_blocks(classes, dim, n_held, [])), cut(_blocks(queries, dim, n_asked, []))
+    listed = max(LISTED, k + 1)
 
     def best(scores: np.ndarray, asked: dict, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        n = min(k + 1, scores.shape[1])
+        n = min(listed, scores.shape[1])
         top = np.argpartition(-scores, n - 1, axis=1)[:, :n]
         return np.repeat(np.arange(len(scores)), n), top.reshape(-1)
 
-    schema = "query_id long, vec_id long, slice long, part long"
-    local = _tasks(_blocks(queries, dim, QUERY_BLOCK, []), held).mapInArrow(_local(best), schema)
-    gathered = _first(local, k + 1, ["query_id", "slice"], "part").select("query_id", "vec_id").distinct()
-    known = _resolved(gathered, classes)
+    local = _first(_tasks(asked, held).mapInArrow(_local(best, []), _ENTRY), listed, ["query_id", "slice"], "part")
+    gathered = local.groupBy(*_PAIR).agg(F.sum("part").alias("part"), F.count("*").alias("n"), F.min("slice").alias("have"))
     # The own class may hold only the query itself, so the cutoff is the k-th of the others.
-    others = known.where("query_id != vec_id")
+    others = _resolved(cut(gathered), asked, held, n_asked, n_held).where("query_id != vec_id")
     cutoffs = _first(others, k, ["query_id"], "score").groupBy("query_id").agg(
         F.when(F.count("*") == k, F.min("score")).alias("cutoff")
     )
     limited = queries.join(cutoffs.withColumnRenamed("query_id", "id"), "id", "left")
-    least = F.coalesce(F.floor(F.col("cutoff") / SLICES), F.lit(-(2**62))).cast("long")
-    limited = cut(limited.select("id", "v", least.alias("least")))
+    limited = limited.withColumn("cutoff", F.coalesce("cutoff", F.lit(-(2**62))))
+    limited = cut(limited.select("id", "v", "cutoff", F.shiftright("cutoff", 1).alias("least")))
 
     def enough(scores: np.ndarray, asked: dict, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return np.nonzero(scores >= asked["least"][:, None])
+        return np.nonzero((scores >= asked["least"][:, None]) | (asked["id"][:, None] == ids[None, :]))
 
-    sent = _tasks(_blocks(limited, dim, QUERY_BLOCK, ["least"]), held).mapInArrow(_local(enough), schema)
-    partial = sent.groupBy("query_id", "vec_id").agg(F.sum("part").alias("score"), F.count("*").alias("n"))
-    partial = cut(partial.unionByName(queries.select(F.col("id").alias("query_id"), F.col("id").alias("vec_id"), F.lit(0).cast("long").alias("score"), F.lit(0).cast("long").alias("n"))))
-    whole = partial.where(F.col("n") == SLICES).select("query_id", "vec_id", "score")
-    scored = whole.unionByName(_resolved(partial.where(F.col("n") < SLICES), classes)).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    bounds = ["cutoff", "least"]
+    sent = _tasks(_blocks(limited, dim, n_asked, bounds), held).mapInArrow(_local(enough, bounds), _ENTRY + ", cutoff long, least long")
+    partial = sent.groupBy(*_PAIR).agg(
+        F.sum("part").alias("part"), F.count("*").alias("n"), F.min("slice").alias("have"), *(F.max(x).alias(x) for x in bounds)
+    )
+    exact = F.when((F.col("n") == SLICES) & (F.col("query_id") != F.col("vec_id")), F.col("part"))
+    each = Window.partitionBy("query_id")
+    partial = partial.withColumn("at", F.row_number().over(each.orderBy(exact.desc_nulls_last(), "vec_id")))
+    partial = partial.withColumn("cutoff", F.greatest("cutoff", F.max(F.when(F.col("at") == k, exact)).over(each)))
+    open_ = (F.col("n") == SLICES) | (F.col("part") + F.col("least") - 1 >= F.col("cutoff"))
+    partial = cut(partial.where(open_).select(*_PAIR, "part", "n", "have"))
+    scored = _resolved(partial, asked, held, n_asked, n_held)
     ranked = _first(scored, k + 1, ["query_id"], "score").select(F.col("query_id").alias("class"), F.col("vec_id").alias("found"), "score")
 
     members = equals.join(classes.withColumnRenamed("id", "found"), "v").select("found", F.col("id").alias("vec_id"))
