@@ -149,3 +149,42 @@ def test_top_k_of_repeats_and_large_components(spark):
         want += [(q, rank, k, -s) for rank, (s, k) in enumerate(best, 1)]
     got = top_k(df, F.col("vec_id") % 5 == 0, 5, 6).orderBy("query_id", "rank").collect()
     assert [tuple(r) for r in got] == want
+
+
+def test_near_vectors_against_all_pairs(spark, monkeypatch):
+    """Links, components and what is kept, with clusters, repeats, a shared id, and groups of any size."""
+    from tracklore.llm import capfilter
+
+    rng = np.random.default_rng(11)
+    centres = rng.standard_normal((6, 16))
+    x = np.concatenate([c + 0.09 * np.linalg.norm(c) * rng.standard_normal((40, 16)) / 4 for c in centres] + [rng.standard_normal((60, 16))])
+    rows = [(int(k), v.tolist()) for k, v in zip(rng.permutation(len(x)), x, strict=True)]
+    rows += [(400, rows[3][1]), (401, (2 * x[3]).tolist()), (5, rows[50][1]), (None, rows[3][1]), (402, None)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    ids = [k for k, v in rows[:-2]]
+    unit = np.array([v for _, v in rows[:-2]])
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    near = unit @ unit.T >= 0.95
+    label = np.array(ids)
+    while True:
+        lower = np.where(near, label[None, :], 10**9).min(axis=1)
+        if (lower == label).all():
+            break
+        label = lower
+    want = sorted((k, int(near[i].sum()) - 1, int(label[i]), bool(label[i] == k)) for i, k in enumerate(ids))
+    monkeypatch.setattr(capfilter, "RECALL", 1.0)
+    for chunk, group in ((2048, 1024), (7, 1024), (7, 1)):
+        monkeypatch.setattr(capfilter, "CHUNK", chunk)
+        monkeypatch.setattr(capfilter, "GROUP", group)
+        got = sorted(tuple(r) for r in capfilter.near_vectors(df, 16).where("vec_id is not null and vec_id < 402").collect())
+        assert got == want
+    others = capfilter.near_vectors(df, 16).where("vec_id is null or vec_id = 402").collect()
+    assert sorted((r.vec_id or -1, r.n_links, r.component_id or -1, r.kept) for r in others) == [(-1, 0, -1, True), (402, 0, 402, True)]
+
+
+def test_filters_grow_with_the_vectors():
+    from tracklore.llm import capfilter
+
+    assert capfilter.settings(64, 1000) == (16, 24)
+    words, filters = capfilter.settings(64, 600_000)
+    assert words**4 >= 600_000 and capfilter.recall_of(64, words, filters) >= 0.98
