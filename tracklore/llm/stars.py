@@ -12,6 +12,8 @@ from .runtime import cut
 
 Confirm = Callable[[DataFrame], DataFrame]
 MayLink = Callable[[str, str], Column]
+#: Members of a bucket that are compared in one task with as many others.
+CHUNK = 512
 
 
 def in_shared_buckets(items: DataFrame) -> DataFrame:
@@ -23,50 +25,38 @@ def in_shared_buckets(items: DataFrame) -> DataFrame:
     return cut(items.join(sizes, "key"))
 
 
-def pairs_and_crowds(items: DataFrame, may_link: MayLink, traits: list[str], crowd: int = 8) -> tuple[DataFrame, DataFrame]:
-    """Pairs (a, b) from buckets of at most ``crowd`` items, and the items in larger ones, as ``groups`` takes them.
-
-    For keys that many unlike items share by chance: small buckets are compared whole, at most
-    crowd * (crowd - 1) / 2 pairs each, and only pairs that may link are written.
-    """
-    crowded = cut(items.groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") > crowd))
-    x = items.join(crowded, "key", "left_anti").select("key", F.struct("id", *traits).alias("x"))
-    near = x.join(x.withColumnRenamed("x", "y"), "key").where((F.col("x.id") < F.col("y.id")) & may_link("x", "y"))
-    near = near.select(F.col("x.id").alias("id"), F.col("y.id").alias("other"))
-    many = items.join(crowded, "key")
-    found = cut(near.unionByName(many, allowMissingColumns=True))
-    pairs = found.where("other is not null").select(F.col("id").alias("a"), F.col("other").alias("b")).distinct()
-    return pairs, found.where("other is null").select("key", "id", "size", *traits)
-
-
-def groups(members: DataFrame, confirm: Confirm, may_link: MayLink, traits: list[str], more_pairs: DataFrame | None = None) -> DataFrame:
+def groups(members: DataFrame, confirm: Confirm, may_link: MayLink, traits: list[str], describe: Confirm, linked: MayLink) -> DataFrame:
     """``node`` and ``component`` of items that link.
 
     ``members`` has key, id, size and ``traits``; ``may_link(x, y)`` rules out pairs by traits,
     whose columns are x.trait and y.trait; ``confirm`` keeps the pairs (a, b) that do link.
     First each bucket's members are paired with its centre, the member whose buckets are the
     fullest, which is the likeliest original of a group of copies. Then, in buckets whose
-    members are still in different components, all pairs across components are tested.
-    ``more_pairs`` are tested with the first.
+    members are still in different components, all pairs across components are tested where they
+    meet, by ``linked(x, y)``, which also knows the columns that ``describe`` gives for ids, and
+    only those that pass are written. Buckets meet in chunks of CHUNK members, so that one large
+    bucket is the work of many tasks.
     """
-    x, y = (F.struct("id", *traits).alias(name) for name in "xy")
+    x = F.struct("id", *traits).alias("x")
     busy = members.groupBy("id").agg(F.sum("size").alias("busy"))
     lead = members.join(busy, "id").groupBy("key").agg(F.max(F.struct("busy", "id")).getField("id").alias("lead"))
     # The centre's traits come with it through a join on its id.
     known = members.select("id", *traits).dropDuplicates(["id"])
     lead = lead.join(known.withColumnRenamed("id", "lead"), "lead").select("key", F.struct(F.col("lead").alias("id"), *traits).alias("y"))
     star = members.select("key", x).join(lead, "key").where((F.col("x.id") != F.col("y.id")) & may_link("x", "y"))
-    star = _ordered(star)
-    star = cut(star if more_pairs is None else star.unionByName(more_pairs).distinct())
-    found = components(cut(confirm(star)))
+    found = components(cut(confirm(cut(_ordered(star)))))
 
     placed = members.join(found.withColumnRenamed("node", "id"), "id", "left")
     placed = cut(placed.select("key", "id", *traits, F.coalesce("component", "id").alias("part")))
-    mixed = placed.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("key")
-    left = placed.join(mixed, "key")
-    rest = left.select("key", "part", x).join(left.select("key", F.col("part").alias("other"), y), "key")
-    rest = _ordered(rest.where((F.col("part") < F.col("other")) & may_link("x", "y")))
-    rest = cut(rest.join(star, ["a", "b"], "left_anti"))
+    mixed = placed.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count("*").alias("n")).where("low < high")
+    left = cut(placed.join(mixed.select("key", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks")), "key"))
+    told = describe(left.select("id").distinct())
+    left = left.join(told, "id").withColumn("at", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
+    each, item = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)), F.struct("id", *traits, *(c for c in told.columns if c != "id"))
+    one = left.select("key", F.col("at").alias("i"), each.alias("j"), "part", item.alias("x"))
+    other = left.select("key", each.alias("i"), F.col("at").alias("j"), F.col("part").alias("other"), item.alias("y"))
+    rest = one.join(other, ["key", "i", "j"]).where((F.col("part") < F.col("other")) & linked("x", "y"))
+    rest = cut(_ordered(rest))
     if not rest.head(1):
         return found
     more = cut(confirm(rest))
