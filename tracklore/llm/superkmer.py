@@ -216,10 +216,10 @@ def _again(windows: DataFrame) -> DataFrame:
 
 def _repeats_of_hot(kmers: DataFrame) -> DataFrame:
     """The same for minimisers with very many super-k-mers: equal strings are counted once, before
-    the shuffle; their distinct windows then meet by their own hashes, and the firsts go back to
-    each string. A window that its string holds before is repeated anyway."""
+    the shuffle; their distinct windows then meet by their own hashes, where the first place names
+    the string that owns the window. At a string's first place its own windows are new; all else is repeated."""
     strings = kmers.groupBy("mark", "mark2", "packed").agg(F.min(F.struct(*_PLACE)).alias("f"))
-    strings = strings.select("mark", "mark2", "packed", "f.*")
+    strings = cut(strings.select("mark", "mark2", "packed", "f.*"))
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -235,26 +235,26 @@ def _repeats_of_hot(kmers: DataFrame) -> DataFrame:
                 columns = [mark, mark2, number, h[first], g[first], doc, key, place + number]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["mark", "mark2", "number", "h", "g", *_PLACE])
 
-    windows = cut(strings.mapInArrow(split, "mark long, mark2 long, number long, h long, g long, doc_id long, key long, place long"))
-    firsts = windows.groupBy("h", "g").agg(F.min(F.struct(*_PLACE)).alias("f"))
-    known = windows.select("mark", "mark2", "number", "h", "g").join(firsts, ["h", "g"]).groupBy("mark", "mark2").agg(
-        F.collect_list(F.struct("number", "f.*")).alias("firsts")
-    )
+    windows = strings.mapInArrow(split, "mark long, mark2 long, number long, h long, g long, doc_id long, key long, place long")
+    owners = windows.groupBy("h", "g").agg(F.min(F.struct(*_PLACE, "mark", "mark2", "number")).alias("o")).select("o.*")
+    owned = owners.groupBy("mark", "mark2").agg(F.collect_list("number").alias("owned"))
+    first = F.struct(*_PLACE).alias("f")
+    known = cut(strings.select("mark", "mark2", first).join(owned, ["mark", "mark2"], "left"))
 
     def mark_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             doc, key, place, windows = (batch.column(i).to_numpy() for i in range(4))
-            firsts = batch.column(4)
+            later = np.any([batch.column(4).field(i).to_numpy() != x for i, x in enumerate((doc, key, place))], axis=0)
             begin = np.cumsum(windows) - windows
             row = np.repeat(np.arange(len(doc)), windows)
             at = place[row] + np.arange(len(row)) - begin[row]
             again = np.ones(len(row), bool)
-            owner = np.repeat(np.arange(len(doc)), np.diff(firsts.offsets.to_numpy()))
-            number, fd, fk, fp = (firsts.flatten().field(i).to_numpy() for i in range(4))
-            again[begin[owner] + number] = (fd != doc[owner]) | (fk != key[owner]) | (fp != place[owner] + number)
+            n_owned = pc.fill_null(pc.list_value_length(batch.column(5)), 0).to_numpy()
+            owner = np.repeat(np.arange(len(doc)), n_owned)
+            again[begin[owner] + batch.column(5).flatten().to_numpy()] = later[owner]
             yield _runs(doc, key, row, at, again)
 
-    marked = kmers.select(*_PLACE, "windows", "mark", "mark2").join(known, ["mark", "mark2"]).select(*_PLACE, "windows", "firsts")
+    marked = kmers.select(*_PLACE, "windows", "mark", "mark2").join(known, ["mark", "mark2"]).select(*_PLACE, "windows", "f", "owned")
     return marked.mapInArrow(mark_runs, _RUNS)
 
 
