@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .oracles import oracle_sql as oracle_sql
+
 #: The largest input, in tokens, of the model that texts are counted for.
 TOKEN_LIMIT = 4096
 #: Components of the given embeddings.
@@ -131,7 +133,3 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_quality": op9_quality,
         "op10_topk": op10_topk,
     }
-
-
-def oracle_sql() -> dict[str, str]:
-    return {}
