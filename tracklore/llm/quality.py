@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import prepare
+from .runtime import prepare, unused
 from .textblocks import SPACE, Block, blocks, combine, mix, slice_hashes
 
 #: Weights: one for each value of this many bits of a feature's hash.
@@ -98,7 +98,7 @@ def _vector(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def held_out(doc_id) -> F.Column:
-    """Whether a row's label is kept from training: crc32 of the id as text, modulo 3, is 1."""
+    """Whether a row's label is kept from training: crc32 of the id as text, modulo 3, is 1; null for a null id."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1
 
 
@@ -146,25 +146,26 @@ def score(docs: DataFrame, weights: np.ndarray, *, id_col: str = "doc_id", text_
 
     The score is a sparse dot product of a text's n-gram shares with ``weights``, through the
     logistic function; it depends on the text alone. Null and empty texts get the bias's score;
-    repeated rows each get theirs; an empty table stays empty; a column of the result's name is
-    replaced.
+    repeated rows each get theirs; an empty table stays empty; very long texts count whole; a
+    column of the result's name is replaced.
     """
     spark = prepare(docs.sparkSession)
     shared = spark.sparkContext.broadcast(np.asarray(weights, np.float64))
 
+    rows = docs.drop("quality_score")
+    (held,) = unused(rows, "text_of_score")
+
     def dots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = shared.value
         for batch in batches:
             out = np.zeros(batch.num_rows)
-            for start, stop, block in blocks(batch.column(batch.schema.get_field_index("__text"))):
+            for start, stop, block in blocks(batch.column(batch.num_columns - 1)):
                 found, bounds = features(block)
-                total = np.concatenate([[0.0], np.cumsum(w[found])])
-                out[start:stop] = np.diff(total[bounds]) * 10 / np.maximum(np.diff(bounds), 1)
+                some = np.flatnonzero(np.diff(bounds))
+                if len(some):  # each text's own sum, whatever else is in the block
+                    out[start + some] = np.add.reduceat(w[found], bounds[some]) * 10 / np.diff(bounds)[some]
             chance = 1 / (1 + np.exp(-np.clip(out + w[-1], -35, 35)))
-            keep = [i for i, f in enumerate(batch.schema) if f.name != "__text"]
-            columns = [batch.column(i) for i in keep] + [pa.array(chance)]
-            yield pa.RecordBatch.from_arrays(columns, [*(batch.schema.names[i] for i in keep), "quality_score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(chance)], [*batch.schema.names[:-1], "quality_score"])
 
-    rows = docs.drop("quality_score")
     schema = rows.limit(0).withColumn("quality_score", F.lit(0.0)).schema
-    return rows.withColumn("__text", F.col(text_col)).mapInArrow(dots, schema)
+    return rows.withColumn(held, docs[text_col]).mapInArrow(dots, schema)
