@@ -121,13 +121,13 @@ def _resolved(entries: DataFrame, asked: DataFrame, held: DataFrame, n_asked: in
     """``query_id``, ``vec_id`` and exact ``score`` of pairs with a ``part``, the ``n`` slices it is of and one of them, ``have``.
 
     The other slice gives what it has not sent: pairs come to its blocks in lists, not the
-    vectors to each pair. A list holds pairs of an eighth of a block of queries and a block of vectors.
+    vectors to each pair. A list holds pairs of a quarter of a block of queries and a block of vectors.
     """
     lists = entries.where(F.col("n") < SLICES).select(
         "query_id", "vec_id", (1 - F.col("have")).cast("int").alias("slice"), _in_block("query_id", n_asked).alias("q"),
-        _in_block("vec_id", n_held).alias("block"), F.pmod(F.hash("query_id"), F.lit(8)).alias("eighth"),
+        _in_block("vec_id", n_held).alias("block"), F.pmod(F.hash("query_id"), F.lit(4)).alias("quarter"),
     )
-    lists = lists.groupBy("slice", "q", "block", "eighth").agg(F.collect_list(F.struct(*_PAIR)).alias("pairs"))
+    lists = lists.groupBy("slice", "q", "block", "quarter").agg(F.collect_list(F.struct(*_PAIR)).alias("pairs"))
     asked = asked.select("slice", F.col("block").alias("q"), F.col("rows").alias("asked"))
     tasks = lists.join(held, ["slice", "block"]).join(asked, ["slice", "q"]).select("pairs", "asked", "rows")
     rest = tasks.mapInArrow(_missing, "query_id long, vec_id long, part long")
