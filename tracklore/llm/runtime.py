@@ -14,15 +14,17 @@ BATCH_BYTES = "4m"
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Bound Arrow batches, free shuffle files once a job is over, and name a checkpoint folder if none is set.
+    """Bound Arrow batches, free shuffle files once a job is over and checkpoints once no DataFrame
+    uses them, and name a checkpoint folder if none is set.
 
-    A cluster names the shared folder in ``spark.checkpoint.dir``; only where that is unset, as
+    The settings stay: results are computed after the operators return. A cluster names the shared folder in ``spark.checkpoint.dir``; only where that is unset, as
     in tests on one machine, a folder is made here.
     """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
     context = spark.sparkContext
+    context._jsc.sc().conf().set("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     if context.master.startswith("local["):
         # Workers on this machine find the package wherever the driver was started; a cluster installs it.
         paths = [str(Path(__file__).parents[2]), *filter(None, context.environment.get("PYTHONPATH", "").split(os.pathsep))]
