@@ -1,11 +1,15 @@
 """A corpus made ready for training: quality, line dedup, near dedup, secrets, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns the documents that go on, with the columns
-they came with; the last returns the packed pieces.
+they came with and their values, whatever their names; the last returns the packed pieces.
+Columns ``doc_id`` and ``text`` are needed; ``n_chars``, where there is one, is counted anew. An
+empty table stays empty in every stage, and very long texts count whole.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,44 +17,66 @@ from tracklore.llm.linededup import dedup_lines
 from tracklore.llm.minhash import near_duplicates
 from tracklore.llm.packing import pack
 from tracklore.llm.quality import fit, score
-from tracklore.llm.runtime import cut
+from tracklore.llm.runtime import cut, unused
 from tracklore.llm.secrets import find_secrets, redact
 
 #: Documents with a lower chance of good quality go.
 LEAST_QUALITY = 0.5
 
 
-def _as_documents(changed: DataFrame, docs: DataFrame) -> DataFrame:
-    """The columns of ``docs``, ``n_chars`` counted anew."""
-    if "n_chars" in docs.columns:
-        changed = changed.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return changed.select(*docs.columns)
+def _beside(docs: DataFrame, results: list[str], work: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``work`` on ``docs``, whose columns come back with their values, also those named like ``results``."""
+    clashing = [c for c in docs.columns if c.lower() in results]
+    aside = dict(zip(clashing, unused(docs, *(f"{c}_of_docs" for c in clashing)), strict=True))
+    changed = work(docs.withColumnsRenamed(aside))
+    return changed.select(*(F.col(f"`{aside.get(c, c)}`").alias(c) for c in docs.columns))
+
+
+def _counted(docs: DataFrame) -> DataFrame:
+    if "n_chars" not in docs.columns:
+        return docs
+    return docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose text scores as good quality, by a classifier fitted to the table ``labels``."""
-    scored = score(docs, fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
-    return scored.where(F.col("quality_score") >= LEAST_QUALITY).select(*docs.columns)
+    """Documents whose text scores as good quality, by a classifier fitted to the table ``labels``.
+
+    A null or empty text has the score of no evidence; equal texts have equal scores, so repeated
+    rows stay or go together; rows with a null id are scored like all others.
+    """
+    weights = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return _beside(docs, ["quality_score"], lambda d: score(d, weights).where(F.col("quality_score") >= LEAST_QUALITY))
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without lines that occur elsewhere first."""
-    return _as_documents(dedup_lines(docs, short_lines=True), docs)
+    """All documents, without lines that occur elsewhere first.
+
+    Null and empty texts and documents with a null id are unchanged; rows that repeat an id and
+    text are one document, and all are kept with the same lines; a document may end up empty.
+    """
+    return _counted(_beside(docs, ["n_lines", "n_lines_removed"], lambda d: dedup_lines(d, short_lines=True)))
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates, the document with the smallest id."""
+    """Of each group of near-duplicates, the document with the smallest id.
+
+    Null and empty texts and documents with a null id have no duplicates and stay; rows that
+    share an id are one document and stay or go together.
+    """
     others = near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct()
     return docs.join(others, "doc_id", "left_anti").select(*docs.columns)
 
 
 def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with secrets replaced by a mark."""
-    return _as_documents(redact(find_secrets(docs)), docs)
+    """All documents, with secrets replaced by a mark; a null text stays null, and repeated rows change alike."""
+    return _counted(_beside(docs, ["secrets"], lambda d: redact(find_secrets(d))))
 
 
 def to_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents in sequences of at most 2048 tokens."""
+    """Pieces of all documents in sequences of at most 2048 tokens.
+
+    A null or empty text is its end token; repeated rows are packed each; other columns go.
+    """
     import public_tokenizers
 
     return pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
