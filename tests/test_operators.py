@@ -3,6 +3,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -43,10 +44,19 @@ def test_time_text(spark, text, seconds):
         ("top left", ("top", 0, "left")),
         ("bottom centre", ("bottom", 0, "middle")),
         ("nothing", (None, 0, None)),
+        ("twenty-first from the top, left", ("top", 0, "left")),
+        ("the second  row top", ("top", 1, None)),
+        ("second row, top", ("top", 0, None)),
+        ("second from the right, bottom", ("bottom", 0, "right")),
+        ("middle row of two, center", ("middle", 0, None)),
+        ("leftover, right", (None, 0, "right")),
+        ("3 middle (bottom, left) (top)", ("bottom", 0, "left")),
+        ("()", (None, 0, None)),
+        (None, (None, 0, None)),
     ],
 )
 def test_positions(spark, text, position):
-    assert tuple(one(spark, T.position(F.lit(text)))) == position
+    assert tuple(one(spark, T.position(F.lit(text).cast("string")))) == position
 
 
 def test_scores_to_bouts_against_a_loop(spark):
@@ -214,3 +224,65 @@ def test_background_is_the_upper_median_without_arrays(spark):
     got = {r.p: r.background for r in out.collect()}
     assert {k: got[k] for k in known} == {k: x[len(x) // 2] if x else None for k, x in known.items()} and got[6] == 2.0
     assert "collect_list" not in out._jdf.queryExecution().toString()
+
+
+def test_positions_name_one_box_or_none(spark):
+    """Grids of 1 to 7 rows and columns against a loop."""
+    grids = {(n, m): [(r, c) for r in range(n) for c in range(m)] for n in (1, 2, 3, 4, 5) for m in (1, 2, 3, 4, 5, 6, 7)}
+    places = [(row, k, col) for row in ("top", "bottom", "middle", None) for k in (0, 1, 4) for col in ("left", "right", "middle", None)]
+
+    def expected(cells, row, k, col):
+        n = max(r for r, _ in cells) + 1
+        at = {"top": k, "bottom": n - 1 - k, "middle": n // 2}.get(row, -1)
+        mine = [i for i, (r, _) in enumerate(cells) if r == at]
+        m = len(mine)
+        third = max(1, m // 3)
+        if col == "left":
+            mine = mine[:third]
+        elif col == "right":
+            mine = mine[-third:] if mine else []
+        elif col == "middle" and m == 2:
+            return None
+        elif col == "middle" and m > 2:
+            mine = mine[third : m - third] or mine[m // 2 : m // 2 + 1]
+        return mine[0] if len(mine) == 1 else None
+
+    cells = [(f"{n}x{m}", i, r, c) for (n, m), found in grids.items() for i, (r, c) in enumerate(found)]
+    wanted = [(f"{n}x{m}", j, p) for n, m in grids for j, p in enumerate(places)] + [("none", 0, places[0])]
+    cells = spark.createDataFrame(cells, "image string, idx long, row int, col int")
+    wanted = spark.createDataFrame(wanted, "image string, j int, p struct<row_key: string, row_offset: int, col_key: string>")
+    out = R.resolve_positions(cells, wanted, ["image"], "idx")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    got = {(r.image, r.j): r.chamber for r in out.collect()}
+    assert got == {(f"{n}x{m}", j): expected(found, *p) for (n, m), found in grids.items() for j, p in enumerate(places)} | {("none", 0): None}
+
+
+def test_features_by_synonym_default_and_rank(spark):
+
+    columns = ["theta", "vel", "wing_angle", "x"]
+    named = {"Abs Angle": "theta", "vel_mag": "vel", "WingSpread": "wing_angle", "x": "x", "bearing_left": None, "unknown": None, "distance2other": None}
+    assert {n: L.feature_column({"perframe": n}, columns) for n in named} == named
+    assert L.feature_column({}, columns) == "vel" and L.feature_column({"src": ["speed"]}, columns) == "vel"
+    assert L.feature_column({}, ["x"]) is None
+    assert L.feature_tokens(None, "Wing_Ext", {}, {"wingext": [["a"]]}) == [["a"]] and L.feature_tokens([["b"]], "w", {"w": [["a"]]}, {}) == [["b"]]
+    values = [3.0, -1.0, 7.0, -9.0, None, 2.0]
+    df = spark.createDataFrame([(1, t, v) for t, v in enumerate(values)], "k int, frame long, vel double")
+    specs = [{"perframe": "velocity", "radius": 5, "stat": "max", "trans": t} for t in ("relative", 8, "10", 14, "flip", "none", "odd")]
+    out = L.window_features(df, ["k"], specs).where("frame = 0").first()
+    known = np.array([v for v in values if v is not None])
+
+    def best(x):
+        bins = np.percentile(x, range(0, 101, 2))
+        return max(np.searchsorted(np.round(bins, 9), np.round(v, 9), side="right") / 51 for v in x)
+
+    assert [out[f"f{k}"] for k in range(1, 8)] == pytest.approx([best(known), best(known), best(abs(known)), best(-abs(known)), 9.0, 7.0, 7.0])
+
+
+def test_covered_bouts_against_frames(spark):
+    rng = np.random.default_rng(4)
+    rows = [(int(k), int(r), int(s), int(s + n)) for k, r, s, n in zip(rng.integers(0, 3, 200), rng.integers(1, 4, 200), rng.integers(0, 900, 200), rng.integers(0, 150, 200), strict=True)]
+    df = spark.createDataFrame([*rows, (0, None, 5, 9)], "k int, r int, start long, end long")
+    got = sorted((x.k, x.r or 0, x.start, x.end) for x in B.uncovered(df, ["k"], "r").collect())
+    frames = lambda k, r: {t for a, b, s, e in rows if a == k and b < r for t in range(s, e + 1)}
+    assert got == sorted([x for x in rows if not set(range(x[2], x[3] + 1)) <= frames(x[0], x[1])] + [(0, 0, 5, 9)])

@@ -50,13 +50,12 @@ def uncovered(bouts: DataFrame, keys: Sequence[str], rank: str) -> DataFrame:
     ranks = bouts.where(F.col(rank).isNotNull()).select(*keys, F.col(rank).alias("__r")).distinct()
     below = bouts.select(*keys, F.col(rank).alias("__o"), "start", "end").join(ranks, list(keys)).where("__o < __r")
     union = merged(below.select(*keys, "__r", "start", "end"), [*keys, "__r"], 1)
-    union = union.select(*keys, F.col("__r").alias(rank), F.col("start").alias("__s"), F.col("end").alias("__e"))
-    # least and greatest skip NULLs, which stand for no union at all.
-    overlap = F.when(F.col("__s").isNotNull(), F.greatest(F.least("end", "__e") - F.greatest("start", "__s") + 1, F.lit(0)))
-    joined = bouts.join(union, [*keys, rank], "left")
-    covered = joined.groupBy(*keys, rank, "start", "end").agg(F.coalesce(F.sum(overlap), F.lit(0)).alias("__c"))
-    covered = covered.where(F.col("__c") < F.col("end") - F.col("start") + 1).drop("__c")
-    return bouts.join(covered, [*keys, rank, "start", "end"], "left_semi").unionByName(bouts.where(F.col(rank).isNull()))
+    union = union.select(*keys, F.col("__r").alias(rank), F.col("start").alias("rs"), F.col("end").alias("re"))
+    shared = overlaps(bouts.select(*keys, rank, F.col("start").alias("s"), F.col("end").alias("e")).distinct(), union, [*keys, rank])
+    shared = shared.withColumn("__c", F.least("e", "re") - F.greatest("s", "rs") + 1)
+    gone = shared.groupBy(*keys, rank, F.col("s").alias("start"), F.col("e").alias("end")).agg(F.sum("__c").alias("__c"))
+    gone = gone.where(F.col("__c") >= F.col("end") - F.col("start") + 1).drop("__c")
+    return bouts.join(gone, [*keys, rank, "start", "end"], "left_anti")
 
 
 def to_frames(bouts: DataFrame) -> DataFrame:
@@ -74,17 +73,23 @@ def _buckets(df: DataFrame, keys: Sequence[str], start: str, end: str, width: fl
     return df.withColumn("__b", F.explode(F.sequence(F.floor(F.col(start) / width), F.floor(F.col(end) / width))))
 
 
-def overlap_pairs(
-    a: DataFrame, b: DataFrame, keys: Sequence[str], least_iou: float = 0.3, width: float = 64.0
-) -> DataFrame:
-    """Pairs of spans (i, s, e) of ``a`` and (j, rs, re) of ``b`` with an IoU of ``least_iou`` (over 0) or more.
+def overlaps(a: DataFrame, b: DataFrame, keys: Sequence[str], width: float = 64.0) -> DataFrame:
+    """Pairs of spans (s, e) of ``a`` and (rs, re) of ``b`` that share a point.
 
     An equi-join on time buckets; a pair counts in the first bucket that both reach.
     """
     left, right = _buckets(a, keys, "s", "e", width), _buckets(b, keys, "rs", "re", width)
     pairs = left.join(right, [*keys, "__b"]).where(F.floor(F.greatest("s", "rs") / width) == F.col("__b"))
+    return pairs.where(F.greatest("s", "rs") <= F.least("e", "re")).drop("__b")
+
+
+def overlap_pairs(
+    a: DataFrame, b: DataFrame, keys: Sequence[str], least_iou: float = 0.3, width: float = 64.0
+) -> DataFrame:
+    """Pairs of spans (i, s, e) of ``a`` and (j, rs, re) of ``b`` with an IoU of ``least_iou`` (over 0) or more."""
+    pairs = overlaps(a, b, keys, width)
     pairs = pairs.withColumn("iou", interval_iou(F.col("s"), F.col("e"), F.col("rs"), F.col("re")))
-    return pairs.where(F.col("iou") >= least_iou).drop("__b")
+    return pairs.where(F.col("iou") >= least_iou)
 
 
 def greedy_match(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -65,34 +65,36 @@ def grid_coordinates(boxes: DataFrame, keys: Sequence[str], index: str) -> DataF
     return joined.withColumn("col", F.row_number().over(Window.partitionBy(*keys, "row").orderBy(cx, index)) - 1)
 
 
-def resolve_positions(cells: DataFrame, wanted: DataFrame, index: str) -> DataFrame:
-    """``wanted`` with the box that its position (row_key, row_offset, col_key) names, NULL unless there is exactly one.
-
-    ``cells`` is one grid of (index, row, col). Left and right mean the outer third of a row's
-    columns and middle the ones between; two boxes that fit leave the position unresolved.
+def resolve_positions(cells: DataFrame, wanted: DataFrame, keys: Sequence[str], index: str) -> DataFrame:
+    """``wanted`` (keys, .., p) with the box that its position p (row_key, row_offset, col_key) names, NULL unless there is exactly one.
+
+    ``cells`` are (keys, index, row, col) of each image's grid. Top and bottom count rows by the
+    offset, middle is row n // 2; without a row nothing is named. Left and right are the outer
+    third of a row's boxes, one at least, and middle those between, or the one at n // 2; the
+    middle of two, or a row of more than one without a column, is ambiguous. Rows of ``wanted``
+    meet the boxes of their own row only.
     """
-    n_rows = cells.agg((F.max("row") + 1).alias("n_rows"))
-    sized = cells.withColumn("n_cols", F.count("*").over(Window.partitionBy("row"))).crossJoin(F.broadcast(n_rows))
-    row, n, offset = F.col("row"), F.col("n_rows"), F.col("p.row_offset")
-    row_ok = (
-        F.when(F.col("p.row_key").isNull(), F.lit(True))
-        .when(F.col("p.row_key") == "top", row == offset)
-        .when(F.col("p.row_key") == "bottom", row == n - 1 - offset)
-        .otherwise((row > 0) & (row < n - 1))
-    )
-    third = F.greatest(F.floor(F.col("n_cols") / 3), F.lit(1))
-    col = F.col("col")
-    col_ok = (
-        F.when(F.col("p.col_key").isNull(), F.lit(True))
+    each = [*keys, "row"]
+    rows = cells.groupBy(*each).agg(F.count("*").alias("n_cols"))
+    rows = rows.withColumn("n_rows", F.max("row").over(Window.partitionBy(*keys)) + 1)
+    n_rows = rows.groupBy(*keys).agg(F.max("n_rows").alias("n_rows"))
+    offset, last = F.col("p.row_offset"), F.col("n_rows") - 1
+    target = F.when(F.col("p.row_key") == "top", offset).when(F.col("p.row_key") == "bottom", last - offset)
+    target = target.when(F.col("p.row_key") == "middle", F.floor(F.col("n_rows") / 2))
+    asked = wanted.join(n_rows, list(keys), "left").withColumn("row", target.cast("int")).drop("n_rows")
+    boxes = cells.join(rows.drop("n_rows"), each)
+    n, col = F.col("n_cols"), F.col("col")
+    third = F.greatest(F.floor(n / 3), F.lit(1))
+    between = F.when(n == 2, F.lit(False)).when(n - third <= third, col == F.floor(n / 2)).otherwise((col >= third) & (col < n - third))
+    fits = (
+        F.when(F.col("p.col_key").isNull(), n == 1)
         .when(F.col("p.col_key") == "left", col < third)
-        .when(F.col("p.col_key") == "right", col >= F.col("n_cols") - third)
-        .otherwise((col >= third) & (col < F.col("n_cols") - third))
+        .when(F.col("p.col_key") == "right", col >= n - third)
+        .otherwise(between)
     )
-    named = F.col("p.row_key").isNotNull() | F.col("p.col_key").isNotNull()
-    fits = wanted.join(F.broadcast(sized), named & row_ok & col_ok, "left")
-    by = [c for c in wanted.columns]
-    found = fits.groupBy(*by).agg(F.count(index).alias("__n"), F.min(index).alias("__i"))
-    return found.withColumn("chamber", F.when(F.col("__n") == 1, F.col("__i"))).drop("__n", "__i")
+    met = asked.join(boxes, each, "left").withColumn("__box", F.when(fits, F.col(index)))
+    found = met.groupBy(*wanted.columns).agg(F.count("__box").alias("__n"), F.min("__box").alias("chamber"))
+    return found.withColumn("chamber", F.when(F.col("__n") == 1, F.col("chamber"))).drop("__n")
 
 
 def with_overrides(resolved: DataFrame, overrides: DataFrame, order: str) -> DataFrame:

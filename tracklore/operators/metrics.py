@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numbers import share
-from .bouts import merged
+from .bouts import merged, overlaps
 
 
 def frames_in(start: str = "start", end: str = "end") -> Column:
@@ -63,9 +63,8 @@ def interval_confusion(predicted: DataFrame, actual: DataFrame, totals: DataFram
     p, a = (merged(x.select(*keys, "start", "end"), keys, 1) for x in (predicted, actual))
     n_p = p.groupBy(*keys).agg(F.sum(frames_in()).alias("np"))
     n_a = a.groupBy(*keys).agg(F.sum(frames_in()).alias("na"))
-    both = p.join(a.select(*keys, F.col("start").alias("s"), F.col("end").alias("e")), list(keys))
-    cut = F.least("end", "e") - F.greatest("start", "s") + 1
-    both = both.where(cut > 0).groupBy(*keys).agg(F.sum(cut).alias("tp"))
+    spans = [x.select(*keys, F.col("start").alias(s), F.col("end").alias(e)) for x, s, e in ((p, "s", "e"), (a, "rs", "re"))]
+    both = overlaps(*spans, keys).groupBy(*keys).agg(F.sum(F.least("e", "re") - F.greatest("s", "rs") + 1).alias("tp"))
     all_ = totals.join(n_p, list(keys), "left").join(n_a, list(keys), "left").join(both, list(keys), "left").fillna(0, ["np", "na", "tp"])
     return all_.select(
         *keys, "tp", (F.col("np") - F.col("tp")).alias("fp"), (F.col("na") - F.col("tp")).alias("fn"),

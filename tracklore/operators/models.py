@@ -12,6 +12,22 @@ from .bouts import from_scores
 from .series import over, transformed, window_stat
 
 
+#: Beginnings of feature names (case, spaces and underscores aside), and the columns
+#: they mean, in the order in which they are tried.
+SYNONYMS = {
+    "angle": "theta", "absangle": "theta", "theta": "theta",
+    "speed": "vel", "velmag": "vel", "velocity": "vel", "dv": "dv",
+    "dist2wall": "dist2wall", "dcenter": "dcenter",
+    "dpartner": "dpartner", "disttoother": "dpartner", "distance2other": "dpartner",
+    "bearing": "bearing_to_other", "bearingtoother": "bearing_to_other",
+    "facing": "facing_angle", "facingangle": "facing_angle", "relangle": "facing_angle",
+    "wings": "wing_angle", "wing": "wing_angle", "wingangle": "wing_angle",
+    "area": "area", "angspeed": "angspeed", "dtheta": "angspeed",
+}
+#: Columns that stand in, in this order, where a feature names none.
+DEFAULTS = ["vel", "theta", "dist2wall", "dcenter", "wing_angle", "dpartner", "area"]
+
+
 @dataclass(frozen=True)
 class Stump:
     """Votes direction * alpha if feature ``dim`` (from 1) is below ``thr``, else the opposite."""
@@ -33,19 +49,37 @@ def token_map_column(tokens: Column) -> Column:
     return F.map_from_arrays(F.slice(even, F.lit(1), F.size(odd)), odd)
 
 
+def feature_column(spec: dict, columns: Sequence[str]) -> str | None:
+    """The column that a feature's perframe, feature or src means; None where there is no such column."""
+    name = next((spec[k] for k in ("perframe", "feature", "src") if spec.get(k)), None)
+    if isinstance(name, (list, tuple)):
+        name = name[0]
+    if name is None:
+        return next((c for c in DEFAULTS if c in columns), None)
+    plain = str(name).lower().replace(" ", "").replace("_", "")
+    name = next((column for start, column in SYNONYMS.items() if plain.startswith(start)), str(name))
+    return name if name in columns else None
+
+
+def feature_tokens(own: Sequence | None, behavior: str, beside: dict[str, Sequence], folder: dict[str, Sequence]) -> Sequence | None:
+    """A model's feature names: its own, or else those kept beside it, or else in its folder, for its behaviour (as letters and digits)."""
+    plain = "".join(c for c in behavior.lower() if c.isalnum())
+    return own or beside.get(plain) or folder.get(plain)
+
+
 def window_features(df: DataFrame, keys: Sequence[str], specs: Sequence[dict], frame: str = "frame") -> DataFrame:
-    """Columns f1, f2, .. of the specs (perframe, trans, stat, radius, offset); an unknown column is 0.
+    """Columns f1, f2, .. of the specs (perframe, trans, stat, radius, offset); a feature without a column is 0.
 
     Specs with equal frames share a window, so Spark computes them in one pass.
     """
     w = over(keys, frame)
-    new = {}
+    new, columns = {}, list(df.columns)
     for k, spec in enumerate(specs, 1):
-        name = spec.get("perframe")
-        if name not in df.columns:
+        name = feature_column(spec, columns)
+        if name is None:
             new[f"f{k}"] = F.lit(0.0)
             continue
-        df = df.withColumn(f"__t{k}", transformed(F.col(name), spec.get("trans")))
+        df = transformed(df, keys, F.col(name), spec.get("trans") or spec.get("trans_types"), f"__t{k}")
         new[f"f{k}"] = window_stat(f"__t{k}", w, str(spec.get("stat") or "mean").lower(), int(spec.get("radius") or 5), int(spec.get("offset") or 0))
     return df.withColumns(new).drop(*(f"__t{k}" for k in range(1, len(specs) + 1)))
 

@@ -59,7 +59,7 @@ def evaluate(annotated: DataFrame, mapping: DataFrame, measures: DataFrame, resu
     ``mapping``: (descriptor, chamber); ``results``: (chamber, scope) of chambers with a result
     file; ``measures``: a row for each chamber.
     """
-    joined = annotated.join(F.broadcast(mapping), "descriptor", "left").join(results, "chamber", "left")
+    joined = annotated.join(mapping, "descriptor", "left").join(results, "chamber", "left")
     scope = F.when(F.col("chamber").isNull(), "unmapped").when(F.col("scope").isNull(), "no_results").otherwise(F.col("scope"))
     return joined.withColumn("scope", scope).join(measures, "chamber", "left")
 

@@ -178,8 +178,19 @@ def percentile_rank(df: DataFrame, keys: Sequence[str], value: str, out: str) ->
     return df.withColumn(out, F.when(F.col(value).isNull(), F.lit(0.0)).otherwise(rank)).drop("__bins")
 
 
-def transformed(value: Column, trans: str | int | None) -> Column:
-    """abs or flip by name, or by bits 2 and 4; 'relative' (bit 8) is ``percentile_rank``."""
-    mask = {"abs": 2, "flip": 4}.get(trans.lower(), 0) if isinstance(trans, str) else int(trans or 0)
+def transform_mask(trans: str | int | None) -> int:
+    """Bits of a transform: abs is 2, flip 4 and relative 8, by name or as bits; anything else is none."""
+    if isinstance(trans, str) and trans.lower() in ("abs", "flip", "relative"):
+        return {"abs": 2, "flip": 4, "relative": 8}[trans.lower()]
+    try:
+        return int(trans or 0)
+    except ValueError:
+        return 0
+
+
+def transformed(df: DataFrame, keys: Sequence[str], value: Column, trans: str | int | None, out: str) -> DataFrame:
+    """``df`` with ``value`` as ``out``: made positive, then turned over, then ranked by ``percentile_rank``, as the bits say."""
+    mask = transform_mask(trans)
     value = F.abs(value) if mask & 2 else value
-    return -value if mask & 4 else value
+    df = df.withColumn(out, -value if mask & 4 else value)
+    return percentile_rank(df, keys, out, out) if mask & 8 else df

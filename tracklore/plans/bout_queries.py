@@ -92,6 +92,14 @@ pairs AS (
          (least(p1.e, r1.e) + 1 - greatest(p1.s, r1.s)) / CAST(greatest(p1.e, r1.e) + 1 - least(p1.s, r1.s) AS DOUBLE) AS iou
   FROM p1 JOIN r1 ON p1.user_id = r1.user_id AND p1.s <= r1.e AND r1.s <= p1.e)"""
 
+#: CTE ``gm`` (user_id, i, j, iou): pairs taken one by one, the best first, unless either side is taken.
+_GREEDY = f"""WITH RECURSIVE {_SIDES},
+o AS (SELECT user_id, i, j, iou, row_number() OVER (PARTITION BY user_id ORDER BY iou DESC, i DESC, j DESC) AS k FROM pairs WHERE iou >= 0.3),
+st AS (SELECT user_id, k, i, j, iou, TRUE AS ok, [i] AS ui, [j] AS uj FROM o WHERE k = 1
+UNION ALL SELECT user_id, k, i, j, iou, ok, CASE WHEN ok THEN list_append(ui, i) ELSE ui END, CASE WHEN ok THEN list_append(uj, j) ELSE uj END FROM (
+  SELECT o.*, st.ui, st.uj, NOT list_contains(st.ui, o.i) AND NOT list_contains(st.uj, o.j) AS ok FROM st JOIN o ON o.user_id = st.user_id AND o.k = st.k + 1)),
+gm AS (SELECT user_id, i, j, iou FROM st WHERE ok)"""
+
 
 def overlap_join(spark, sf_dir):
     p, r = _sides(spark, sf_dir)
@@ -110,7 +118,8 @@ def match_metrics(spark, sf_dir):
     found = B.greedy_match(pairs, KEY).join(p.drop("e"), ["user_id", "i"]).join(r.drop("re"), ["user_id", "j"])
     found = found.withColumns({"ds": F.abs(F.col("s") - F.col("rs")).cast("double"), "de": F.lit(0.0)})
     n_p, n_r = (x.groupBy("user_id").agg(F.count("*").alias(n)) for x, n in ((p, "n_pred"), (r, "n_ref")))
-    return M.match_summary(found, KEY, n_p, n_r).drop("end_offset")
+    out = M.match_summary(found, KEY, n_p, n_r).drop("end_offset")
+    return out.withColumns({c: F.round(c, 6) for c in ("start_offset", "median_iou")})
 
 
 def frame_labels(spark, sf_dir):
@@ -221,8 +230,14 @@ SELECT user_id, behavior, s AS start, e AS "end" FROM c WHERE n < e - s + 1""",
         f"WITH {_BEHAVIOURS}, {merged_sql('bh', 'user_id', 1, 'u', chr(98) + 'ehavior <> ' + repr('error'))}, {merged_sql('u', 'user_id', 5, 'v', 'e - s + 1 >= 4')} {select('v')} WHERE e - s + 1 >= 4",
     ),
     "overlap_join": (overlap_join, f"WITH {_SIDES} SELECT user_id, i, j, round(iou, 6) AS iou FROM pairs WHERE iou >= 0.3"),
-    "greedy_match": (greedy_match, None),
-    "match_metrics": (match_metrics, None),
+    "greedy_match": (greedy_match, f"{_GREEDY} SELECT user_id, i, j, round(iou, 6) AS iou FROM gm"),
+    "match_metrics": (
+        match_metrics,
+        f"""{_GREEDY}, np AS (SELECT user_id, count(*) AS n_pred FROM p1 GROUP BY user_id), nr AS (SELECT user_id, count(*) AS n_ref FROM r1 GROUP BY user_id),
+mm AS (SELECT user_id, count(*) AS matched, avg(abs(i - j)) AS ds, median(iou) AS iou FROM gm GROUP BY user_id)
+SELECT user_id, coalesce(matched, 0) AS matched, coalesce(n_pred, 0) - coalesce(matched, 0) AS false_bouts, coalesce(n_ref, 0) - coalesce(matched, 0) AS missed,
+round(coalesce(ds, 0.0), 6) AS start_offset, round(coalesce(iou, 0.0), 6) AS median_iou FROM np FULL JOIN nr USING (user_id) LEFT JOIN mm USING (user_id)""",
+    ),
     "frame_labels": (
         frame_labels,
         f"""WITH {SERIES}, n AS (SELECT user_id, count(*) AS n FROM s GROUP BY user_id),

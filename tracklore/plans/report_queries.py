@@ -25,13 +25,13 @@ def behaviour_masks(spark, sf_dir):
 
 def preview_frames(spark, sf_dir):
     b = B.merged(_behaviours(spark, sf_dir), ["user_id"], 1)
-    shown = V.preview_frames(F.col("start"), F.col("end"), 30.0, most=5)
+    shown = V.preview_frames(F.col("start"), F.col("end"), 30.0)
     return b.select("user_id", "start", F.explode(shown).alias("frame"))
 
 
 def sample_times(spark, sf_dir):
     """Times to sample in orders taken as videos, whose length in seconds is their price over 1000."""
-    orders = table(spark, sf_dir, "orders").where("o_orderkey % 5 = 0")
+    orders = table(spark, sf_dir, "orders")
     times = V.sample_times(F.floor(F.col("o_totalprice") / 1000).cast("double"))
     return orders.select("o_orderkey", F.explode(times).alias("t")).select("o_orderkey", F.round("t", 6).alias("t"))
 
@@ -94,11 +94,11 @@ QUERIES = {
         f"{_FRAMES} SELECT user_id, frame, string_agg(CASE behavior WHEN 'purchase' THEN 'Pur' WHEN 'signup' THEN 'Sig' WHEN 'click' THEN 'Cli' ELSE 'Vie' END, ' | ' ORDER BY CASE behavior WHEN 'purchase' THEN 1 WHEN 'signup' THEN 2 WHEN 'click' THEN 3 ELSE 4 END) AS label FROM f GROUP BY 1, 2",
     ),
     "behaviour_masks": (behaviour_masks, f"{_FRAMES} SELECT user_id, frame, {', '.join(f'bool_or(behavior = {n!r}) AS {n}' for n in NAMES)} FROM f GROUP BY 1, 2"),
-    "preview_frames": (preview_frames, f"WITH {_BEHAVIOURS}, {merged_sql('bh', 'user_id', 1, 'u')} SELECT user_id, s AS start, unnest((range(s, e + 1, 3))[1:5]) AS frame FROM u"),
+    "preview_frames": (preview_frames, f"WITH {_BEHAVIOURS}, {merged_sql('bh', 'user_id', 1, 'u')} SELECT user_id, s AS start, unnest((range(s, e + 1, 3))[1:100]) AS frame FROM u"),
     "sample_times": (
         sample_times,
-        """WITH d AS (SELECT o_orderkey, CAST(floor(o_totalprice / 1000) AS DOUBLE) AS d FROM orders WHERE o_orderkey % 5 = 0), k AS (SELECT *, least(90.0, d * 0.15) AS a, least(300.0, d * 0.8) AS b FROM d)
-SELECT o_orderkey, round(a + i * 5.0, 6) AS t FROM k CROSS JOIN range(60) r(i) WHERE a + i * 5.0 < b""",
+        """WITH d AS (SELECT o_orderkey, CAST(floor(o_totalprice / 1000) AS DOUBLE) AS d FROM orders), k AS (SELECT *, least(90.0, d * 0.15) AS a, least(300.0, d * 0.8) AS b FROM d)
+SELECT o_orderkey, round(a + i * 5.0, 6) AS t FROM (SELECT *, unnest(range(60)) AS i FROM k) WHERE a + i * 5.0 < b""",
     ),
     "best_sample": (best_sample, "SELECT l_partkey, l_linenumber AS best_t FROM (SELECT l_partkey, l_linenumber, sum(l_quantity) AS n FROM lineitem GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY l_partkey ORDER BY n DESC, l_linenumber) = 1"),
     "grid_boxes": (

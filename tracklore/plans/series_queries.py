@@ -22,8 +22,12 @@ SPECS = [
     {"perframe": "value", "stat": "max", "trans": "flip", "radius": 1, "offset": 1},
     {"perframe": "speed", "stat": "mean"},
     {"perframe": "value", "stat": "diff_neighbor_mean", "radius": 3},
+    {"feature": "Wing Spread", "trans": "relative", "stat": "mean", "radius": 2},
+    {"stat": "min", "radius": 1, "trans_types": "10"},
 ]
-FRAME_STUMPS = [L.Stump(1, 45.0, -1, 1.0), L.Stump(2, -20.0, 1, 0.6), L.Stump(3, 0.5, 1, 0.2), L.Stump(4, 0.0, -1, 0.7)]
+FRAME_STUMPS = [
+    L.Stump(1, 45.0, -1, 1.0), L.Stump(2, -20.0, 1, 0.6), L.Stump(3, 0.5, 1, 0.2), L.Stump(4, 0.0, -1, 0.7), L.Stump(5, 0.597, -1, 0.5), L.Stump(6, 0.403, 1, 0.3),
+]
 
 
 def _rounded(df: DataFrame, *names: str) -> DataFrame:
@@ -141,8 +145,10 @@ def boosted_stumps(spark, sf_dir):
 
 
 def boosted_bouts(spark, sf_dir):
-    df = L.window_features(series(spark, sf_dir), KEY, SPECS)
-    scored = df.withColumn("score", F.round(L.boosted_score(FRAME_STUMPS, [F.col(f"f{k}") for k in range(1, 5)]), 6))
+    """Scores of features named in full, by a synonym, not at all, and unknown; two of them ranked within their series."""
+    df = L.window_features(series(spark, sf_dir).withColumn("wing_angle", F.col("value") / 64 - 0.5), KEY, SPECS)
+    # Features are compared at nine decimals, below which interpolated percentiles are not exact.
+    scored = df.withColumn("score", F.round(L.boosted_score(FRAME_STUMPS, [F.round(f"f{k}", 9) for k in range(1, len(SPECS) + 1)]), 6))
     return L.boosted_bouts(scored, KEY, "score")
 
 
@@ -156,8 +162,8 @@ def adaptive_speed(spark, sf_dir):
 
 
 def running_median(spark, sf_dir):
-    """Median of the last 20 values of each user."""
-    w = S.over(KEY).rowsBetween(-19, 0)
+    """Median of the last 200 values of each user."""
+    w = S.over(KEY).rowsBetween(-199, 0)
     return _rounded(series(spark, sf_dir).withColumn("med", F.percentile("value", F.lit(0.5)).over(w)), "med")
 
 
@@ -195,7 +201,7 @@ def _tip_sql(sign: str) -> str:
 _VOTES = " + ".join(
     f"(CASE WHEN CAST(embedding[{s.dim}] AS DOUBLE) < {s.thr} THEN {s.direction * s.alpha} ELSE {-s.direction * s.alpha} END)" for s in STUMPS if s.dim <= 64
 )
-_FRAME_VOTES = " + ".join(f"(CASE WHEN f{s.dim} < {s.thr} THEN {s.direction * s.alpha} ELSE {-s.direction * s.alpha} END)" for s in FRAME_STUMPS)
+_FRAME_VOTES = " + ".join(f"(CASE WHEN round(f{s.dim}, 9) < {s.thr} THEN {s.direction * s.alpha} ELSE {-s.direction * s.alpha} END)" for s in FRAME_STUMPS)
 _ISLANDS = "SELECT user_id, min(frame) AS start, max(frame) AS \"end\" FROM (SELECT *, frame - row_number() OVER (PARTITION BY user_id ORDER BY frame) AS grp FROM on_rows) GROUP BY user_id, grp"
 
 QUERIES = {
@@ -280,9 +286,14 @@ SELECT video_id, CAST(s0 AS DOUBLE) AS score_0, CAST(s1 AS DOUBLE) AS score_1, s
     "boosted_stumps": (boosted_stumps, f"SELECT vec_id, CAST(round({_VOTES}, 6) AS DOUBLE) AS score FROM embeddings"),
     "boosted_bouts": (
         boosted_bouts,
-        f"""WITH {SERIES}, f AS (SELECT user_id, frame, avg(value) OVER (PARTITION BY user_id ORDER BY frame ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS f1,
+        f"""WITH {SERIES}, wa AS (SELECT *, value / 64 - 0.5 AS a FROM s),
+bn AS (SELECT user_id, quantile_cont(a, {[k / 100 for k in range(0, 101, 2)]}) AS b1, quantile_cont(abs(a), {[k / 100 for k in range(0, 101, 2)]}) AS b2 FROM wa GROUP BY user_id),
+ranked AS (SELECT wa.*, len(list_filter(b1, lambda b: round(b, 9) <= round(a, 9))) / 51.0 AS k1, len(list_filter(b2, lambda b: round(b, 9) <= round(abs(a), 9))) / 51.0 AS k2 FROM wa JOIN bn USING (user_id)),
+f AS (SELECT user_id, frame, avg(value) OVER (PARTITION BY user_id ORDER BY frame ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS f1,
 max(-value) OVER (PARTITION BY user_id ORDER BY frame ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING) AS f2, 0.0 AS f3,
-value - avg(value) OVER (PARTITION BY user_id ORDER BY frame ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS f4 FROM s),
+value - avg(value) OVER (PARTITION BY user_id ORDER BY frame ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS f4,
+avg(k1) OVER (PARTITION BY user_id ORDER BY frame ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS f5,
+min(k2) OVER (PARTITION BY user_id ORDER BY frame ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS f6 FROM ranked),
 on_rows AS (SELECT user_id, frame FROM f WHERE round({_FRAME_VOTES}, 6) > 0) SELECT * FROM ({_ISLANDS}) WHERE "end" - start + 1 >= 3""",
     ),
     "adaptive_speed": (
@@ -290,5 +301,5 @@ on_rows AS (SELECT user_id, frame FROM f WHERE round({_FRAME_VOTES}, 6) > 0) SEL
         f"""WITH {GAPPY}, v AS (SELECT user_id, abs({_grad_sql('x')}) AS speed FROM g WINDOW w AS {_W_ORDER})
 SELECT user_id, round(CASE WHEN count(*) FILTER (WHERE speed > 0) = 0 THEN 0.5 ELSE greatest(0.3, 0.2 * median(speed) FILTER (WHERE speed > 0)) END, 6) AS threshold FROM v GROUP BY 1""",
     ),
-    "running_median": (running_median, f"WITH {SERIES} SELECT user_id, frame, round(median(value) OVER (PARTITION BY user_id ORDER BY frame ROWS BETWEEN 19 PRECEDING AND CURRENT ROW), 5) AS med FROM s"),
+    "running_median": (running_median, f"WITH {SERIES} SELECT user_id, frame, round(median(value) OVER (PARTITION BY user_id ORDER BY frame ROWS BETWEEN 199 PRECEDING AND CURRENT ROW), 5) AS med FROM s"),
 }

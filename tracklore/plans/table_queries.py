@@ -11,7 +11,19 @@ from ..operators import image as I
 from ..sources import results as S
 from .base import SERIES, TRACKS, series, table, tracks
 
-_ORDINALS = ["first", "second", "third", "2nd"]
+#: Descriptions of a position and what each means: row, rows from its edge, column. A leading number is a tag, even in 4th.
+_DESCRIBED = [
+    ("01 (bottom right)", "bottom", 0, "right"), ("02 (second row from the bottom, right)", "bottom", 1, "right"),
+    ("second from the bottom, right", "bottom", 1, "right"), ("third top, left", "top", 2, "left"), ("07 (top row middle)", "top", 0, "middle"),
+    ("middle", "middle", 0, None), ("middle row middle", "middle", 0, None), ("middle row, left", "middle", 0, "left"), ("left", None, 0, "left"),
+    ("4th row from the top centre", "top", 0, "middle"), ("09 (4th row from the top, centre)", "top", 3, "middle"), ("12 plate top left (2nd row from bottom, center)", "bottom", 1, "middle"),
+    ("(FIRST BOTTOM)", "bottom", 0, None), ("top row", "top", 0, None), ("fifth row from top, right of the middle", "top", 4, "middle"),
+    ("somewhere", None, 0, None), ("6 (bottom row (left) of the top)", None, 0, "left"), ("top-left row", "top", 0, "left"), ("1st bottom right", "bottom", 0, "right"),
+    ("one from the bottom, middle", "bottom", 0, "middle"), ("", None, 0, None),
+]
+
+#: Boxes in a row, by image.
+_ROW_SIZES = [3, 2, 1, 6, 4, 12, 5]
 
 
 def time_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,17 +46,9 @@ def clock_text(spark, sf_dir):
 
 
 def _described(spark, sf_dir):
-    k = F.col("s_suppkey")
-    ordinal = F.element_at(F.array(*map(F.lit, _ORDINALS)), (k % 4 + 1).cast("int"))
-    side = F.element_at(F.array(*map(F.lit, ["left", "right", "middle", "center"])), (F.floor(k / 4) % 4 + 1).cast("int"))
-    edge = F.when(k % 3 == 0, "top").otherwise("bottom")
-    text = (
-        F.when(k % 6 == 0, F.concat(F.lit("0"), k.cast("string"), F.lit(" ("), edge, F.lit(" "), side, F.lit(")")))
-        .when(k % 6 == 1, F.concat(edge, F.lit(" row "), side))
-        .when(k % 6 == 2, F.lit("somewhere"))
-        .otherwise(F.concat(F.lit("7 ("), ordinal, F.lit(" row from the "), edge, F.lit(", "), side, F.lit(")")))
-    )
-    return table(spark, sf_dir, "supplier").select("s_suppkey", text.alias("descriptor"))
+    texts = F.array(*(F.lit(d[0]) for d in _DESCRIBED))
+    number = (F.col("s_suppkey") % len(_DESCRIBED)).cast("int")
+    return table(spark, sf_dir, "supplier").select("s_suppkey", F.get(texts, number).alias("descriptor"))
 
 
 def descriptor_parse(spark, sf_dir):
@@ -52,13 +56,13 @@ def descriptor_parse(spark, sf_dir):
     return found.select("s_suppkey", "p.row_key", "p.row_offset", "p.col_key")
 
 
-def _boxes(spark, sf_dir):
-    """Boxes of parts, 12 to an image, in 4 rows of 3 that are not quite straight."""
+def _boxes(spark, sf_dir, columns=None):
+    """Boxes of parts, 12 to an image, in rows of 3 (or of ``columns`` of the image) that are not quite straight."""
     k = F.col("p_partkey")
-    i = k % 12
+    i, n = k % 12, columns(F.floor(k / 12)) if columns else 3
     return table(spark, sf_dir, "part").select(
-        F.floor(k / 12).alias("image"), i.alias("idx"), (i % 3 * 100 + F.col("p_size") % 20).cast("double").alias("x"),
-        (F.floor(i / 3) * 80 + F.col("p_size") % 15).cast("double").alias("y"), (40 + F.col("p_size") % 10).cast("double").alias("w"),
+        F.floor(k / 12).alias("image"), i.alias("idx"), (i % n * 100 + F.col("p_size") % 20).cast("double").alias("x"),
+        (F.floor(i / n) * 80 + F.col("p_size") % 15).cast("double").alias("y"), (40 + F.col("p_size") % 10).cast("double").alias("w"),
         (40 + F.col("p_size") % 8).cast("double").alias("h"),
     )
 
@@ -68,9 +72,11 @@ def grid_assign(spark, sf_dir):
 
 
 def grid_match(spark, sf_dir):
-    cells = G.grid_coordinates(_boxes(spark, sf_dir).where("image = 0"), ["image"], "idx").select("idx", "row", "col")
-    wanted = _described(spark, sf_dir).select("s_suppkey", T.position(F.col("descriptor")).alias("p"))
-    return G.resolve_positions(cells, wanted, "idx").select("s_suppkey", F.col("chamber").alias("idx"))
+    """Each supplier's description in the image of its number; images have 1 to 6 boxes in a row."""
+    columns = lambda image: F.get(F.array(*map(F.lit, _ROW_SIZES)), (image % len(_ROW_SIZES)).cast("int"))
+    cells = G.grid_coordinates(_boxes(spark, sf_dir, columns), ["image"], "idx").select("image", "idx", "row", "col")
+    wanted = _described(spark, sf_dir).select("s_suppkey", F.col("s_suppkey").alias("image"), T.position(F.col("descriptor")).alias("p"))
+    return G.resolve_positions(cells, wanted, ["image"], "idx").select("s_suppkey", F.col("chamber").alias("idx"))
 
 
 def mapping_override(spark, sf_dir):
@@ -115,9 +121,9 @@ def left_unmapped(spark, sf_dir):
 
 
 def json_override_merge(spark, sf_dir):
-    """Of each event's JSON properties, the entries that are numbers, and a default where k is absent."""
+    """The entries of each event's JSON properties, as overrides: of each name, how many and their sum."""
     events = table(spark, sf_dir, "events").select("event_id", "props")
-    rows = S.read_overrides(events.where("event_id % 2 = 0"), "props")
+    rows = S.read_overrides(events, "props")
     return rows.groupBy("descriptor").agg(F.count("*").alias("n"), F.sum("chamber").alias("total"))
 
 
@@ -188,18 +194,26 @@ def distinct_behaviours(spark, sf_dir):
     return firsts.withColumn("ord", order.cast("long"))
 
 
-_BOXES = """bx AS (SELECT p_partkey // 12 AS image, p_partkey % 12 AS idx, CAST(p_partkey % 12 % 3 * 100 + p_size % 20 AS DOUBLE) AS x,
-CAST(p_partkey % 12 // 3 * 80 + p_size % 15 AS DOUBLE) AS y, CAST(40 + p_size % 10 AS DOUBLE) AS w, CAST(40 + p_size % 8 AS DOUBLE) AS h FROM part)"""
-_GRID = f"""WITH RECURSIVE {_BOXES}, o AS (SELECT *, y + h / 2 AS cy, row_number() OVER (PARTITION BY image ORDER BY y + h / 2, idx) AS k FROM bx),
+def _boxes_sql(n: str = "3") -> str:
+    return f"""bx AS (SELECT p_partkey // 12 AS image, p_partkey % 12 AS idx, CAST(p_partkey % 12 % {n} * 100 + p_size % 20 AS DOUBLE) AS x,
+CAST(p_partkey % 12 // {n} * 80 + p_size % 15 AS DOUBLE) AS y, CAST(40 + p_size % 10 AS DOUBLE) AS w, CAST(40 + p_size % 8 AS DOUBLE) AS h FROM part)"""
+
+
+def _grid_sql(boxes: str) -> str:
+    return f"""WITH RECURSIVE {boxes}, o AS (SELECT *, y + h / 2 AS cy, row_number() OVER (PARTITION BY image ORDER BY y + h / 2, idx) AS k FROM bx),
 mm AS (SELECT image, greatest(1.0, 0.5 * (list_sort(list(h)))[count(*) // 2 + 1]) AS near FROM bx GROUP BY image),
 f AS (SELECT image, k, idx, x, w, cy AS anchor, 0 AS row FROM o WHERE k = 1
 UNION ALL SELECT o.image, o.k, o.idx, o.x, o.w, CASE WHEN abs(o.cy - f.anchor) <= near THEN f.anchor ELSE o.cy END, CASE WHEN abs(o.cy - f.anchor) <= near THEN f.row ELSE f.row + 1 END
 FROM f JOIN o ON o.image = f.image AND o.k = f.k + 1 JOIN mm ON mm.image = f.image),
 grid AS (SELECT image, idx, row, row_number() OVER (PARTITION BY image, row ORDER BY x + w / 2, idx) - 1 AS col FROM f)"""
-_DESC = """dx AS (SELECT s_suppkey AS k, ['first','second','third','2nd'][s_suppkey % 4 + 1] AS ord, ['left','right','middle','center'][s_suppkey // 4 % 4 + 1] AS side,
-CASE WHEN s_suppkey % 3 = 0 THEN 'top' ELSE 'bottom' END AS edge FROM supplier),
-pz AS (SELECT k AS s_suppkey, CASE WHEN side = 'center' THEN 'middle' ELSE side END AS c, edge, CASE WHEN ord = 'first' THEN 0 WHEN ord = 'third' THEN 2 ELSE 1 END AS n, k % 6 AS kind FROM dx),
-ps AS (SELECT s_suppkey, CASE WHEN kind = 2 THEN NULL ELSE edge END AS row_key, CASE WHEN kind IN (0, 1, 2) THEN 0 ELSE n END AS row_offset, CASE WHEN kind = 2 THEN NULL ELSE c END AS col_key FROM pz)"""
+
+
+_BOXES = _boxes_sql()
+_GRID = _grid_sql(_BOXES)
+_PLATES = _grid_sql(_boxes_sql(f"({_ROW_SIZES})[p_partkey // 12 % {len(_ROW_SIZES)} + 1]"))
+_quoted = lambda x: "NULL" if x is None else f"'{x}'"
+_DESC = f"""dx(k, row_key, row_offset, col_key) AS (VALUES {', '.join(f"({k}, {_quoted(r)}, {n}, {_quoted(c)})" for k, (_, r, n, c) in enumerate(_DESCRIBED))}),
+ps AS (SELECT s_suppkey, row_key, row_offset, col_key FROM supplier JOIN dx ON k = s_suppkey % {len(_DESCRIBED)})"""
 
 QUERIES = {
     "time_text": (
@@ -211,10 +225,12 @@ QUERIES = {
     "grid_assign": (grid_assign, f"{_GRID} SELECT * FROM grid"),
     "grid_match": (
         grid_match,
-        f"""{_GRID}, {_DESC}, cl AS (SELECT idx, row, col, count(*) OVER (PARTITION BY row) AS nc, max(row) OVER () + 1 AS nr FROM grid WHERE image = 0),
-ft AS (SELECT s_suppkey, idx FROM ps JOIN cl ON row_key IS NOT NULL AND row = CASE WHEN row_key = 'top' THEN row_offset ELSE nr - 1 - row_offset END
-AND CASE col_key WHEN 'left' THEN col < greatest(nc // 3, 1) WHEN 'right' THEN col >= nc - greatest(nc // 3, 1) ELSE col >= greatest(nc // 3, 1) AND col < nc - greatest(nc // 3, 1) END)
-SELECT ps.s_suppkey, CASE WHEN count(idx) = 1 THEN min(idx) END AS idx FROM ps LEFT JOIN ft USING (s_suppkey) GROUP BY 1""",
+        f"""{_PLATES}, {_DESC}, cl AS (SELECT image, row, max(row) OVER (PARTITION BY image) + 1 AS nr, list(idx ORDER BY col) AS ids FROM grid GROUP BY image, row),
+pk AS (SELECT s_suppkey, col_key, ids, len(ids) AS n, greatest(len(ids) // 3, 1) AS third FROM ps JOIN cl ON image = s_suppkey
+AND row = CASE row_key WHEN 'top' THEN row_offset WHEN 'bottom' THEN nr - 1 - row_offset WHEN 'middle' THEN nr // 2 END),
+bk AS (SELECT s_suppkey, CASE WHEN col_key IS NULL THEN ids WHEN col_key = 'left' THEN ids[1:third] WHEN col_key = 'right' THEN ids[n - third + 1:n] WHEN n = 1 THEN ids
+WHEN n = 2 THEN NULL WHEN n - third <= third THEN ids[n // 2 + 1:n // 2 + 1] ELSE ids[third + 1:n - third] END AS ids FROM pk)
+SELECT ps.s_suppkey, CASE WHEN len(ids) = 1 THEN ids[1] END AS idx FROM ps LEFT JOIN bk USING (s_suppkey)""",
     ),
     "mapping_override": (
         mapping_override,
@@ -236,7 +252,7 @@ SELECT image, idx, greatest(x - 12, 0) AS x, greatest(y - 12, 0) AS y, least(w +
     "argmax_first": (argmax_first, "SELECT l_suppkey, l_partkey FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_suppkey ORDER BY l_quantity DESC, l_linenumber, l_partkey) = 1"),
     "anti_completed": (anti_completed, "SELECT o_custkey, o_orderkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)"),
     "left_unmapped": (left_unmapped, "SELECT c_custkey, min(o_orderkey) AS first_order, CASE WHEN min(o_orderkey) IS NULL THEN 'no_results' ELSE 'mapped' END AS scope FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1"),
-    "json_override_merge": (json_override_merge, "SELECT 'k' AS descriptor, count(*) AS n, CAST(sum(CAST(json_extract(props, '$.k') AS INT)) AS BIGINT) AS total FROM events WHERE event_id % 2 = 0"),
+    "json_override_merge": (json_override_merge, "SELECT 'k' AS descriptor, count(*) AS n, CAST(sum(CAST(json_extract(props, '$.k') AS INT)) AS BIGINT) AS total FROM events"),
     "entity_labels": (
         entity_labels,
         "SELECT DISTINCT user_id, 'Fly ' || user_id || CASE user_id % 3 WHEN 0 THEN ' (Male)' WHEN 1 THEN ' (Female)' ELSE '' END AS label, CAST(user_id AS INT) AS entity, user_id % 3 = 0 AS male FROM events",

@@ -48,7 +48,7 @@ def bout_rows(bouts: DataFrame, fps: float, roles: DataFrame | None = None) -> D
     if roles is None:
         bouts = bouts.withColumns({"is_male": F.lit(False), "is_female": F.lit(False)})
     else:
-        bouts = bouts.join(F.broadcast(roles), "fly", "left")
+        bouts = bouts.join(roles, "fly", "left")
     return bouts.select(
         F.col("behavior").alias("Behavior"), entity_label(F.col("fly"), F.col("is_male"), F.col("is_female")).alias("Fly"),
         F.round(F.col("start") / fps, 3).alias("Start_Time (s)"), F.round(F.col("end") / fps, 3).alias("End_Time (s)"),
