@@ -25,17 +25,16 @@ def in_shared_buckets(items: DataFrame) -> DataFrame:
     return cut(items.join(sizes, "key"))
 
 
-def groups(members: DataFrame, confirm: Confirm, may_link: MayLink, traits: list[str], describe: Confirm, linked: MayLink) -> DataFrame:
+def groups(members: DataFrame, confirm: Confirm, may_link: MayLink, traits: list[str]) -> DataFrame:
     """``node`` and ``component`` of items that link.
 
     ``members`` has key, id, size and ``traits``; ``may_link(x, y)`` rules out pairs by traits,
     whose columns are x.trait and y.trait; ``confirm`` keeps the pairs (a, b) that do link.
     First each bucket's members are paired with its centre, the member whose buckets are the
     fullest, which is the likeliest original of a group of copies. Then, in buckets whose
-    members are still in different components, all pairs across components are tested where they
-    meet, by ``linked(x, y)``, which also knows the columns that ``describe`` gives for ids, and
-    only those that pass are written. Buckets meet in chunks of CHUNK members, so that one large
-    bucket is the work of many tasks.
+    members are still in different components, all pairs across components are tested. Buckets
+    meet in chunks of CHUNK members, so that one large bucket is the work of many tasks; the work
+    still grows with the square of what shares a bucket and is not linked.
     """
     x = F.struct("id", *traits).alias("x")
     busy = members.groupBy("id").agg(F.sum("size").alias("busy"))
@@ -49,13 +48,12 @@ def groups(members: DataFrame, confirm: Confirm, may_link: MayLink, traits: list
     placed = members.join(found.withColumnRenamed("node", "id"), "id", "left")
     placed = cut(placed.select("key", "id", *traits, F.coalesce("component", "id").alias("part")))
     mixed = placed.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count("*").alias("n")).where("low < high")
-    left = cut(placed.join(mixed.select("key", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks")), "key"))
-    told = describe(left.select("id").distinct())
-    left = left.join(told, "id").withColumn("at", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
-    each, item = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)), F.struct("id", *traits, *(c for c in told.columns if c != "id"))
+    left = placed.join(mixed.select("key", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks")), "key")
+    left = left.withColumn("at", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
+    each, item = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)), F.struct("id", *traits)
     one = left.select("key", F.col("at").alias("i"), each.alias("j"), "part", item.alias("x"))
     other = left.select("key", each.alias("i"), F.col("at").alias("j"), F.col("part").alias("other"), item.alias("y"))
-    rest = one.join(other, ["key", "i", "j"]).where((F.col("part") < F.col("other")) & linked("x", "y"))
+    rest = one.join(other, ["key", "i", "j"]).where((F.col("part") < F.col("other")) & may_link("x", "y"))
     rest = cut(_ordered(rest))
     if not rest.head(1):
         return found
