@@ -286,3 +286,79 @@ def test_covered_bouts_against_frames(spark):
     got = sorted((x.k, x.r or 0, x.start, x.end) for x in B.uncovered(df, ["k"], "r").collect())
     frames = lambda k, r: {t for a, b, s, e in rows if a == k and b < r for t in range(s, e + 1)}
     assert got == sorted([x for x in rows if not set(range(x[2], x[3] + 1)) <= frames(x[0], x[1])] + [(0, 0, 5, 9)])
+
+
+def test_identities_of_the_largest_over_many_batches(spark):
+    """Three detections a frame, of which the smallest is left out, in videos that batches cut."""
+    rng = np.random.default_rng(2)
+    rows, want = [], {}
+    for v in range(7):
+        a, b = rng.uniform(0, 20, 2), rng.uniform(60, 80, 2)
+        for t in range(60):
+            a, b = a + rng.uniform(-1, 1, 2), b + rng.uniform(-1, 1, 2)
+            rows += [(v, t, *map(float, a), 50.0), (v, t, *map(float, b), 40.0), (v, t, float(rng.uniform(-90, 90)), 0.0, 3.0)]
+            want[v, t] = (a[0], b[0])
+    rows.append((8, 0, None, 1.0, 9.0))
+    df = spark.createDataFrame(rows, "v int, frame long, x double, y double, area double").repartition(5)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "11")
+    got = {(r.v, r.frame, r.fly): r.x for r in I.assign_identities(df, ["v"], 20.0, area="area").collect()}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert len(got) == 2 * (7 * 60 + 1) and got[8, 0, 0] is None
+    assert {(v, t): (got[v, t, 0], got[v, t, 1]) for v, t in want} == want
+
+
+def test_kernels_and_blobs(spark):
+    from tracklore.operators import blobs as P
+
+    assert P.kernel(3, "ellipse") == P.kernel(3, "cross") == [(-1, 0), (0, -1), (0, 0), (0, 1), (1, 0)]
+    assert len(P.kernel(5, "rect")) == 25 and len(P.kernel(5, "ellipse")) == 17 and P.kernel(1, "ellipse") == [(0, 0)]
+    rng = np.random.default_rng(6)
+    images = {v: rng.random((14, 17)) < p for v, p in enumerate((0.25, 0.5, 0.8))}
+    pixels = [(v, y, x) for v, m in images.items() for y, x in zip(*(i.tolist() for i in np.nonzero(m)), strict=True)]
+    mask = spark.createDataFrame(pixels, "v int, y int, x int").repartition(4)
+    got = {(r.v, r.blob): (r.area, r.x, r.y, r.w, r.h, round(r.cx, 6), round(r.cy, 6)) for r in P.blobs(mask.union(mask), ["v"]).collect()}
+    want = {}
+    for v, m in images.items():
+        left, k = {(y, x) for w, y, x in pixels if w == v}, 0
+        for start in sorted(left):
+            if start not in left:
+                continue
+            part, todo = [], [start]
+            left.discard(start)
+            while todo:
+                y, x = todo.pop()
+                part.append((y, x))
+                for q in [(y + i, x + j) for i in (-1, 0, 1) for j in (-1, 0, 1)]:
+                    if q in left:
+                        left.discard(q)
+                        todo.append(q)
+            ys, xs = zip(*part, strict=True)
+            want[v, k] = (len(part), min(xs), min(ys), max(xs) - min(xs) + 1, max(ys) - min(ys) + 1, round(float(np.mean(xs)), 6), round(float(np.mean(ys)), 6))
+            k += 1
+    assert got == want
+    steps = P.kernel(3, "ellipse")
+    mine = {(y, x) for v, y, x in pixels if v == 2}
+    grown = {(y + i, x + j) for y, x in mine for i, j in steps}
+    shut = {p for p in grown if all((p[0] + i, p[1] + j) in grown for i, j in steps)}
+    assert {(r.y, r.x) for r in P.closed(mask.where("v = 2"), ["v"], steps).collect()} == shut
+
+
+def test_chambers_of_the_best_setting(spark):
+    from tracklore.operators import blobs as P
+
+    squares = [(5, 5), (5, 30), (30, 5), (30, 30)]
+    pixels = {(y + i, x + j) for y, x in squares for i in range(14) for j in range(14)} | {(12, x) for x in range(5, 44)}
+    mask = spark.createDataFrame([(0, y, x) for y, x in pixels], "v int, y int, x int")
+    found = P.detect_chambers(mask, ["v"], 2500.0, [(1, 1), (3, 1), (5, 1)]).orderBy("y", "x").collect()
+    # The strip's end beside each upper square comes back with the square's own edge.
+    assert [(r.setting, r.y, r.x, r.w, r.h) for r in found] == [(1, 5, 5, 15, 14), (1, 5, 29, 15, 14), (1, 30, 5, 14, 14), (1, 30, 30, 14, 14)]
+
+
+def test_runs_newest_first_and_nearest_items(spark):
+    files = ["a/2024-02-01_10-00-05/chamber_1_results.csv", "a/2024-02-01_10-00-05/chamber_2_results.csv", "a/2024-10-01_09-30-00/x_results.csv", "a/old/x_results.csv", "a/none/x.txt", "x_results.csv"]
+    out = results.runs_newest_first(spark.createDataFrame([(f,) for f in files], "f string"), "f").collect()
+    assert [tuple(r) for r in out] == [("old", "old", 1), ("2024-10-01_09-30-00", "Oct 01, 2024 09:30 AM", 1), ("2024-02-01_10-00-05", "Feb 01, 2024 10:00 AM", 2)]
+    df = spark.createDataFrame([(1, 0, 10.0), (1, 0, 30.0), (1, 1, 70.0), (2, 0, None), (2, 1, 500.0), (3, 1, 55.0), (3, 0, 45.0)], "v int, fly int, x double")
+    got = {r.v: r.fly for r in M.nearest_item(df, ["v"], "fly", "x", 50.0, 50.0).collect()}
+    assert got == {1: 1, 2: None, 3: 0}

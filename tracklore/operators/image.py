@@ -68,46 +68,64 @@ def largest(df: DataFrame, keys: Sequence[str], area: str, n: int = 2) -> DataFr
     return df.withColumn("__r", F.row_number().over(order)).where(F.col("__r") <= n).drop("__r")
 
 
-def assign_identities(detections: DataFrame, keys: Sequence[str], gate: float, frame: str = "frame") -> DataFrame:
+def assign_identities(detections: DataFrame, keys: Sequence[str], gate: float, frame: str = "frame", area: str | None = None) -> DataFrame:
     """(keys, frame, fly, x, y): two identities followed through up to two detections (x, y) a frame.
 
-    The first detections are numbered from left to right. Later ones go to the last known places
-    by the pairing of least total distance, identity unless the swap is strictly shorter, and only
-    within ``gate``; an identity without one is NULL there and keeps its place. One state for each
-    video, folded over its frames in order by an Arrow function, as each step needs the last.
+    Of more detections, the two largest by ``area`` count (without areas, the two leftmost). The
+    first are numbered from left to right. Later ones go to the last known places by the pairing
+    of least total distance, identity unless the swap is strictly shorter, and only within
+    ``gate``; an identity without one is NULL there and keeps its place. Each step needs the
+    last, so a video is the work of one task, which goes through its sorted rows and holds one
+    frame and two places.
     """
     kinds = {f.name: f.dataType.simpleString() for f in detections.schema.fields}
     schema = ", ".join([*(f"{k} {kinds[k]}" for k in keys), f"{frame} long", "fly int", "x double", "y double"])
+    order = [F.desc(area)] if area else []
+    rank = F.row_number().over(Window.partitionBy(*keys, frame).orderBy(F.col("x").isNull() | F.col("y").isNull(), *order, "x", "y"))
+    rows = detections.withColumn("__r", rank).where("__r <= 2").select(*keys, frame, "x", "y")
+    rows = rows.repartition(*keys).sortWithinPartitions(*keys, frame, "x", "y")
+    n = len(keys)
+
+    def follow(batches):
+        from math import hypot, isnan
 
-    def follow(pdf):
-        import numpy as np
         import pandas as pd
 
-        pdf = pdf.sort_values([frame, "x", "y"], kind="stable")
-        place = np.full((2, 2), np.nan)
-        out = []
-        for at, rows in pdf.groupby(frame, sort=True):
-            seen = rows[["x", "y"]].to_numpy(float)
-            seen = seen[~np.isnan(seen).any(axis=1)][:2]
-            pick: dict[int, int] = {}
-            if len(seen) and np.isnan(place).all():
+        video, at, seen, places = None, None, [], [None, None]
+
+        def step():
+            """Places of both at the frame at hand."""
+            known = [k for k in (0, 1) if places[k] is not None]
+            pick = {}
+            if not known:
                 pick = dict(enumerate(range(len(seen))))
-            elif len(seen):
-                cost = np.hypot(*(place[:, None, :] - seen[None, :, :]).transpose(2, 0, 1))
-                known = np.where(np.isnan(cost), 1e6, cost)
+            elif seen:
+                cost = [[hypot(p[0] - q[0], p[1] - q[1]) if p else 1e6 for q in seen] for p in places]
                 if len(seen) == 2:
-                    swap = known[0, 1] + known[1, 0] < known[0, 0] + known[1, 1]
+                    swap = cost[0][1] + cost[1][0] < cost[0][0] + cost[1][1]
                     pick = {0: 1, 1: 0} if swap else {0: 0, 1: 1}
                 else:
-                    pick = {int(known[1, 0] < known[0, 0]): 0}
-                pick = {k: j for k, j in pick.items() if np.isnan(place[k]).any() or cost[k, j] < gate}
+                    pick = {int(cost[1][0] < cost[0][0]): 0}
+                pick = {k: j for k, j in pick.items() if places[k] is None or cost[k][j] < gate}
             for k in (0, 1):
                 if k in pick:
-                    place[k] = seen[pick[k]]
-                out.append((at, k, *(place[k] if k in pick else (None, None))))
-        done = pd.DataFrame(out, columns=[frame, "fly", "x", "y"])
-        for k in keys:
-            done.insert(0, k, pdf[k].iloc[0])
-        return done
-
-    return detections.groupBy(*keys).applyInPandas(follow, schema)
+                    places[k] = seen[pick[k]]
+                yield (*video, at, k, *(places[k] if k in pick else (None, None)))
+
+        names = [*keys, frame, "fly", "x", "y"]
+        for batch in batches:
+            out = []
+            for row in batch.itertuples(index=False, name=None):
+                if row[: n + 1] != (*(video or ()), at) and video is not None:
+                    out.extend(step())
+                    seen = []
+                if row[:n] != video:
+                    video, places = row[:n], [None, None]
+                at = row[n]
+                if not (row[n + 1] is None or row[n + 2] is None or isnan(row[n + 1]) or isnan(row[n + 2])):
+                    seen.append(row[n + 1 :])
+            yield pd.DataFrame(out, columns=names)
+        if video is not None:
+            yield pd.DataFrame(list(step()), columns=names)
+
+    return rows.mapInPandas(follow, schema)

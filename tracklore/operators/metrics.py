@@ -111,3 +111,10 @@ def px_per_mm(tracks: DataFrame, keys: Sequence[str], length: str = "a", body_mm
     sound = F.when((F.col(length) > 0) & ~F.isnan(length) & (F.col(length) < float("inf")), F.col(length))
     value = F.median(sound) / (body_mm / 2) if body_mm > 0 else F.lit(None).cast("double")
     return tracks.groupBy(*keys).agg(value.alias("px_per_mm"))
+
+
+def nearest_item(df: DataFrame, keys: Sequence[str], item: str, value: str, target: float, tolerance: float) -> DataFrame:
+    """The item whose median value is nearest to ``target`` and within ``tolerance``, the least of equals; NULL without one."""
+    medians = df.groupBy(*keys, item).agg(F.median(value).alias("m")).withColumn("d", F.abs(F.col("m") - target))
+    near = F.when(F.col("d") < tolerance, F.struct("d", item))
+    return medians.groupBy(*keys).agg(F.min(near).getField(item).alias(item))

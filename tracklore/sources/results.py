@@ -90,6 +90,16 @@ def remaining(planned: DataFrame, done: DataFrame, key: str) -> DataFrame:
     return planned.join(done.select(key).distinct(), key, "left_anti")
 
 
+def runs_newest_first(files: DataFrame, column: str) -> DataFrame:
+    """(run, label, n) of folders that hold result files, the last name first; names that are times are shown as such."""
+    parts = F.split(column, "/")
+    run, name = F.try_element_at(parts, F.lit(-2)), F.try_element_at(parts, F.lit(-1))
+    found = files.select(run.alias("run"), name.alias("name")).where(F.col("name").endswith("_results.csv") & F.col("run").isNotNull())
+    time = F.try_to_timestamp("run", F.lit("yyyy-MM-dd_HH-mm-ss"))
+    label = F.coalesce(F.date_format(time, "MMM dd, yyyy hh:mm a"), F.col("run"))
+    return found.groupBy("run").agg(F.count("*").alias("n")).select("run", label.alias("label"), "n").orderBy(F.desc("run"))
+
+
 def box_lines(text: Column) -> Column:
     """Boxes of lines 'x,y,w,h'; lines without four parts are skipped, a part that is no number voids all."""
     parts = F.filter(F.transform(F.split(text, r"\n"), lambda s: F.split(F.trim(s), ",")), lambda p: F.size(p) == 4)
