@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import blobs as P
 from ..operators import grid as G
 from ..operators import image as I
+from ..operators import metrics as M
 from ..sources import results as S
 from .base import SERIES, TRACKS, series, table, tracks
 
@@ -178,7 +180,26 @@ def mask_opening(spark, sf_dir):
 
 def identity_tracks(spark, sf_dir):
     """Two identities followed through each pair of users' places."""
-    return I.assign_identities(tracks(spark, sf_dir).select("video_id", "frame", "x", "y"), ["video_id"], 12.0)
+    found = tracks(spark, sf_dir).select("video_id", "frame", "x", "y", (F.col("a") * F.col("b")).alias("area"))
+    return I.assign_identities(found, ["video_id"], 12.0, area="area")
+
+
+def pixel_blobs(spark, sf_dir):
+    """Blobs of large parts on a lattice of 40 columns, and what fits a box of their area."""
+    mask = table(spark, sf_dir, "part").where("p_size > 36").select((F.col("p_partkey") % 40).alias("x"), F.floor(F.col("p_partkey") / 40).alias("y"))
+    return P.blobs(mask, []).select("area", "x", "y", "w", "h", F.round("cx", 6).alias("cx"), F.round("cy", 6).alias("cy"))
+
+
+def nearest_track(spark, sf_dir):
+    """Of each pair, the user whose median place is nearest to 21 and within 4."""
+    return M.nearest_item(tracks(spark, sf_dir), ["video_id"], "fly", "x", 21.0, 4.0)
+
+
+def newest_runs(spark, sf_dir):
+    """Orders as result files in folders named by their date, one a clerk."""
+    orders = table(spark, sf_dir, "orders")
+    name = F.concat(F.lit("results/"), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit("_00-00-00/"), F.col("o_orderkey").cast("string"), F.when(F.col("o_orderkey") % 5 == 0, ".txt").otherwise("_results.csv"))
+    return S.runs_newest_first(orders.select(name.alias("f")), "f")
 
 
 def null_share(spark, sf_dir):
@@ -290,6 +311,23 @@ e AS (SELECT m.y, m.x FROM m CROSS JOIN d a CROSS JOIN d b JOIN m o ON o.y = m.y
 SELECT DISTINCT e.y + a.d AS y, e.x + b.d AS x FROM e CROSS JOIN d a CROSS JOIN d b""",
     ),
     "identity_tracks": (identity_tracks, None),
+    "pixel_blobs": (
+        pixel_blobs,
+        """WITH RECURSIVE m AS (SELECT DISTINCT p_partkey % 40 AS x, p_partkey // 40 AS y, p_partkey // 40 * 40 + p_partkey % 40 AS id FROM part WHERE p_size > 36),
+l AS (SELECT a.id AS a, b.id AS b FROM m a JOIN m b ON a.id <> b.id AND abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1),
+r AS (SELECT id, id AS other FROM m UNION SELECT r.id, l.b FROM r JOIN l ON r.other = l.a),
+c AS (SELECT id, min(other) AS part FROM r GROUP BY id)
+SELECT count(*) AS area, min(x) AS x, min(y) AS y, max(x) - min(x) + 1 AS w, max(y) - min(y) + 1 AS h, round(avg(x), 6) AS cx, round(avg(y), 6) AS cy FROM m JOIN c USING (id) GROUP BY part""",
+    ),
+    "nearest_track": (
+        nearest_track,
+        f"""WITH {TRACKS}, m AS (SELECT video_id, fly, abs(median(x) - 21) AS d FROM t GROUP BY 1, 2)
+SELECT video_id, arg_min(fly, d) FILTER (d < 4) AS fly FROM m GROUP BY 1""",
+    ),
+    "newest_runs": (
+        newest_runs,
+        """SELECT strftime(o_orderdate, '%Y-%m-%d_00-00-00') AS run, strftime(o_orderdate, '%b %d, %Y 12:00 AM') AS label, count(*) AS n FROM orders WHERE o_orderkey % 5 <> 0 GROUP BY 1, 2""",
+    ),
     "null_share": (null_share, f"WITH {SERIES} SELECT user_id, round(avg(CASE WHEN event_type = 'error' THEN 1.0 ELSE 0.0 END), 6) AS share FROM s WHERE frame < 20 GROUP BY 1"),
     "distinct_behaviours": (
         distinct_behaviours,
