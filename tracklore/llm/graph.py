@@ -1,40 +1,3 @@
-"""Connected components of links, by alternating large-star and small-star rounds."""
+"""Connected components of links, as the rest of the library has them."""
 
-from __future__ import annotations
-
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from .runtime import cut
-
-
-def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """``node`` and ``component``, the smallest node that it reaches, for each node of a link.
-
-    Every round joins each node with the least of its neighbours, which aggregates before its
-    shuffle and joins on node, so that a node with very many links is split as a skewed key is.
-    Rounds go on until the links form stars, about the logarithm of the longest path; each is
-    kept in the checkpoint folder. Links with a null end or from a node to itself tie nothing.
-    """
-    ends = links.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
-    now = cut(ends.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col("a") < F.col("b"))).distinct())
-    state = _state(now)
-    while state[0]:
-        both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(
-            now.select(F.col("b").alias("u"), F.col("a").alias("v"))
-        )
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("m").alias("a"), F.col("v").alias("b")).distinct()
-        least = large.groupBy("b").agg(F.min("a").alias("m"))
-        small = large.join(least, "b").where("a != m").select(F.col("m").alias("a"), F.col("a").alias("b"))
-        now = cut(small.unionByName(least.select(F.col("m").alias("a"), "b")).distinct())
-        before, state = state, _state(now)
-        if state == before:
-            break
-    leaves = now.select(F.col("b").alias("node"), F.col("a").alias("component"))
-    return leaves.unionByName(now.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct())
-
-
-def _state(links: DataFrame) -> tuple[int, int | None]:
-    row = links.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x")).first()
-    return row.n, row.x
+from ..operators.links import components as components
