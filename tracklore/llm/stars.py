@@ -30,20 +30,30 @@ def groups(members: DataFrame, confirm: Confirm, may_link: MayLink, traits: list
 
     ``members`` has key, id, size and ``traits``; ``may_link(x, y)`` rules out pairs by traits,
     whose columns are x.trait and y.trait; ``confirm`` keeps the pairs (a, b) that do link.
-    First each bucket's members are paired with its centre, the member whose buckets are the
-    fullest, which is the likeliest original of a group of copies. Then, in buckets whose
+    A bucket's centre is the member whose buckets are the fullest, the likeliest original of a
+    group of copies. First each item is paired with the fullest of its buckets' centres, then
+    with those of the others that it is not connected to yet. Then, in buckets whose
     members are still in different components, all pairs across components are tested. Buckets
     meet in chunks of CHUNK members, so that one large bucket is the work of many tasks; the work
     still grows with the square of what shares a bucket and is not linked.
     """
     x = F.struct("id", *traits).alias("x")
     busy = members.groupBy("id").agg(F.sum("size").alias("busy"))
-    lead = members.join(busy, "id").groupBy("key").agg(F.max(F.struct("busy", "id")).getField("id").alias("lead"))
+    lead = members.join(busy, "id").groupBy("key").agg(F.max(F.struct("busy", "id")).alias("l")).select("key", "l.busy", F.col("l.id").alias("lead"))
     # The centre's traits come with it through a join on its id.
     known = members.select("id", *traits).dropDuplicates(["id"])
-    lead = lead.join(known.withColumnRenamed("id", "lead"), "lead").select("key", F.struct(F.col("lead").alias("id"), *traits).alias("y"))
+    lead = lead.join(known.withColumnRenamed("id", "lead"), "lead").select("key", "busy", F.struct(F.col("lead").alias("id"), *traits).alias("y"))
     star = members.select("key", x).join(lead, "key").where((F.col("x.id") != F.col("y.id")) & may_link("x", "y"))
-    found = components(cut(confirm(cut(_ordered(star)))))
+    star = cut(star.select(F.col("x.id").alias("id"), F.col("y.id").alias("centre"), "busy").distinct())
+    ends = [F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")]
+    first = star.groupBy("id").agg(F.max(F.struct("busy", "centre")).getField("centre").alias("centre")).select(*ends).distinct()
+    found = components(cut(confirm(cut(first))))
+    apart = star.join(found.select(F.col("node").alias("id"), F.col("component").alias("p")), "id", "left")
+    apart = apart.join(found.select(F.col("node").alias("centre"), F.col("component").alias("q")), "centre", "left")
+    apart = apart.where(F.coalesce("p", "id") != F.coalesce("q", "centre")).select(*ends).distinct()
+    apart = cut(apart.join(first, ["a", "b"], "left_anti"))
+    if apart.head(1):
+        found = _joined(found, cut(confirm(apart)))
 
     placed = members.join(found.withColumnRenamed("node", "id"), "id", "left")
     placed = cut(placed.select("key", "id", *traits, F.coalesce("component", "id").alias("part")))
@@ -57,7 +67,11 @@ def groups(members: DataFrame, confirm: Confirm, may_link: MayLink, traits: list
     rest = cut(_ordered(rest))
     if not rest.head(1):
         return found
-    more = cut(confirm(rest))
+    return _joined(found, cut(confirm(rest)))
+
+
+def _joined(found: DataFrame, more: DataFrame) -> DataFrame:
+    """Components of what ``found`` has, and of links (a, b)."""
     so_far = found.select(F.col("component").alias("a"), F.col("node").alias("b"))
     return components(so_far.unionByName(more.select("a", "b"))) if more.head(1) else found
 
