@@ -22,6 +22,8 @@ from tracklore.llm.secrets import find_secrets, redact
 
 #: Documents with a lower chance of good quality go.
 LEAST_QUALITY = 0.5
+#: What a text must hold to be more than blanks and rules.
+WORD = r"[\p{L}\p{N}]"
 
 
 def _beside(docs: DataFrame, results: list[str], work: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -49,12 +51,17 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without lines that occur elsewhere first.
+    """Documents without lines that occur elsewhere first; those that lose all their words that way go.
 
-    Null and empty texts and documents with a null id are unchanged; rows that repeat an id and
-    text are one document, and all are kept with the same lines; a document may end up empty.
+    Null and empty texts, texts that never had a word and documents with a null id are unchanged;
+    rows that repeat an id and text are one document, and stay with the same lines or go together.
     """
-    return _counted(_beside(docs, ["n_lines", "n_lines_removed"], lambda d: dedup_lines(d, short_lines=True)))
+
+    def work(d: DataFrame) -> DataFrame:
+        left = dedup_lines(d, short_lines=True)
+        return left.where((F.col("n_lines_removed") == 0) | F.col("text").rlike(WORD))
+
+    return _counted(_beside(docs, ["n_lines", "n_lines_removed"], work))
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
