@@ -188,3 +188,43 @@ def test_filters_grow_with_the_vectors():
     assert capfilter.settings(64, 1000) == (16, 24)
     words, filters = capfilter.settings(64, 600_000)
     assert words**4 >= 600_000 and capfilter.recall_of(64, words, filters) >= 0.98
+
+
+def test_memory_of_texts_without_boundaries_is_bounded():
+    """Chinese texts are one piece each: none is kept, and the table of short pieces starts anew at its budget."""
+    import random
+
+    import pyarrow as pa
+    import sentencepiece
+
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    library, encoder = sentencepiece.SentencePieceProcessor(model_file=path), pieces.sentencepiece_encoder(path)
+    encoder._budget = 40_000
+    rng = random.Random(3)
+    texts = ["".join(chr(rng.randrange(0x4E00, 0x9FA5)) for _ in range(rng.choice([5, 90, 1600]))) for _ in range(300)]
+    texts += [" ".join(f"w{rng.randrange(10**6)}" for _ in range(200)) for _ in range(60)] + [None, ""]
+    rng.shuffle(texts)
+    for _, _, block in textblocks.blocks(pa.array(texts), 1 << 15):
+        at = block.bounds
+        whole = [block.data[a:b].tobytes().decode() for a, b in zip(at[:-1], at[1:], strict=True)]
+        assert encoder.lengths(block).tolist() == [len(library.encode(t)) for t in whole]
+        rows, used, n_bytes = encoder._lasting
+        assert n_bytes + 4 * used < 40_000 + 5 * (1 << 15) and encoder._byte_size[:rows].max(initial=0) <= pieces.LONG
+        assert 4 * len(encoder._flat) < 16 << 20
+
+
+def test_one_text_of_a_labelled_id_and_a_byte_budget(spark):
+    from pyspark.sql import functions as F
+
+    from tracklore.llm import quality
+
+    labels = spark.createDataFrame([(d, d % 2) for d in range(30)], "doc_id long, quality int")
+    rows = [(d, f"{'good words here' if d % 2 else 'BUY NOW !!!'} {d}") for d in range(30)]
+    once = quality.fit(spark.createDataFrame(rows, "doc_id long, text string"), labels)
+    assert (quality.fit(spark.createDataFrame(rows * 40, "doc_id long, text string"), labels) == once).all()
+    unlike = spark.createDataFrame([(d, t + f" v{k}") for d, t in rows for k in range(50)], "doc_id long, text string")
+    least = unlike.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text"), "text")).alias("t")).select("doc_id", "t.text")
+    assert (quality.fit(unlike, labels) == quality.fit(least, labels)).all()
+    assert not quality.fit(unlike, labels, sample_bytes=10).any()
+    assert quality.fit(unlike, labels, sample_bytes=60).any()

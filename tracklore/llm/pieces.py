@@ -23,6 +23,8 @@ _LEAD[[0xC2, 0xE1, 0xE2, 0xE3]] = True
 _BLANK = SPACE.copy()
 _BLANK[0x1C:0x20] = True
 _HEAD = np.uint64(0x9E3779B97F4A7C15)
+#: Pieces of more bytes are encoded where they occur and not kept.
+LONG = 256
 
 
 def safe_cuts(block: Block) -> tuple[np.ndarray, np.ndarray]:
@@ -41,14 +43,16 @@ def safe_cuts(block: Block) -> tuple[np.ndarray, np.ndarray]:
 
 
 class PieceEncoder:
-    """Ids of pieces from ``encode(pieces, begins)``, remembered for a bounded number of distinct pieces.
+    """Ids of pieces from ``encode(pieces, begins)``, remembered for a bounded number of distinct short pieces.
 
-    Pieces are looked up by a 64-bit hash, in an open-addressing table that numpy probes for all
+    The table starts anew once it holds ``most`` pieces, or ``budget`` bytes of pieces and ids; a
+    piece of over LONG bytes (a text without a safe boundary) lasts for its block only, so memory
+    is bounded whatever the script. Pieces are looked up by a 64-bit hash, in an open-addressing table that numpy probes for all
     pieces of a block at once; each hit counts only if its bytes are those of the piece kept there.
     """
 
-    def __init__(self, encode: Callable[[list[str], list[bool]], Iterable[list[int]]], most: int = 1_500_000):
-        self._encode, self._most = encode, most
+    def __init__(self, encode: Callable[[list[str], list[bool]], Iterable[list[int]]], most: int = 1_500_000, budget: int = 64 << 20):
+        self._encode, self._most, self._budget = encode, most, budget
         self._slots = 1 << (2 * most).bit_length()
         self._clear()
 
@@ -63,6 +67,13 @@ class PieceEncoder:
         self._bytes = np.zeros(1 << 20, np.uint8)
         self._byte_from, self._byte_size = np.zeros(1 << 19, np.int64), np.zeros(1 << 19, np.int64)
         self._byte_used = 0
+        self._lasting = (0, 0, 0)
+
+    def _forget(self) -> None:
+        """Drop the rows that only the last block needed, and the table once it is over its budget."""
+        self._rows, self._used, self._byte_used = self._lasting
+        if self._byte_used + 4 * self._used > self._budget or 4 * len(self._flat) + len(self._bytes) > 4 * self._budget:
+            self._clear()
 
     def _find(self, marks: np.ndarray) -> np.ndarray:
         """Table row of each mark, or -1."""
@@ -87,7 +98,8 @@ class PieceEncoder:
             go[done] = False
             marks, rows, at = marks[go], rows[go], (at[go] + 1) & (self._slots - 1)
 
-    def _learn(self, keys: list[bytes], begins: list[bool]) -> None:
+    def _learn(self, keys: list[bytes], begins: list[bool], lasting: bool = True) -> None:
+        """New rows at the table's end; bytes are kept of lasting ones only."""
         got = list(self._encode([k.decode("utf-8", "replace") for k in keys], begins))
         flat = np.fromiter(chain.from_iterable(got), np.int32)
         size = np.fromiter(map(len, got), np.int64, len(got))
@@ -97,7 +109,7 @@ class PieceEncoder:
             for name in ("_size", "_from", "_byte_from", "_byte_size"):
                 x = getattr(self, name)
                 setattr(self, name, np.concatenate([x, np.zeros_like(x)]))
-        raw = np.frombuffer(b"".join(keys), np.uint8)
+        raw = np.frombuffer(b"".join(keys) if lasting else b"", np.uint8)
         while self._byte_used + len(raw) + 8 > len(self._bytes):
             self._bytes = np.concatenate([self._bytes, np.zeros_like(self._bytes)])
         self._bytes[self._byte_used : self._byte_used + len(raw)] = raw
@@ -105,7 +117,7 @@ class PieceEncoder:
         at = slice(self._rows, self._rows + len(got))
         self._size[at] = size
         self._from[at] = self._used + np.cumsum(size) - size
-        n_bytes = np.fromiter(map(len, keys), np.int64, len(keys))
+        n_bytes = np.fromiter(map(len, keys), np.int64, len(keys)) if lasting else np.zeros(len(keys), np.int64)
         self._byte_size[at] = n_bytes
         self._byte_from[at] = self._byte_used + np.cumsum(n_bytes) - n_bytes
         self._byte_used += len(raw)
@@ -114,6 +126,7 @@ class PieceEncoder:
 
     def _pieces(self, block: Block) -> tuple[np.ndarray, np.ndarray]:
         """Table row of each piece in order, and where each piece starts in the block."""
+        self._forget()
         cut, begins = safe_cuts(block)
         if self._rows + len(cut) > self._slots // 2 or self._rows > self._most:
             self._clear()
@@ -121,24 +134,33 @@ class PieceEncoder:
                 self._slots = 1 << (2 * len(cut)).bit_length()
                 self._clear()
         end = np.append(cut[1:], len(block.data))[: len(cut)]
-        mark = slice_hashes(block.data, cut, end)
-        mark[begins] ^= _HEAD
+        size, raw = end - cut, None
+
+        def texts(at: np.ndarray) -> list[bytes]:
+            nonlocal raw
+            raw = raw or block.data.tobytes()
+            return [raw[s:e] for s, e in zip(cut[at].tolist(), end[at].tolist(), strict=True)]
+
+        short = np.flatnonzero(size <= LONG)
+        mark = slice_hashes(block.data, cut[short], end[short])
+        mark[begins[short]] ^= _HEAD
         mark[mark == 0] = 1
-        rows = self._find(mark)
-        raw = None
-        if (miss := np.flatnonzero(rows < 0)).size:
-            new, at = np.unique(mark[miss], return_index=True)
-            at, base, raw = miss[at], self._rows, block.data.tobytes()
-            self._learn([raw[s:e] for s, e in zip(cut[at].tolist(), end[at].tolist(), strict=True)], begins[at].tolist())
+        found = self._find(mark)
+        if (miss := np.flatnonzero(found < 0)).size:
+            new, first = np.unique(mark[miss], return_index=True)
+            at, base = short[miss[first]], self._rows
+            self._learn(texts(at), begins[at].tolist())
             self._add(new, np.arange(base, self._rows))
-            rows[miss] = self._find(mark[miss])
-        size = end - cut
-        same = self._byte_size[rows] == size
-        same[same] = equal_slices(block.data, cut[same], self._bytes, self._byte_from[rows[same]], size[same])
-        if (unlike := np.flatnonzero(~same)).size:  # pieces that share a hash with another: encoded for themselves
-            raw, base = raw or block.data.tobytes(), self._rows
-            self._learn([raw[s:e] for s, e in zip(cut[unlike].tolist(), end[unlike].tolist(), strict=True)], begins[unlike].tolist())
-            rows[unlike] = np.arange(base, self._rows)
+            found[miss] = self._find(mark[miss])
+        same = self._byte_size[found] == size[short]
+        same[same] = equal_slices(block.data, cut[short[same]], self._bytes, self._byte_from[found[same]], size[short[same]])
+        rows = np.full(len(cut), -1, np.int64)
+        rows[short[same]] = found[same]
+        self._lasting = (self._rows, self._used, self._byte_used)
+        if (alone := np.flatnonzero(rows < 0)).size:  # long pieces, and those that share a hash with another
+            base = self._rows
+            self._learn(texts(alone), begins[alone].tolist(), lasting=False)
+            rows[alone] = np.arange(base, self._rows)
         return rows, cut
 
     def lengths(self, block: Block) -> np.ndarray:

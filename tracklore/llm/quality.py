@@ -104,14 +104,16 @@ def held_out(doc_id) -> F.Column:
 
 def fit(
     docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
-    sample_rows: int = 8_000, epochs: int = 4,
+    sample_rows: int = 8_000, sample_bytes: int = 256 << 20, epochs: int = 4,
 ) -> np.ndarray:
     """Weights learned from at most ``sample_rows`` labelled rows outside the held-out third.
 
     The rows are those with the least hashes of their ids, so the sample is spread over the
     corpus and bounded at any size; one task learns from their whole texts, label classes
-    weighted alike. Only ids, texts and labels are read. Null ids, texts and labels are skipped;
-    an id with more than one label has the larger. With nothing to learn from, all weights are 0.
+    weighted alike. In that order, a text that would bring the sample over ``sample_bytes`` of
+    UTF-8 is skipped. Only ids, texts and labels are read. Null ids, texts and labels are skipped;
+    an id with more than one label has the larger, and one with more than one text the text with
+    the least hash. With nothing to learn from, all weights are 0.
     """
     prepare(docs.sparkSession)
     known = labels.select(F.col(id_col).alias("k"), F.col(label_col).cast("double").alias("label")).where(
@@ -120,15 +122,20 @@ def fit(
     known = known.groupBy("k").agg(F.max("label").alias("label"), F.xxhash64("k").alias("at"))
     sample = F.broadcast(known.orderBy("at", "k").limit(sample_rows))
     texts = docs.select(F.col(id_col).alias("k"), F.col(text_col).alias("text")).where(F.col("text").isNotNull())
-    rows = texts.join(sample, "k").select("at", "k", "text", "label").repartition(1).sortWithinPartitions("at", "k", "text")
+    one = texts.join(sample, "k").groupBy("at", "k", "label").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t"))
+    rows = one.select("at", "k", "t.text", "label").repartition(1).sortWithinPartitions("at", "k")
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vectors, goals = [], []
+        vectors, goals, left = [], [], sample_bytes
         for batch in batches:
-            goals += batch.column(3).to_pylist()
+            labels_ = batch.column(3).to_pylist()
             for start, stop, block in blocks(batch.column(2)):
                 found, bounds = features(block)
                 for i in range(stop - start):
+                    if (size := int(block.bounds[i + 1] - block.bounds[i])) > left:
+                        continue
+                    left -= size
+                    goals.append(labels_[start + i])
                     at, x = _vector(found[bounds[i] : bounds[i + 1]])
                     vectors.append((at.astype(np.int32), x.astype(np.float32)))
         model, share = Leader(), np.mean(goals) if goals else 0.5

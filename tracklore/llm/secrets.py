@@ -170,23 +170,23 @@ def find_secrets(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
     return steps.drop(kept, found, hits)
 
 
+def _quoted(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def redact(found: DataFrame, *, text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """``find_secrets`` output with each secret in the text replaced by ``mark``; overlapping ones by one mark.
 
-    A null text stays null; texts without secrets are unchanged.
+    What is left is cut between the furthest end so far and each secret that starts there or later,
+    so that time grows with a text's length. A null text stays null; texts without secrets are unchanged.
     """
-    done = F.aggregate(
-        F.col("secrets"),
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        lambda a, s: F.struct(
-            F.greatest(a["at"], s["end"]).alias("at"),
-            F.when(
-                s["start"] >= a["at"],
-                F.concat(a["out"], F.col(text_col).substr(a["at"] + 1, s["start"] - a["at"]), F.lit(mark)),
-            )
-            .otherwise(a["out"])
-            .alias("out"),
-        ),
-        lambda a: F.concat(a["out"], F.col(text_col).substr(a["at"] + 1, F.length(F.col(text_col)))),
-    )
+    # The text as UTF-32, from which a slice takes time in proportion to itself; a byte order mark before each is read and dropped.
+    cut = "decode(concat(x'0000FEFF', substring(y.raw, 4 * {0} + 1, 4 * ({1} - {0}))), 'UTF-32')"
+    reach = "greatest(y.tops[i], coalesce(array_max(slice(c.end, 1, j)), 0))"
+    piece = f"if(s.start >= {reach}, concat({cut.format(reach, 's.start')}, {_quoted(mark)}), '')"
+    done = F.expr(f"""element_at(transform(array(named_struct(
+            'raw', encode(`{text_col}`, 'UTF-32'), 'end', array_max(secrets.end),
+            'parts', transform(sequence(0, size(secrets) - 1, {_FOLD}), k -> slice(secrets, k + 1, {_FOLD})),
+            'tops', transform(sequence(0, size(secrets) - 1, {_FOLD}), k -> coalesce(array_max(slice(secrets.end, 1, k)), 0)))),
+        y -> concat(array_join(flatten(transform(y.parts, (c, i) -> transform(c, (s, j) -> {piece}))), ''), {cut.format('y.end', 'length(y.raw) div 4')})), 1)""")
     return found.withColumn(text_col, F.when(F.size("secrets") > 0, done).otherwise(F.col(text_col)))
