@@ -120,6 +120,17 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(vectors.withColumn("vector", whole), F.col("vec_id") % 50 == 0, 5, DIMENSIONS)
 
 
+def op13_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .idfile import read_ids, token_ids, write_ids
+    from .runtime import shared_folder
+
+    path = shared_folder(spark, "token-ids")
+    write_ids(token_ids(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")), path)
+    return read_ids(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secrets": op1_secrets,
@@ -132,4 +143,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_packing": op8_packing,
         "op9_quality": op9_quality,
         "op10_topk": op10_topk,
+        "op13_token_ids": op13_token_ids,
     }

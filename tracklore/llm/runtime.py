@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -49,3 +50,9 @@ def unused(df: DataFrame, *names: str) -> list[str]:
             name = "_" + name
         out.append(name)
     return out
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new path in the folder of ``spark.checkpoint.dir``, which all executors share."""
+    context = prepare(spark).sparkContext
+    return f"{spark.conf.get('spark.checkpoint.dir', None) or context.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
