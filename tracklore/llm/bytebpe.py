@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import base64
 import json
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import cache
 from pathlib import Path
 
@@ -71,12 +71,10 @@ def _encoder(definition: str) -> PieceEncoder:
 class ByteTable:
     """Bytes of each id, end to end."""
 
-    def __init__(self, ranks: dict[bytes, int]):
-        self.size = np.zeros(max(ranks.values(), default=-1) + 1, np.int64)
-        for token, rank in ranks.items():
-            self.size[rank] = len(token)
+    def __init__(self, tokens: Sequence[bytes]):
+        self.size = np.fromiter(map(len, tokens), np.int64, len(tokens))
         self.start = np.cumsum(self.size) - self.size
-        self.data = np.frombuffer(b"".join(sorted(ranks, key=ranks.__getitem__)), np.uint8)
+        self.data = np.frombuffer(b"".join(tokens), np.uint8)
 
     def join(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All bytes in order, and where each id's bytes start (and the last ends)."""
@@ -89,7 +87,11 @@ class ByteTable:
 
 @cache
 def _table(path: str) -> ByteTable:
-    return ByteTable(read_ranks(path))
+    ranks = read_ranks(path)
+    tokens = [b""] * (max(ranks.values(), default=-1) + 1)
+    for token, rank in ranks.items():
+        tokens[rank] = token
+    return ByteTable(tokens)
 
 
 def char_offsets(data: np.ndarray, at: np.ndarray, bounds: np.ndarray) -> np.ndarray:

@@ -120,6 +120,14 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(vectors.withColumn("vector", whole), F.col("vec_id") % 50 == 0, 5, DIMENSIONS)
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .alignment import align_tokens
+
+    return align_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op13_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -143,5 +151,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_packing": op8_packing,
         "op9_quality": op9_quality,
         "op10_topk": op10_topk,
+        "op12_alignment": op12_alignment,
         "op13_token_ids": op13_token_ids,
     }
