@@ -120,6 +120,20 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(vectors.withColumn("vector", whole), F.col("vec_id") % 50 == 0, 5, DIMENSIONS)
 
 
+def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .repair import damage, repair
+
+    rows = table(spark, sf_dir, "conversations")
+    found = repair(damage(rows)).withColumnRenamed("conv_id", "repaired_id")
+    all_ids = rows.select("conv_id").distinct()
+    out = all_ids.join(found, F.col("conv_id").eqNullSafe(F.col("repaired_id")), "left")
+    counts = ["gaps", "blank", "duplicate", "truncated", "illegal", "cost"]
+    return out.select(
+        "conv_id", *(F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in counts),
+        F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"),
+    )
+
+
 def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -151,6 +165,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_packing": op8_packing,
         "op9_quality": op9_quality,
         "op10_topk": op10_topk,
+        "op11_repair": op11_repair,
         "op12_alignment": op12_alignment,
         "op13_token_ids": op13_token_ids,
     }
