@@ -16,7 +16,7 @@ import math
 import numpy as np
 
 #: Ids of a block, blocks coded beside each other, and slots of a block's tables of predictions.
-BLOCK, LANES, SLOTS = 2048, 1024, 2048
+BLOCK, LANES, SLOTS = 2048, 512, 2048
 #: Predictions are probabilities of 16 bits, in tables by 12 of them.
 _ONE, _FINE = 1 << 16, 1 << 12
 #: A spelled nibble's weight, and the sum at which a node's weights are halved.
