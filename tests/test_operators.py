@@ -118,10 +118,24 @@ def test_confusion(spark):
     assert M.confusion(df, ["k"], F.lit(False), F.lit(False)).first().f1 == 0
 
 
-def test_greedy_match_takes_the_highest(spark):
-    pairs = spark.createDataFrame([(0, 1, 1, 0.5), (0, 1, 2, 0.9), (0, 2, 2, 0.8), (0, 2, 1, 0.4), (0, 3, 3, 0.5)], "k int, i int, j int, iou double")
-    assert sorted((r.i, r.j) for r in B.greedy_match(pairs, ["k"]).collect()) == [(1, 2), (2, 1), (3, 3)]
-    assert B.greedy_match(pairs.where("i > 9"), ["k"]).count() == 0
+def test_greedy_match_against_a_loop(spark):
+    """Chains of overlaps with ties, keys of two videos, and no more than one job's shuffles."""
+    rng = random.Random(3)
+    rows = []
+    for k in range(3):
+        a = [(i, s, s + rng.randrange(1, 9)) for i, s in enumerate(rng.sample(range(120), 30))]
+        b = [(j, s, s + rng.randrange(1, 9)) for j, s in enumerate(rng.sample(range(120), 30))]
+        rows += [(k, i, s, e, j, rs, re, rng.choice([0.3, 0.5, 0.5, 0.9])) for i, s, e in a for j, rs, re in b if max(s, rs) <= min(e, re)]
+    pairs = spark.createDataFrame(rows, "k int, i int, s int, e int, j int, rs int, re int, iou double")
+    used, want = set(), set()
+    for k, i, _, _, j, _, _, iou in sorted(rows, key=lambda r: (-r[7], -r[1], -r[4])):
+        if (k, 0, i) not in used and (k, 1, j) not in used:
+            used |= {(k, 0, i), (k, 1, j)}
+            want.add((k, i, j, iou))
+    out = B.greedy_match(pairs, ["k"])
+    assert {tuple(r) for r in out.collect()} == want and out.columns == ["k", "i", "j", "iou"]
+    assert B.greedy_match(pairs.where("i > 99"), ["k"]).count() == 0
+    assert B.greedy_match(pairs.select("k", *(F.col(c).cast("string").alias(c) for c in ("i", "j")), "s", "e", "rs", "re", "iou"), ["k"]).count() == len(want)
 
 
 def test_iou_uses_the_hull(spark):
@@ -202,18 +216,6 @@ def test_identities_survive_a_crossing_gap(spark):
     assert got[19, 1] == 81.0
 
 
-def test_online_bouts(spark, tmp_path):
-    from tracklore.streaming.online import online_bouts
-
-    hits = [1, 1, 0, 1, 1, 0, 0, 0, 0, 1, 1, 1, 0, 0, 0, 0, 0]
-    spark.createDataFrame([(0, t, bool(v)) for t, v in enumerate(hits)], "k int, frame long, on boolean").coalesce(1).write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema("k int, frame long, on boolean").parquet(str(tmp_path / "in"))
-    query = online_bouts(stream, "k", "on", 2, 3).writeStream.format("memory").queryName("bouts_found").outputMode("append").start()
-    query.processAllAvailable()
-    query.stop()
-    assert sorted((r.start, r.end) for r in spark.table("bouts_found").collect()) == [(0, 4), (9, 11)]
-
-
 def test_background_is_the_upper_median_without_arrays(spark):
     from tracklore.operators import image
 

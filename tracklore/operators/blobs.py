@@ -1,6 +1,6 @@
 """Foreground pixels (keys, y, x) as blobs: morphology with shaped kernels, connected components, filters.
 
-Images are sets of pixels on an unbounded plane; nothing outside them is foreground.
+Images are sets of pixels on an unbounded plane, of which nothing outside is foreground; erosions take an image's size.
 """
 
 from __future__ import annotations
@@ -42,45 +42,119 @@ def dilated(mask: DataFrame, keys: Sequence[str], steps: Sequence[tuple[int, int
     return mask
 
 
-def eroded(mask: DataFrame, keys: Sequence[str], steps: Sequence[tuple[int, int]], times: int = 1) -> DataFrame:
-    """Pixels all of whose kernel lies in the mask, whose pixels are distinct."""
+def eroded(mask: DataFrame, keys: Sequence[str], steps: Sequence[tuple[int, int]], times: int = 1, size: tuple[int, int] | None = None) -> DataFrame:
+    """Pixels all of whose kernel lies in the mask, whose pixels are distinct.
+
+    With the image's ``size`` (height, width), what lies outside the image does not count, so blobs at its edge keep theirs.
+    """
+    inside = lambda c, d, n: (F.col(c) + d >= 0) & (F.col(c) + d < n)
     for _ in range(times):
         counted = _moved(mask, keys, steps).groupBy(*keys, "y", "x").agg(F.count("*").alias("__n"))
-        mask = counted.where(F.col("__n") == len(steps)).drop("__n")
+        needed = F.lit(len(steps)) if size is None else sum(((inside("y", dy, size[0]) & inside("x", dx, size[1])).cast("int") for dy, dx in steps), F.lit(0))
+        if size is not None:
+            counted = counted.where(inside("y", 0, size[0]) & inside("x", 0, size[1]))
+        mask = counted.where(F.col("__n") == needed).drop("__n")
     return mask
 
 
-def opened(mask: DataFrame, keys: Sequence[str], steps: Sequence[tuple[int, int]], times: int = 1) -> DataFrame:
-    return dilated(eroded(mask, keys, steps, times), keys, steps, times)
+def opened(mask: DataFrame, keys: Sequence[str], steps: Sequence[tuple[int, int]], times: int = 1, size: tuple[int, int] | None = None) -> DataFrame:
+    return _within(dilated(eroded(mask, keys, steps, times, size), keys, steps, times), size)
 
 
-def closed(mask: DataFrame, keys: Sequence[str], steps: Sequence[tuple[int, int]], times: int = 1) -> DataFrame:
-    return eroded(dilated(mask, keys, steps, times), keys, steps, times)
+def closed(mask: DataFrame, keys: Sequence[str], steps: Sequence[tuple[int, int]], times: int = 1, size: tuple[int, int] | None = None) -> DataFrame:
+    return eroded(_within(dilated(mask, keys, steps, times), size), keys, steps, times, size)
 
 
-def blobs(mask: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """(keys, blob, area, x, y, w, h, cx, cy) of pixels that touch by sides or corners.
+def _within(mask: DataFrame, size: tuple[int, int] | None) -> DataFrame:
+    return mask if size is None else mask.where((F.col("y") >= 0) & (F.col("y") < size[0]) & (F.col("x") >= 0) & (F.col("x") < size[1]))
 
-    Rows of an image become runs first; runs of neighbouring rows that touch are linked, and
-    components of links are blobs, numbered by the first of their pixels from top to bottom.
-    ``area`` counts pixels.
-    """
+
+def _runs(mask: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, y, s, e, id): the runs of pixels of each row."""
     row = Window.partitionBy(*keys, "y").orderBy("x")
     runs = mask.select(*keys, "y", "x").distinct().withColumn("__g", F.col("x") - F.row_number().over(row))
     runs = runs.groupBy(*keys, "y", "__g").agg(F.min("x").alias("s"), F.max("x").alias("e")).drop("__g")
-    runs = cut(runs.withColumn("id", F.monotonically_increasing_id()))
-    above = runs.select(*keys, (F.col("y") + 1).alias("y"), (F.col("s") - 1).alias("s"), (F.col("e") + 1).alias("e"), F.col("id").alias("a"))
+    return cut(runs.withColumn("id", F.monotonically_increasing_id()))
+
+
+def _touching(runs: DataFrame, keys: Sequence[str], reach: int) -> DataFrame:
+    """Links (a, b) of runs of neighbouring rows that overlap, or with a ``reach`` of 1 touch by corners."""
+    above = runs.select(*keys, (F.col("y") + 1).alias("y"), (F.col("s") - reach).alias("s"), (F.col("e") + reach).alias("e"), F.col("id").alias("a"))
     below = runs.select(*keys, "y", F.col("s").alias("rs"), F.col("e").alias("re"), F.col("id").alias("b"))
-    parts = components(overlaps(above, below, [*keys, "y"]).select("a", "b"))
+    return overlaps(above, below, [*keys, "y"]).select("a", "b")
+
+
+def blob_runs(mask: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, blob, y, s, e): the runs of each blob, of pixels that touch by sides or corners.
+
+    Rows of an image become runs first; runs of neighbouring rows that touch are linked, and
+    components of links are blobs, numbered by the first of their pixels from top to bottom.
+    """
+    runs = _runs(mask, keys)
+    parts = components(_touching(runs, keys, 1))
     known = runs.join(parts.withColumnRenamed("node", "id"), "id", "left").withColumn("part", F.coalesce("component", "id"))
+    first = F.min(F.struct("y", "s")).over(Window.partitionBy(*keys, "part"))
+    number = F.dense_rank().over(Window.partitionBy(*keys).orderBy("__first")) - 1
+    return known.withColumn("__first", first).withColumn("blob", number).select(*keys, "blob", "y", "s", "e")
+
+
+def blob_pixels(mask: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, blob, y, x) of each pixel of the mask."""
+    return blob_runs(mask, keys).select(*keys, "blob", "y", F.explode(F.sequence("s", "e")).alias("x"))
+
+
+def filled(mask: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The mask and its holes: background that sides (not corners) do not join to the outside.
+
+    Gaps between the runs of a row are linked with the gaps that they overlap in the rows beside;
+    one that reaches past the runs of a row beside it lies open, and so do all that are linked to it.
+    """
+    pixels = mask.select(*keys, "y", "x").distinct()
+    after = F.lead("x").over(Window.partitionBy(*keys, "y").orderBy("x"))
+    gaps = pixels.withColumn("n", after).where("n > x + 1").select(*keys, "y", (F.col("x") + 1).alias("s"), (F.col("n") - 1).alias("e"))
+    gaps = cut(gaps.withColumn("id", F.monotonically_increasing_id()))
+    ends = cut(pixels.groupBy(*keys, "y").agg(F.min("x").alias("lo"), F.max("x").alias("hi")))
+    open_gaps = None
+    for step in (-1, 1):
+        beside = gaps.join(ends.withColumn("y", F.col("y") + step), [*keys, "y"], "left").where("lo is null or s < lo or e > hi").select("id")
+        open_gaps = beside if open_gaps is None else open_gaps.unionByName(beside)
+    parts = components(_touching(gaps, keys, 0)).withColumnRenamed("node", "id")
+    known = gaps.join(parts, "id", "left").withColumn("part", F.coalesce("component", "id"))
+    leaks = known.join(open_gaps.distinct(), "id", "left_semi").select("part").distinct()
+    holes = known.join(leaks, "part", "left_anti").select(*keys, "y", F.explode(F.sequence("s", "e")).alias("x"))
+    return pixels.unionByName(holes)
+
+
+def contour_area(pixels: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, contour_area): the area within the polygon through the outer pixels' centres, of filled blobs (in ``keys``).
+
+    Of the squares between four pixel centres, one with all four in the blob counts whole, one with three counts half.
+    """
+    corners = _moved(pixels, keys, [(0, 0), (0, -1), (-1, 0), (-1, -1)]).groupBy(*keys, "y", "x").agg(F.count("*").alias("n"))
+    return corners.groupBy(*keys).agg(F.sum(F.when(F.col("n") == 4, 1.0).when(F.col("n") == 3, 0.5).otherwise(0.0)).alias("contour_area"))
+
+
+def outer_contours(mask: DataFrame, keys: Sequence[str], least: float = 0.0) -> DataFrame:
+    """(keys, blob, y, x, contour_area) of the pixels of filled blobs whose contour area is over ``least``."""
+    pixels = cut(blob_pixels(filled(mask, keys), keys))
+    areas = contour_area(pixels, [*keys, "blob"]).where(F.col("contour_area") > least)
+    return pixels.join(areas, [*keys, "blob"])
+
+
+def border(pixels: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The pixels (keys, y, x) with a side to a pixel that is not theirs."""
+    around = F.array(*(F.struct((F.col("y") + dy).alias("y"), (F.col("x") + dx).alias("x"), F.lit(own).alias("own")) for dy, dx, own in ((0, 0, 1), (0, 1, 0), (1, 0, 0), (0, -1, 0), (-1, 0, 0))))
+    near = pixels.select(*keys, F.explode(around).alias("p")).select(*keys, "p.*").groupBy(*keys, "y", "x")
+    return near.agg(F.count("*").alias("n"), F.max("own").alias("own")).where("own = 1 and n < 5").select(*keys, "y", "x")
+
+
+def blobs(mask: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, blob, area, x, y, w, h, cx, cy) of pixels that touch by sides or corners; ``area`` counts pixels."""
     n = F.col("e") - F.col("s") + 1
-    found = known.groupBy(*keys, "part").agg(
+    return blob_runs(mask, keys).groupBy(*keys, "blob").agg(
         F.sum(n).alias("area"), F.min("s").alias("x"), F.min("y").alias("y"), (F.max("e") - F.min("s") + 1).alias("w"), (F.max("y") - F.min("y") + 1).alias("h"),
         (F.sum(n * (F.col("s") + F.col("e")) / 2) / F.sum(n)).alias("cx"), (F.sum(n * F.col("y")) / F.sum(n)).alias("cy"),
-        F.min(F.struct("y", "s")).alias("__first"),
     )
-    number = F.row_number().over(Window.partitionBy(*keys).orderBy("__first")) - 1
-    return found.withColumn("blob", number).drop("part", "__first")
 
 
 def chamber_blobs(found: DataFrame, keys: Sequence[str], image_area: float) -> DataFrame:

@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import interval_iou
-from .lineage import cut
 from .series import SO_FAR
 
 
@@ -93,18 +92,28 @@ def overlap_pairs(
 
 
 def greedy_match(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """One-to-one matches, the highest (iou, i, j) first.
+    """One-to-one matches (keys, i, j, iou) of pairs with spans (s, e) and (rs, re), the highest (iou, i, j) first.
 
-    Each round takes the pairs that are best for both their sides and drops what uses their
-    sides, which gives the order's result; rounds go on until no pair is left.
+    Pairs that share a side overlap in time, so pairs whose hulls do not chain together cannot
+    compete. Each chain is folded in order, taking a pair if both its sides are free: one sort by
+    time and one aggregation, whatever the number of pairs.
     """
-    matched, left = None, cut(pairs.select(*keys, "i", "j", "iou"))
-    while left.head(1):
-        order = [F.desc("iou"), F.desc("i"), F.desc("j")]
-        ranked = left.withColumn("__a", F.row_number().over(Window.partitionBy(*keys, "i").orderBy(*order)))
-        ranked = ranked.withColumn("__b", F.row_number().over(Window.partitionBy(*keys, "j").orderBy(*order)))
-        best = cut(ranked.where("__a = 1 and __b = 1").drop("__a", "__b"))
-        matched = best if matched is None else matched.unionByName(best)
-        left = left.join(best.select(*keys, "i"), [*keys, "i"], "left_anti").join(best.select(*keys, "j"), [*keys, "j"], "left_anti")
-        left = cut(left)
-    return left if matched is None else matched
+    hull = pairs.select(*keys, "i", "j", "iou", F.least("s", "rs").alias("__s"), F.greatest("e", "re").alias("__e"))
+    w = Window.partitionBy(*keys).orderBy("__s", "__e")
+    reach = F.max("__e").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    new = F.when(F.col("__s") <= F.col("__reach"), 0).otherwise(1)
+    chains = hull.withColumn("__reach", reach).withColumn("__new", new)
+    chains = chains.withColumn("__g", F.sum("__new").over(w.rowsBetween(*SO_FAR)))
+    ordered = F.sort_array(F.collect_list(F.struct("iou", "i", "j")), asc=False)
+    kind = ordered_type(pairs)
+    taken = F.aggregate(
+        ordered,
+        F.array().cast(f"array<{kind}>"),
+        lambda got, p: F.when(F.exists(got, lambda g: (g["i"] == p["i"]) | (g["j"] == p["j"])), got).otherwise(F.array_append(got, p)),
+    )
+    found = chains.groupBy(*keys, "__g").agg(taken.alias("__m"))
+    return found.select(*keys, F.explode("__m").alias("__p")).select(*keys, "__p.i", "__p.j", "__p.iou")
+
+
+def ordered_type(pairs: DataFrame) -> str:
+    return pairs.select(F.struct("iou", "i", "j").alias("p")).schema["p"].dataType.simpleString()

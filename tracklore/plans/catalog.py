@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bout_queries, report_queries, series_queries, table_queries
+from . import bout_queries, report_queries, series_queries, shape_queries, table_queries
 
-_ALL = {**bout_queries.QUERIES, **series_queries.QUERIES, **table_queries.QUERIES, **report_queries.QUERIES}
+_ALL = {**bout_queries.QUERIES, **series_queries.QUERIES, **table_queries.QUERIES, **report_queries.QUERIES, **shape_queries.QUERIES}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

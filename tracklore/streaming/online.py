@@ -1,4 +1,4 @@
-"""Bouts over streams: session windows by event time, and a stateful builder by frame."""
+"""Bouts over streams: session windows by event time, and a builder with event-time timers."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 
 def session_bouts(events: DataFrame, keys: list[str], on: Column, gap: str, late: str = "10 minutes", time: str = "ts") -> DataFrame:
@@ -24,47 +24,100 @@ def window_totals(events: DataFrame, keys: list[str], value: str, width: str, la
     return found.select(*keys, F.col("window.start").alias("start"), "n", "total")
 
 
-def online_bouts(frames: DataFrame, key: str, on: str, min_len: int, merge_gap: int) -> DataFrame:
-    """(key, start, end) of a stream of (key, frame, on) whose frames come in order.
+class BoutBuilder(StatefulProcessor):
+    """Bouts of one key from frames in any order, held back until the watermark has passed them.
 
-    The state of a key is its open bout and its open run. A bout is given out once ``merge_gap``
-    frames have passed without a hit, so memory does not grow with the stream.
+    State: hits that wait for the watermark (their frames, by event time), the open run and the
+    open bout, and how far the key is settled. Event-time timers settle what the watermark has
+    passed, also when the key sends nothing more; a key without open work leaves no state behind.
     """
 
-    def build(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        bout_s, bout_e, run_s, run_e = state.get if state.exists else (-1, -1, -1, -1)
+    def __init__(self, fps: float, min_len: int, merge_gap: int):
+        self.frame_ms, self.min_len, self.merge_gap = 1000.0 / fps, min_len, merge_gap
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getMapState("waiting", "frame long", "on boolean")
+        self.open = handle.getValueState("open", "bs long, be long, rs long, re long, done long")
+
+    def _settled(self, watermark_ms: int) -> int:
+        """The last frame that can no longer come: frame n stands for the times from n to n + 1 periods."""
+        return int(watermark_ms / self.frame_ms) - 1
+
+    def _now(self) -> tuple[int, int, int, int, int]:
+        return self.open.get() if self.open.exists() else (-1, -1, -1, -1, -1)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        done, last = self._now()[4], -1
+        for pdf in rows:
+            hits = pdf.loc[pdf["on"].fillna(False).astype(bool), "frame"]
+            for frame in hits[hits > done].unique().tolist():
+                self.waiting.updateValue((int(frame),), (True,))
+                last = max(last, int(frame))
+        if last >= 0:
+            self._call_at(last)
+        yield from self._settle(key, self._settled(timerValues.getCurrentWatermarkInMs()))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield from self._settle(key, self._settled(timerValues.getCurrentWatermarkInMs()))
+
+    def _call_at(self, frame: int) -> None:
+        """A timer for the time at which a bout that ends with ``frame`` is closed."""
+        self.handle.registerTimer(int((frame + self.merge_gap + 3) * self.frame_ms) + 1)
+
+    def _settle(self, key, upto: int) -> Iterator[pd.DataFrame]:
+        bs, be, rs, re, done = self._now()
+        if upto <= done:
+            return
         out: list[tuple] = []
 
+        def end_bout() -> None:
+            nonlocal bs, be
+            if bs >= 0 and be - bs + 1 >= self.min_len:
+                out.append((*key, bs, be))
+            bs = be = -1
+
         def end_run() -> None:
-            nonlocal bout_s, bout_e, run_s, run_e
-            if run_s >= 0 and run_e - run_s + 1 >= min_len:
-                if bout_s >= 0 and run_s - bout_e <= merge_gap:
-                    bout_e = run_e
+            nonlocal bs, be, rs, re
+            if rs >= 0 and re - rs + 1 >= self.min_len:
+                if bs >= 0 and rs - be <= self.merge_gap:
+                    be = re
                 else:
                     end_bout()
-                    bout_s, bout_e = run_s, run_e
-            run_s = run_e = -1
+                    bs, be = rs, re
+            rs = re = -1
 
-        def end_bout() -> None:
-            nonlocal bout_s, bout_e
-            if bout_s >= 0 and bout_e - bout_s + 1 >= min_len:
-                out.append((*k, bout_s, bout_e))
-            bout_s = bout_e = -1
-
-        for frame, hit in sorted(row for pdf in batches for row in zip(pdf["frame"], pdf[on].fillna(False), strict=True)):
-            if hit and run_s >= 0 and frame == run_e + 1:
-                run_e = int(frame)
-            elif hit:
-                end_run()
-                run_s = run_e = int(frame)
-            else:
+        for frame in sorted(k[0] for k in self.waiting.keys() if k[0] <= upto):
+            if rs < 0 or frame != re + 1:
                 end_run()
-            if run_s < 0 and bout_s >= 0 and frame - bout_e > merge_gap:
-                end_bout()
-        state.update((bout_s, bout_e, run_s, run_e))
-        yield pd.DataFrame(out, columns=[key, "start", "end"])
+                rs = frame
+            re = frame
+            self.waiting.removeKey((frame,))
+        if rs >= 0 and re < upto:
+            end_run()
+        # A run that begins later than this can no longer join the bout.
+        if bs >= 0 and (rs if rs >= 0 else upto + 1) - be > self.merge_gap:
+            end_bout()
+        if bs < 0 and rs < 0 and next(iter(self.waiting.keys()), None) is None:
+            self.open.clear()
+        else:
+            self.open.update((bs, be, rs, re, upto))
+        if out:
+            yield pd.DataFrame(out, columns=["key", "start", "end"])
 
+
+def online_bouts(frames: DataFrame, key: str, on: str, min_len: int, merge_gap: int, fps: float, late: str = "0 seconds", time: str = "ts") -> DataFrame:
+    """(key, start, end) of a stream of (key, ts, on): runs of at least ``min_len`` frames, at most ``merge_gap`` apart made one.
+
+    A time belongs to frame floor(seconds * ``fps``) since the epoch; a frame is on if any of its rows is. Rows may come in any order;
+    those behind the watermark (``late`` behind the newest time) are dropped by Spark. A bout is
+    given out once the watermark has passed ``merge_gap`` frames after it, also of a key that
+    sends nothing more. State holds open runs and the hits of about ``late``, not the stream.
+    """
     kind = frames.schema[key].dataType.simpleString()
-    return frames.groupBy(key).applyInPandasWithState(
-        build, f"{key} {kind}, start long, end long", "bs long, be long, rs long, re long", "append", GroupStateTimeout.NoTimeout
+    seconds = F.unix_micros(time) / 1_000_000
+    numbered = frames.withWatermark(time, late).select(F.col(key).alias("key"), time, F.floor(seconds * fps).alias("frame"), F.col(on).alias("on"))
+    found = numbered.groupBy("key").transformWithStateInPandas(
+        statefulProcessor=BoutBuilder(fps, min_len, merge_gap), outputStructType=f"key {kind}, start long, end long", outputMode="append", timeMode="eventTime"
     )
+    return found.withColumnRenamed("key", key)
