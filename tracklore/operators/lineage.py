@@ -3,16 +3,26 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
 def cut(df: DataFrame) -> DataFrame:
     """``df`` computed once, kept in the folder of spark.checkpoint.dir (one of its own where that is unset)."""
-    spark = df.sparkSession
+    _shared(df.sparkSession)
+    return df.checkpoint()
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in that folder."""
+    return f"{_shared(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _shared(spark: SparkSession) -> str:
     context = spark.sparkContext
     if spark.conf.get("spark.checkpoint.dir", None) is None and context.getCheckpointDir() is None:
         if not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
-    return df.checkpoint()
+    return spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()

@@ -115,11 +115,11 @@ def match_metrics(spark, sf_dir):
     p, r = _sides(spark, sf_dir)
     p, r = cut(p), cut(r)
     pairs = B.overlap_pairs(p, r, KEY, 0.3)
-    found = B.greedy_match(pairs, KEY).join(p.drop("e"), ["user_id", "i"]).join(r.drop("re"), ["user_id", "j"])
-    found = found.withColumns({"ds": F.abs(F.col("s") - F.col("rs")).cast("double"), "de": F.lit(0.0)})
+    found = B.greedy_match(pairs, KEY).join(p, ["user_id", "i"]).join(r, ["user_id", "j"])
+    found = found.withColumns({"ds": F.abs(F.col("s") - F.col("rs")).cast("double"), "de": F.abs(F.col("e") - F.col("re")).cast("double")})
     n_p, n_r = (x.groupBy("user_id").agg(F.count("*").alias(n)) for x, n in ((p, "n_pred"), (r, "n_ref")))
-    out = M.match_summary(found, KEY, n_p, n_r).drop("end_offset")
-    return out.withColumns({c: F.round(c, 6) for c in ("start_offset", "median_iou")})
+    out = M.match_summary(found, KEY, n_p, n_r)
+    return out.withColumns({c: F.round(c, 6) for c in ("start_offset", "end_offset", "median_iou")})
 
 
 def frame_labels(spark, sf_dir):
@@ -234,9 +234,10 @@ SELECT user_id, behavior, s AS start, e AS "end" FROM c WHERE n < e - s + 1""",
     "match_metrics": (
         match_metrics,
         f"""{_GREEDY}, np AS (SELECT user_id, count(*) AS n_pred FROM p1 GROUP BY user_id), nr AS (SELECT user_id, count(*) AS n_ref FROM r1 GROUP BY user_id),
-mm AS (SELECT user_id, count(*) AS matched, avg(abs(i - j)) AS ds, median(iou) AS iou FROM gm GROUP BY user_id)
+mm AS (SELECT gm.user_id, count(*) AS matched, avg(abs(i - j)) AS ds, avg(abs(p1.e - r1.e)) AS de, median(iou) AS iou
+FROM gm JOIN p1 ON p1.user_id = gm.user_id AND p1.s = i JOIN r1 ON r1.user_id = gm.user_id AND r1.s = j GROUP BY 1)
 SELECT user_id, coalesce(matched, 0) AS matched, coalesce(n_pred, 0) - coalesce(matched, 0) AS false_bouts, coalesce(n_ref, 0) - coalesce(matched, 0) AS missed,
-round(coalesce(ds, 0.0), 6) AS start_offset, round(coalesce(iou, 0.0), 6) AS median_iou FROM np FULL JOIN nr USING (user_id) LEFT JOIN mm USING (user_id)""",
+round(coalesce(ds, 0.0), 6) AS start_offset, round(coalesce(de, 0.0), 6) AS end_offset, round(coalesce(iou, 0.0), 6) AS median_iou FROM np FULL JOIN nr USING (user_id) LEFT JOIN mm USING (user_id)""",
     ),
     "frame_labels": (
         frame_labels,

@@ -11,6 +11,8 @@ from ..operators import metrics as M
 from ..operators import models as L
 from ..operators import rules as R
 from ..operators import series as S
+from ..operators.lineage import shared_path
+from ..sources.archives import read_archives, write_archives
 from .base import GAPPY, SERIES, TAU, TRACKS, gappy, pmod, series, signed, table, tracks
 
 KEY = ["user_id"]
@@ -204,6 +206,20 @@ _VOTES = " + ".join(
 _FRAME_VOTES = " + ".join(f"(CASE WHEN round(f{s.dim}, 9) < {s.thr} THEN {s.direction * s.alpha} ELSE {-s.direction * s.alpha} END)" for s in FRAME_STUMPS)
 _ISLANDS = "SELECT user_id, min(frame) AS start, max(frame) AS \"end\" FROM (SELECT *, frame - row_number() OVER (PARTITION BY user_id ORDER BY frame) AS grp FROM on_rows) GROUP BY user_id, grp"
 
+def track_archives(spark, sf_dir):
+    """Tracks of pairs of users written as one NumPy archive a chamber, and read back."""
+    path = shared_path(spark, "tracks")
+    known = F.when(F.col("frame") % 9 > 0, F.col("x"))
+    rows = tracks(spark, sf_dir).select(
+        F.concat(F.lit("run"), (F.col("video_id") % 4).cast("string")).alias("run"), F.col("video_id").cast("int").alias("chamber"), F.lit(25.0).alias("fps"),
+        "fly", "frame", known.alias("x"), "y", "a", (F.col("frame") % 5 == 0).alias("overlap"),
+    )
+    write_archives(rows, path)
+    back = read_archives(spark, path, ["run", "chamber", "fly", "frame", "x", "y", "a", "overlap", "fps"])
+    sums = back.where("y is not null").groupBy("run", "chamber", "fly").agg(F.count("*").alias("n"), F.count("x").alias("known"), F.sum("frame").alias("frames"), F.max("fps").alias("fps"), *(F.sum(c).alias(c) for c in ("x", "y", "a")))
+    return sums.withColumns({c: F.round(c, 5) for c in ("x", "y", "a")})
+
+
 QUERIES = {
     "fill_linear": (fill_linear, f"WITH {GAPPY}, {_NEAR} SELECT user_id, frame, round(filled, 5) AS filled FROM fl"),
     "gap_interpolate": (
@@ -302,4 +318,9 @@ on_rows AS (SELECT user_id, frame FROM f WHERE round({_FRAME_VOTES}, 6) > 0) SEL
 SELECT user_id, round(CASE WHEN count(*) FILTER (WHERE speed > 0) = 0 THEN 0.5 ELSE greatest(0.3, 0.2 * median(speed) FILTER (WHERE speed > 0)) END, 6) AS threshold FROM v GROUP BY 1""",
     ),
     "running_median": (running_median, f"WITH {SERIES} SELECT user_id, frame, round(median(value) OVER (PARTITION BY user_id ORDER BY frame ROWS BETWEEN 199 PRECEDING AND CURRENT ROW), 5) AS med FROM s"),
+    "track_archives": (
+        track_archives,
+        f"""WITH {TRACKS} SELECT 'run' || video_id % 4 AS run, CAST(video_id AS INT) AS chamber, fly, count(*) AS n, count(*) FILTER (frame % 9 > 0) AS known, sum(frame)::BIGINT AS frames, 25.0::DOUBLE AS fps,
+round(sum(x) FILTER (frame % 9 > 0), 5) AS x, round(sum(y), 5) AS y, round(sum(a), 5) AS a FROM t GROUP BY 1, 2, 3""",
+    ),
 }
