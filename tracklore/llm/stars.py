@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .graph import components
 from .runtime import cut
 
-Confirm = Callable[[DataFrame], DataFrame]
+Details = Callable[[DataFrame], DataFrame]
 MayLink = Callable[[str, str], Column]
 #: Members of a bucket that are compared in one task with as many others.
 CHUNK = 512
@@ -25,18 +25,28 @@ def in_shared_buckets(items: DataFrame) -> DataFrame:
     return cut(items.join(sizes, "key"))
 
 
-def groups(members: DataFrame, confirm: Confirm, may_link: MayLink, traits: list[str]) -> DataFrame:
+def groups(members: DataFrame, details: Details, near: MayLink, may_link: MayLink, traits: list[str]) -> DataFrame:
     """``node`` and ``component`` of items that link.
 
     ``members`` has key, id, size and ``traits``; ``may_link(x, y)`` rules out pairs by traits,
-    whose columns are x.trait and y.trait; ``confirm`` keeps the pairs (a, b) that do link.
+    whose columns are x.trait and y.trait; ``details`` gives ``id`` and more columns of some ids, from
+    which ``near(x, y)`` tells whether two do link.
     A bucket's centre is the member whose buckets are the fullest, the likeliest original of a
     group of copies. First each item is paired with the fullest of its buckets' centres, then
     with those of the others that it is not connected to yet. Then, in buckets whose
-    members are still in different components, all pairs across components are tested. Buckets
-    meet in chunks of CHUNK members, so that one large bucket is the work of many tasks; the work
-    still grows with the square of what shares a bucket and is not linked.
+    members are still in different components, all pairs across components are tested: those that
+    have a partner by traits are found first, one row each, and only they get their details and
+    are tested where they meet, so that no pair is written but those that link. Buckets meet in
+    chunks of CHUNK members, so that one large bucket is the work of many tasks; the work still
+    grows with the square of what shares a bucket and is not linked.
     """
+
+    def confirm(pairs: DataFrame) -> DataFrame:
+        known = details(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
+        more = F.struct(*(c for c in known.columns if c != "id"))
+        left, right = (known.select(F.col("id").alias(k), more.alias(v)) for k, v in (("a", "x"), ("b", "y")))
+        return pairs.join(left, "a").join(right, "b").where(near("x", "y")).select("a", "b")
+
     x = F.struct("id", *traits).alias("x")
     busy = members.groupBy("id").agg(F.sum("size").alias("busy"))
     lead = members.join(busy, "id").groupBy("key").agg(F.max(F.struct("busy", "id")).alias("l")).select("key", "l.busy", F.col("l.id").alias("lead"))
@@ -63,11 +73,21 @@ def groups(members: DataFrame, confirm: Confirm, may_link: MayLink, traits: list
     each, item = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)), F.struct("id", *traits)
     one = left.select("key", F.col("at").alias("i"), each.alias("j"), "part", item.alias("x"))
     other = left.select("key", each.alias("i"), F.col("at").alias("j"), F.col("part").alias("other"), item.alias("y"))
-    rest = one.join(other, ["key", "i", "j"]).where((F.col("part") < F.col("other")) & may_link("x", "y"))
-    rest = cut(_ordered(rest))
-    if not rest.head(1):
+    at, apart = ["key", "i", "j"], (F.col("part") < F.col("other")) & may_link("x", "y")
+    firsts = cut(_with_partner(one, other, at, apart))
+    if not firsts.head(1):
         return found
-    return _joined(found, cut(confirm(rest)))
+    seconds = cut(_with_partner(other, firsts, at, apart))
+    known = details(firsts.select("x.id").union(seconds.select("y.id")).distinct())
+    more = F.struct(*known.columns)
+    firsts, seconds = (side.join(known.select(F.col("id").alias(f"{v}_id"), more.alias(f"{v}_more")), F.col(f"{v}.id") == F.col(f"{v}_id")) for side, v in ((firsts, "x"), (seconds, "y")))
+    linked = firsts.join(seconds, [firsts[c] == seconds[c] for c in at] + [apart & near("x_more", "y_more")])
+    return _joined(found, cut(_ordered(linked)))
+
+
+def _with_partner(some: DataFrame, others: DataFrame, at: list[str], apart: Column) -> DataFrame:
+    """Rows of ``some`` that meet one of ``others`` from which they are apart and that they may link to."""
+    return some.join(others, [some[c] == others[c] for c in at] + [apart], "left_semi")
 
 
 def _joined(found: DataFrame, more: DataFrame) -> DataFrame:
