@@ -36,20 +36,6 @@ def background(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     return counts.groupBy(*keys).agg(F.min(F.when(F.col("so_far") > F.floor(F.col("all") / 2), F.col("v"))).alias("background"))
 
 
-def opened(mask: DataFrame, keys: Sequence[str], radius: int = 1) -> DataFrame:
-    """Foreground pixels (y, x) after an erosion and a dilation with a square."""
-    side = 2 * radius + 1
-    near = mask.select(*keys, F.explode(_square(radius)).alias("p")).select(*keys, "p.y", "p.x")
-    inner = near.groupBy(*keys, "y", "x").agg(F.count("*").alias("n")).where(F.col("n") == side * side)
-    grown = inner.select(*keys, F.explode(_square(radius)).alias("p"))
-    return grown.select(*keys, "p.y", "p.x").distinct()
-
-
-def _square(radius: int) -> Column:
-    steps = range(-radius, radius + 1)
-    return F.array(*(F.struct((F.col("y") + dy).alias("y"), (F.col("x") + dx).alias("x")) for dy in steps for dx in steps))
-
-
 def ellipse(df: DataFrame, keys: Sequence[str], x: str = "x", y: str = "y") -> DataFrame:
     """Centre, half-axes (twice the deviations), heading in [0, pi) and area of each blob, from second moments."""
     m = df.groupBy(*keys).agg(

@@ -13,7 +13,7 @@ from ..operators import rules as R
 from ..operators import series as S
 from ..operators.lineage import shared_path
 from ..sources.archives import read_archives, write_archives
-from .base import GAPPY, SERIES, TAU, TRACKS, gappy, pmod, series, signed, table, tracks
+from .base import GAPPY, SERIES, TAU, TRACKS, gappy, merged_sql, pmod, runs_sql, series, signed, table, tracks
 
 KEY = ["user_id"]
 ID = ["user_id", "frame"]
@@ -105,7 +105,7 @@ def partner_features(spark, sf_dir):
 
 def component_velocities(spark, sf_dir):
     df = G.with_velocity(tracks(spark, sf_dir), ["video_id", "fly"], 30.0)
-    return df.select("video_id", "fly", "frame", *(F.round(c, 4).alias(c) for c in ("vel", "v_par", "v_perp")))
+    return df.select("video_id", "fly", "frame", *(F.round(c, 4).alias(c) for c in ("vel", "v_par", "v_perp", "ang_vel")))
 
 
 def rules_courtship(spark, sf_dir):
@@ -220,6 +220,34 @@ def track_archives(spark, sf_dir):
     return sums.withColumns({c: F.round(c, 5) for c in ("x", "y", "a")})
 
 
+_RULED = ["WingExt", "Copulation", "Attempted_Copulation", "Following", "Circling"]
+
+
+def _courtship_sql() -> str:
+    """Features, rules, smoothing, bouts, priorities and their union, rule by rule; remainders of 1.6 are exact, as in 2 ** -52."""
+    exact = TRACKS.replace("fmod(value, 1.6)", "(CAST(value * 4503599627370496 AS BIGINT) % 7205759403792794) / 4503599627370496.0")
+    scores = [
+        "wing_angle > radians(40.0)", "c2c < 3.0 AND vel < 0.5 AND sd < 1.0", "n2e < 1.0 AND vel > 0.5",
+        "v_par > 1.0 AND abs(facing) < radians(60.0) AND c2c > 1.5 AND c2c < 10.0", "abs(v_perp) > 1.5 AND c2c < 10.0 AND abs(facing) > radians(45.0) AND abs(facing) < radians(135.0)",
+    ]
+    smooth = lambda name, source, value, more="": f"{name} AS (SELECT q.user_id{more}, q.frame, sum(q.w * y.{value} ORDER BY q.k) AS v FROM q JOIN {source} y ON y.user_id = q.user_id AND y.frame = CASE WHEN m < n THEN m ELSE 2 * n - 1 - m END GROUP BY ALL)"
+    long = "e - s + 1 >= CASE b WHEN 1 THEN 15 WHEN 2 THEN 0 ELSE 1 END"
+    return f"""WITH {exact}, u AS (SELECT t.video_id * 2 + t.fly AS user_id, t.*, o.x AS px, o.y AS py, o.theta AS pt, o.a AS pa, o.b AS pb FROM t LEFT JOIN t o ON o.video_id = t.video_id AND o.frame = t.frame AND o.fly = 1 - t.fly),
+{_gauss_sql(1.0, 'u', 'x')}, {smooth('zy', 'u', 'y')},
+v AS (SELECT u.*, z.v AS sx, zy.v AS sy FROM u JOIN z USING (user_id, frame) JOIN zy USING (user_id, frame)),
+d AS (SELECT *, {_grad_sql('sx')} AS vx, {_grad_sql('sy')} AS vy FROM v WINDOW w AS {_W_ORDER}),
+f AS (SELECT user_id, frame, wing_angle, sqrt((px - x) * (px - x) + (py - y) * (py - y)) / 1.5 AS c2c, CASE WHEN px IS NOT NULL THEN {_tip_sql('+')} END / 1.5 AS n2e, {signed('atan2(py - y, px - x) - theta')} AS facing,
+sqrt(vx * vx + vy * vy) / 1.5 * 3 AS vel, (vx * cos(theta) + vy * sin(theta)) / 1.5 * 3 AS v_par, (-vx * sin(theta) + vy * cos(theta)) / 1.5 * 3 AS v_perp, coalesce(sqrt((px - x) * (px - x) + (py - y) * (py - y)) < a + pa, FALSE) AS overlap FROM d),
+g AS (SELECT *, coalesce(stddev_samp(c2c) OVER (PARTITION BY user_id ORDER BY frame ROWS BETWEEN 3 PRECEDING AND 2 FOLLOWING), 0) AS sd FROM f),
+sc AS ({' UNION ALL '.join(f"SELECT user_id, {b} AS b, frame, CASE WHEN coalesce({c}, FALSE) AND NOT overlap THEN 1.0::DOUBLE ELSE 0 END AS score FROM g" for b, c in enumerate(scores))}),
+{smooth('zs', 'sc', 'score', ', y.b')}, {runs_sql('zs', 'user_id, b', 'v > 0.3', 'r0')}, {merged_sql('r0', 'user_id, b', 1, 'r1', long)},
+fr AS (SELECT *, unnest(range(s, e + 1)) AS frame FROM r1 WHERE {long}),
+kp AS (SELECT DISTINCT user_id, b, s, e FROM fr WHERE b = 0 OR NOT EXISTS (SELECT 1 FROM fr l WHERE l.user_id = fr.user_id AND l.frame = fr.frame AND l.b > 0 AND l.b < fr.b)),
+{merged_sql('kp', 'user_id', 1, 'c1')}, {merged_sql('c1', 'user_id', 9, 'c2', 'e - s + 1 >= 1')}
+SELECT user_id // 2 AS video_id, CAST(user_id % 2 AS INT) AS fly, ({_RULED})[b + 1] AS behavior, s AS start, e AS "end" FROM kp
+UNION ALL SELECT user_id // 2, CAST(user_id % 2 AS INT), 'Courtship', s, e FROM c2 WHERE e - s + 1 >= 1"""
+
+
 QUERIES = {
     "fill_linear": (fill_linear, f"WITH {GAPPY}, {_NEAR} SELECT user_id, frame, round(filled, 5) AS filled FROM fl"),
     "gap_interpolate": (
@@ -285,10 +313,11 @@ round({_tip_sql('+')}, 4) AS n2e, round({_tip_sql('-')}, 4) AS t2e, sqrt((px - x
         f"""WITH {SERIES}, {TRACKS[TRACKS.index(', t AS') + 2:]}, u AS (SELECT video_id * 2 + fly AS user_id, * EXCLUDE (video_id), video_id FROM t),
 {_gauss_sql(1.5, 'u', 'x').replace('z AS', 'zx AS')}, zy AS (SELECT q.user_id, q.frame, sum(q.w * y.y ORDER BY q.k) AS v FROM q JOIN u y ON y.user_id = q.user_id AND y.frame = CASE WHEN m < n THEN m ELSE 2 * n - 1 - m END GROUP BY 1, 2),
 v AS (SELECT u.user_id, u.video_id, u.fly, u.frame, u.theta, zx.v AS sx, zy.v AS sy FROM u JOIN zx USING (user_id, frame) JOIN zy USING (user_id, frame)),
-d AS (SELECT *, {_grad_sql('sx')} AS vx, {_grad_sql('sy')} AS vy FROM v WINDOW w AS {_W_ORDER})
-SELECT video_id, fly, frame, round(sqrt(vx * vx + vy * vy), 4) AS vel, round(vx * cos(theta) + vy * sin(theta), 4) AS v_par, round(-vx * sin(theta) + vy * cos(theta), 4) AS v_perp FROM d""".replace(f"{SERIES}, {SERIES}", SERIES),
+d AS (SELECT *, {_grad_sql('sx')} AS vx, {_grad_sql('sy')} AS vy, CASE WHEN lag(1) OVER w IS NULL THEN 0.0 ELSE {signed('theta - lag(theta) OVER w')} END * 30 AS tu FROM v WINDOW w AS {_W_ORDER}),
+zw AS (SELECT q.user_id, q.frame, sum(q.w * y.tu ORDER BY q.k) AS v FROM q JOIN d y ON y.user_id = q.user_id AND y.frame = CASE WHEN m < n THEN m ELSE 2 * n - 1 - m END GROUP BY 1, 2)
+SELECT video_id, fly, frame, round(zw.v, 4) AS ang_vel, round(sqrt(vx * vx + vy * vy), 4) AS vel, round(vx * cos(theta) + vy * sin(theta), 4) AS v_par, round(-vx * sin(theta) + vy * cos(theta), 4) AS v_perp FROM d JOIN zw USING (user_id, frame)""".replace(f"{SERIES}, {SERIES}", SERIES),
     ),
-    "rules_courtship": (rules_courtship, None),
+    "rules_courtship": (rules_courtship, _courtship_sql()),
     "role_inference": (
         role_inference,
         f"""WITH {SERIES}, k AS (SELECT user_id // 2 AS video_id, {', '.join(f"count(*) FILTER (WHERE user_id % 2 = {k} AND event_type = 'view') AS w{k}, median(value) FILTER (WHERE user_id % 2 = {k}) AS a{k}, count(*) FILTER (WHERE user_id % 2 = {k}) AS n{k}, " + ', '.join(f"count(*) FILTER (WHERE user_id % 2 = {k} AND event_type = '{e}') AS {b}{k}" for b, e in (('f', 'click'), ('c', 'signup'), ('t', 'purchase'))) for k in (0, 1))} FROM s GROUP BY 1),

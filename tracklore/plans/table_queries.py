@@ -137,8 +137,8 @@ def entity_labels(spark, sf_dir):
 
 
 def bout_file_rows(spark, sf_dir):
-    """Long runs of events as rows of a bout file."""
-    spans = table(spark, sf_dir, "lineitem").where("l_quantity > 45").select(
+    """Line items as rows of a bout file."""
+    spans = table(spark, sf_dir, "lineitem").select(
         F.col("l_returnflag").alias("behavior"), (F.col("l_suppkey") % 2).alias("fly"), F.col("l_orderkey").alias("start"), (F.col("l_orderkey") + F.col("l_linenumber")).alias("end")
     )
     rows = S.bout_rows(spans, 32.0)
@@ -175,13 +175,14 @@ def moment_ellipse(spark, sf_dir):
 def mask_opening(spark, sf_dir):
     """Foreground pixels of part sizes on a lattice, opened with a 3x3 square."""
     mask = table(spark, sf_dir, "part").where("p_size > 8").select(F.floor(F.col("p_partkey") / 40).alias("y"), (F.col("p_partkey") % 40).alias("x")).distinct()
-    return I.opened(mask, [])
+    return P.opened(mask, [], P.kernel(3))
 
 
 def identity_tracks(spark, sf_dir):
     """Two identities followed through each pair of users' places."""
     found = tracks(spark, sf_dir).select("video_id", "frame", "x", "y", (F.col("a") * F.col("b")).alias("area"))
-    return I.assign_identities(found, ["video_id"], 12.0, area="area")
+    out = I.assign_identities(found, ["video_id"], 12.0, area="area")
+    return out.withColumns({c: F.round(c, 6) for c in "xy"})
 
 
 def pixel_blobs(spark, sf_dir):
@@ -236,6 +237,19 @@ _quoted = lambda x: "NULL" if x is None else f"'{x}'"
 _DESC = f"""dx(k, row_key, row_offset, col_key) AS (VALUES {', '.join(f"({k}, {_quoted(r)}, {n}, {_quoted(c)})" for k, (_, r, n, c) in enumerate(_DESCRIBED))}),
 ps AS (SELECT s_suppkey, row_key, row_offset, col_key FROM supplier JOIN dx ON k = s_suppkey % {len(_DESCRIBED)})"""
 
+_IDENTITIES = f"""WITH RECURSIVE {TRACKS}, de AS (SELECT video_id, frame, list({{'x': x, 'y': y}} ORDER BY x, y) AS ds, row_number() OVER (PARTITION BY video_id ORDER BY frame) AS k FROM t GROUP BY video_id, frame),
+no AS (SELECT NULL::STRUCT(x DOUBLE, y DOUBLE) AS p),
+st AS (SELECT video_id, 0::BIGINT AS k, -1::BIGINT AS frame, p AS p0, p AS p1, p AS o0, p AS o1 FROM (SELECT DISTINCT video_id FROM de) CROSS JOIN no
+UNION ALL SELECT video_id, k, frame, coalesce(o0, p0), coalesce(o1, p1), o0, o1 FROM (
+SELECT *, CASE WHEN j0 IS NOT NULL AND (p0 IS NULL OR CASE j0 WHEN 1 THEN c01 ELSE c02 END < 12) THEN ds[j0] END AS o0, CASE WHEN j1 IS NOT NULL AND (p1 IS NULL OR CASE j1 WHEN 1 THEN c11 ELSE c12 END < 12) THEN ds[j1] END AS o1 FROM (
+SELECT *, CASE WHEN fresh THEN 1 WHEN len(ds) = 2 THEN CASE WHEN c02 + c11 < c01 + c12 THEN 2 ELSE 1 END WHEN c11 < c01 THEN NULL ELSE 1 END AS j0,
+CASE WHEN fresh THEN CASE WHEN len(ds) > 1 THEN 2 END WHEN len(ds) = 2 THEN CASE WHEN c02 + c11 < c01 + c12 THEN 1 ELSE 2 END WHEN c11 < c01 THEN 1 END AS j1 FROM (
+SELECT st.video_id, de.k, de.frame, p0, p1, ds, p0 IS NULL AND p1 IS NULL AS fresh,
+coalesce(sqrt(pow(p0.x - ds[1].x, 2) + pow(p0.y - ds[1].y, 2)), 1e6) AS c01, CASE WHEN p0 IS NULL THEN 1e6 ELSE sqrt(pow(p0.x - ds[2].x, 2) + pow(p0.y - ds[2].y, 2)) END AS c02,
+coalesce(sqrt(pow(p1.x - ds[1].x, 2) + pow(p1.y - ds[1].y, 2)), 1e6) AS c11, CASE WHEN p1 IS NULL THEN 1e6 ELSE sqrt(pow(p1.x - ds[2].x, 2) + pow(p1.y - ds[2].y, 2)) END AS c12
+FROM st JOIN de ON de.video_id = st.video_id AND de.k = st.k + 1))))
+SELECT video_id, frame, 0::INT AS fly, round(o0.x, 6) AS x, round(o0.y, 6) AS y FROM st WHERE k > 0 UNION ALL SELECT video_id, frame, 1::INT, round(o1.x, 6), round(o1.y, 6) FROM st WHERE k > 0"""
+
 QUERIES = {
     "time_text": (
         time_text,
@@ -281,7 +295,7 @@ SELECT image, idx, greatest(x - 12, 0) AS x, greatest(y - 12, 0) AS y, least(w +
     "bout_file_rows": (
         bout_file_rows,
         """SELECT l_returnflag AS Behavior, 'Fly ' || l_suppkey % 2 AS Fly, round(l_orderkey / 32.0, 3) AS start_s, round((l_orderkey + l_linenumber) / 32.0, 3) AS end_s,
-round((l_linenumber + 1) / 32.0, 3) AS duration_s, l_orderkey AS Start_Frame, l_orderkey + l_linenumber AS End_Frame FROM lineitem WHERE l_quantity > 45""",
+round((l_linenumber + 1) / 32.0, 3) AS duration_s, l_orderkey AS Start_Frame, l_orderkey + l_linenumber AS End_Frame FROM lineitem""",
     ),
     "courtship_scope": (
         courtship_scope,
@@ -310,7 +324,7 @@ SELECT video_id, fly, round(cx, 5) AS cx, round(cy, 5) AS cy, round(2 * sqrt(mid
 e AS (SELECT m.y, m.x FROM m CROSS JOIN d a CROSS JOIN d b JOIN m o ON o.y = m.y + a.d AND o.x = m.x + b.d GROUP BY 1, 2 HAVING count(*) = 9)
 SELECT DISTINCT e.y + a.d AS y, e.x + b.d AS x FROM e CROSS JOIN d a CROSS JOIN d b""",
     ),
-    "identity_tracks": (identity_tracks, None),
+    "identity_tracks": (identity_tracks, _IDENTITIES),
     "pixel_blobs": (
         pixel_blobs,
         """WITH RECURSIVE m AS (SELECT DISTINCT p_partkey % 40 AS x, p_partkey // 40 AS y, p_partkey // 40 * 40 + p_partkey % 40 AS id FROM part WHERE p_size > 36),
