@@ -19,11 +19,11 @@ SF = "/root/testdata/sf0.001"
 def test_blocks_round_trip(n, most):
     rng = np.random.default_rng(n)
     ids = rng.integers(0, most + 1, n, dtype=np.uint64).astype(np.uint32)
-    nibbles = rangecoder.nibbles_of(most)
-    payloads = rangecoder.encode_blocks(ids, nibbles, 1000)
+    wide = most > 0xFFFF
+    payloads = rangecoder.encode_blocks(ids, wide, 1000)
     counts = [min(1000, n - k) for k in range(0, n, 1000)]
     assert len(payloads) == len(counts)
-    found = rangecoder.decode_blocks(payloads, counts, nibbles)
+    found = rangecoder.decode_blocks(payloads, counts, wide)
     assert [x.tolist() for x in found] == [ids[k : k + 1000].tolist() for k in range(0, n, 1000)]
 
 
@@ -31,16 +31,16 @@ def test_blocks_stand_alone_and_predictions_help():
     rng = np.random.default_rng(2)
     phrases = [rng.integers(0, 50_000, 6) for _ in range(40)]
     ids = np.concatenate([phrases[i] for i in rng.integers(0, 40, 1500)]).astype(np.uint32)
-    payloads = rangecoder.encode_blocks(ids, 4)
+    payloads = rangecoder.encode_blocks(ids, False)
     counts = [min(rangecoder.BLOCK, len(ids) - k) for k in range(0, len(ids), rangecoder.BLOCK)]
     for k in (2, 0, len(counts) - 1):
-        (alone,) = rangecoder.decode_blocks([payloads[k]], [counts[k]], 4)
+        (alone,) = rangecoder.decode_blocks([payloads[k]], [counts[k]], False)
         assert (alone == ids[k * rangecoder.BLOCK :][: counts[k]]).all()
-        assert rangecoder.encode_blocks(alone, 4) == [payloads[k]]
+        assert rangecoder.encode_blocks(alone, False) == [payloads[k]]
     size = sum(map(len, payloads))
     mixed = ids.copy()
     rng.shuffle(mixed)  # the same counts of ids, without their contexts
-    assert size < 0.55 * sum(map(len, rangecoder.encode_blocks(mixed, 4)))
+    assert size < 0.55 * sum(map(len, rangecoder.encode_blocks(mixed, False)))
     assert size < 0.3 * 2 * len(ids)
 
 

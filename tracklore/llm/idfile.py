@@ -27,13 +27,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
-from .rangecoder import BLOCK, LANES, decode_blocks, encode_blocks, nibbles_of
+from .rangecoder import BLOCK, LANES, decode_blocks, encode_blocks
 from .runtime import prepare
 from .textblocks import blocks
 from .tokencount import encoder
 
 _MAGIC, _MANIFEST = b"IDRC0001", "_manifest.json"
-#: Blocks, nibbles of an id, bytes of the documents' table and their CRC-32, and the CRC-32 of these and the blocks' entries.
+#: Blocks, whether ids have over 16 bits, bytes of the documents' table and their CRC-32, and the CRC-32 of these and the blocks' entries.
 _GROUP = struct.Struct("<IIIII")
 #: Ids, bytes and CRC-32 of a block.
 _ENTRY = struct.Struct("<III")
@@ -71,15 +71,15 @@ class IdWriter:
     def _flush(self, n: int) -> None:
         held = np.concatenate(self._ids) if self._ids else np.zeros(0, np.uint32)
         ids, rest = held[:n], held[n:]
-        nibbles = nibbles_of(ids.max(initial=0))
+        wide = bool(ids.max(initial=0) >> 16)
         table = io.BytesIO()
         batch = pa.record_batch([pa.array(self._keys, self._type), pa.array(self._sizes, pa.int64())], ["doc_id", "n"])
         with pa.ipc.new_stream(table, batch.schema) as stream:
             stream.write_batch(batch)
-        payloads, docs = encode_blocks(ids, nibbles, self._block), table.getvalue()
+        payloads, docs = encode_blocks(ids, wide, self._block), table.getvalue()
         parts = (ids[k * self._block : (k + 1) * self._block] for k in range(len(payloads)))
         entries = b"".join(_ENTRY.pack(len(some), len(payload), _crc(some)) for some, payload in zip(parts, payloads, strict=True))
-        head = len(payloads), nibbles, len(docs), zlib.crc32(docs)
+        head = len(payloads), int(wide), len(docs), zlib.crc32(docs)
         self._out.write(_GROUP.pack(*head, zlib.crc32(_GROUP.pack(*head, 0) + entries)) + entries)
         self._out.write(b"".join(payloads))
         self._out.write(docs)
@@ -102,7 +102,7 @@ def read_file(source: io.IOBase) -> Iterator[tuple[object, np.ndarray]]:
     while head := source.read(_GROUP.size):
         if len(head) < _GROUP.size:
             raise ValueError("a token-id file ends early")
-        n_blocks, nibbles, n_docs, docs_crc, head_crc = _GROUP.unpack(head)
+        n_blocks, wide, n_docs, docs_crc, head_crc = _GROUP.unpack(head)
         listed = take(_ENTRY.size * n_blocks)
         if zlib.crc32(head[:-4] + bytes(4) + listed) != head_crc:
             raise ValueError("a group's head in a token-id file is damaged")
@@ -111,7 +111,7 @@ def read_file(source: io.IOBase) -> Iterator[tuple[object, np.ndarray]]:
         docs = take(n_docs)
         if zlib.crc32(docs) != docs_crc:
             raise ValueError("the documents' table of a token-id file is damaged")
-        found = decode_blocks(payloads, [n for n, _, _ in entries], nibbles)
+        found = decode_blocks(payloads, [n for n, _, _ in entries], bool(wide))
         if any(_crc(ids) != crc for ids, (_, _, crc) in zip(found, entries, strict=True)):
             raise ValueError("a block of a token-id file is damaged")
         table = pa.ipc.open_stream(docs).read_all()

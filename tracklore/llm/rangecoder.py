@@ -3,7 +3,8 @@
 Every block starts from the same empty state, so it is read without any other. Many blocks are
 coded beside each other, one numpy lane each: a step codes one id of every lane. An id is either
 what followed the last two ids before (order 2), or what followed the last one (order 1), or
-spelled in nibbles by its frequencies so far (order 0). How likely the first two are right comes
+one of the block's ids, by how often each came (order 0): its number in the order of first
+occurrence, in nibbles by their frequencies so far, where 0 is a new id, which follows. How likely the first two are right comes
 from counts of how often predictions of their confidence were, mixed in the logistic domain with
 weights that follow the errors. All arithmetic is on integers, so that writer and reader agree on
 any machine.
@@ -16,14 +17,15 @@ import math
 import numpy as np
 
 #: Ids of a block, blocks coded beside each other, and slots of a block's tables of predictions.
-BLOCK, LANES, SLOTS = 2048, 512, 2048
+BLOCK, LANES, SLOTS = 2048, 768, 2048
 #: Predictions are probabilities of 16 bits, in tables by 12 of them.
 _ONE, _FINE = 1 << 16, 1 << 12
 #: A spelled nibble's weight, and the sum at which a node's weights are halved.
 _STEP, _FULL = 24, 8000
 #: The coder's range stays above BOTTOM; words of 16 bits leave once they are settled.
 _TOP, _BOTTOM, _WORD = np.uint64(1 << 48), np.uint64(1 << 32), np.uint64(16)
-_NODES = 2048
+#: Nodes of a number's three nibbles, numbers of a block's ids, and slots in which the writer finds them.
+_NODES, _NUMBERS, _PLACES = 1 + 16 + 256, 4096, 8192
 #: What a nibble adds to the running sums of its node's weights, and the sums of nodes without any.
 _ADDED = np.array([[_STEP * (k >= n) for k in range(16)] for n in range(16)], np.uint16)
 _FIRST = np.arange(1, 17, dtype=np.uint16)
@@ -75,16 +77,17 @@ class _Chance:
 
 
 class _Model:
-    """What all lanes have learned: candidates of orders 1 and 2 with confidences, chances, and running sums of nibbles' weights."""
+    """What all lanes have learned: candidates of orders 1 and 2 with confidences, chances, the blocks' ids and running sums of nibbles' weights."""
 
-    def __init__(self, lanes: int, nibbles: int):
-        self.nibbles = nibbles
+    def __init__(self, lanes: int):
         self.lane = np.arange(lanes, dtype=np.int64)
         self.last = np.zeros((2, lanes), np.uint32)
         self.next = [np.zeros(lanes * SLOTS, np.uint32) for _ in range(2)]
         self.sure = [np.zeros(lanes * SLOTS, np.uint8) for _ in range(2)]
         self.two, self.one = _Chance(lanes), _Chance(lanes)
-        self.spelled = np.zeros((lanes * (1 + 16 + 256 + _NODES), 16), np.uint16)
+        self.sums = np.zeros((lanes * _NODES, 16), np.uint16)
+        self.ids, self.n = np.zeros(lanes * _NUMBERS, np.uint32), np.zeros(lanes, np.int64)
+        self.places = None
 
     def predict(self, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """The candidates (id + 1, 0 for none) and chances of order 2 and order 1, for the first ``k`` lanes."""
@@ -117,18 +120,27 @@ class _Model:
         self.last[1, :k] = self.last[0, :k]
         self.last[0, :k] = ids
 
-    def node(self, lanes: np.ndarray, level: int, prefix: np.ndarray) -> np.ndarray:
-        """Row of the weights of the nibble that follows ``prefix``; long prefixes share rows by hash."""
-        first = (0, 1, 17)[level] if level < 3 else 273
-        if level >= 3:
-            prefix = (prefix * np.uint32(0x9E3779B1)) >> np.uint32(21)
-        return lanes * (273 + _NODES) + first + prefix
+    def numbers(self, lanes: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """Number of each lane's id, 0 for one that is new or not found; the writer alone looks, so its table may forget."""
+        if self.places is None:
+            self.places = np.zeros(len(self.n) * _PLACES, np.uint16)
+        self.place = lanes * _PLACES + ((ids * np.uint32(0x9E3779B1)) >> np.uint32(19))
+        found = self.places[self.place].astype(np.int64)
+        return np.where((self.ids[lanes * _NUMBERS + found] == ids) & (found > 0), found, 0)
+
+    def enter(self, lanes: np.ndarray, ids: np.ndarray, place: np.ndarray | None = None) -> None:
+        """New ids get the next numbers."""
+        number = self.n[lanes] + 1
+        self.n[lanes] = number
+        self.ids[lanes * _NUMBERS + number] = ids
+        if place is not None:
+            self.places[place] = number
 
     def add(self, rows: np.ndarray, sums: np.ndarray, nibble: np.ndarray) -> None:
         sums += _ADDED[nibble]
         if (full := np.flatnonzero(sums[:, 15] > _FULL)).size:
             sums[full] >>= 1
-        self.spelled[rows] = sums
+        self.sums[rows] = sums
 
 
 class _Coder:
@@ -138,42 +150,56 @@ class _Coder:
         self.low = np.zeros(lanes, np.uint64)
         self.range = np.full(lanes, 2**64 - 1, np.uint64)
 
-    def narrow(self, at: slice | np.ndarray, low: np.ndarray, size: np.ndarray, unit: np.ndarray) -> None:
-        """The range becomes its part [low, low + size), of parts that are ``unit`` long each."""
-        lows, ranges = self.low[at] + low.astype(np.uint64) * unit, size.astype(np.uint64) * unit
-        lanes = np.arange(at.stop) if isinstance(at, slice) else at
-        self.low[at], self.range[at] = lows, ranges
+    def narrow(self, part: _Part, low: np.ndarray, size: np.ndarray, unit: np.ndarray) -> None:
+        """The part's ranges become their stretches [low, low + size), counted in ``unit``."""
+        part.low += low.astype(np.uint64) * unit
+        part.range = size.astype(np.uint64) * unit
+        lanes, lows, ranges, at = part.lanes, part.low, part.range, None
         while True:
             settled = (lows ^ (lows + ranges)) < _TOP
-            short = ranges < _BOTTOM
-            go = np.flatnonzero(settled | short)
+            go = np.flatnonzero(settled | (ranges < _BOTTOM))
             if not go.size:
                 return
+            at = go if at is None else at[go]
             lanes, lows, ranges = lanes[go], lows[go], np.where(settled[go], ranges[go], (~lows[go] + np.uint64(1)) & (_BOTTOM - np.uint64(1)))
-            self.shift(lanes, lows)
+            self.shift(part, at, lanes, lows)
             lows, ranges = lows << _WORD, ranges << _WORD
-            self.low[lanes], self.range[lanes] = lows, ranges
+            part.low[at], part.range[at] = lows, ranges
+
+    def part(self, lanes: np.ndarray) -> _Part:
+        return _Part(lanes, self.low[lanes], self.range[lanes])
 
-    def shift(self, lanes: np.ndarray, lows: np.ndarray) -> None:
+    def done(self, part: _Part) -> None:
+        self.low[part.lanes], self.range[part.lanes] = part.low, part.range
+
+    def shift(self, part: _Part, at: np.ndarray, lanes: np.ndarray, lows: np.ndarray) -> None:
         raise NotImplementedError
 
 
+class _Part:
+    """Some lanes' ranges while they are coded, and for a reader their values."""
+
+    def __init__(self, lanes: np.ndarray, low: np.ndarray, size: np.ndarray, value: np.ndarray | None = None):
+        self.lanes, self.low, self.range, self.value = lanes, low, size, value
+
+
 class _Writer(_Coder):
     def __init__(self, lanes: int, most: int):
         super().__init__(lanes)
         self.out, self.used = np.empty((lanes, most), "<u2"), np.zeros(lanes, np.int64)
 
-    def shift(self, lanes, lows):
-        self.out[lanes, self.used[lanes]] = lows >> np.uint64(48)
-        self.used[lanes] += 1
+    def shift(self, part, at, lanes, lows):
+        used = self.used[lanes]
+        self.out[lanes, used] = lows >> np.uint64(48)
+        self.used[lanes] = used + 1
 
-    def code(self, at, low, size, total) -> None:
-        self.narrow(at, low, size, self.range[at] // total)
+    def code(self, part: _Part, low, size, total) -> None:
+        self.narrow(part, low, size, part.range // total)
 
     def payloads(self) -> list[bytes]:
         lanes = np.arange(len(self.low))
         for _ in range(4):
-            self.shift(lanes, self.low)
+            self.shift(None, None, lanes, self.low)
             self.low <<= _WORD
         return [row[:n].tobytes() for row, n in zip(self.out, self.used.tolist(), strict=True)]
 
@@ -184,25 +210,26 @@ class _Reader(_Coder):
         self.words = np.zeros((len(payloads), max(map(len, payloads)) // 2 + 8), "<u2")
         for row, payload in zip(self.words, payloads, strict=True):
             row[: len(payload) // 2] = np.frombuffer(payload, "<u2")
-        self.value, self.used = np.zeros(len(payloads), np.uint64), np.zeros(len(payloads), np.int64)
-        for _ in range(4):
-            self.shift(np.arange(len(payloads)), None)
+        self.value, self.used = np.zeros(len(payloads), np.uint64), np.full(len(payloads), 4, np.int64)
+        for k in range(4):
+            self.value = (self.value << _WORD) | self.words[:, k]
 
-    def shift(self, lanes, lows):
-        used = np.minimum(self.used[lanes], self.words.shape[1] - 1)
-        self.value[lanes] = (self.value[lanes] << _WORD) | self.words[lanes, used]
-        self.used[lanes] += 1
+    def part(self, lanes: np.ndarray) -> _Part:
+        return _Part(lanes, self.low[lanes], self.range[lanes], self.value[lanes])
 
-    def place(self, at, total) -> tuple[np.ndarray, np.ndarray]:
-        """Where in 0 to ``total`` each lane's value lies, and how long a unit is."""
-        unit = self.range[at] // total
-        spot = (self.value[at] - self.low[at]) // unit
-        return np.minimum(spot, np.uint64(total) - np.uint64(1) if np.isscalar(total) else total - np.uint64(1)).astype(np.int64), unit
+    def done(self, part: _Part) -> None:
+        super().done(part)
+        self.value[part.lanes] = part.value
 
+    def shift(self, part, at, lanes, lows):
+        used = self.used[lanes]
+        part.value[at] = (part.value[at] << _WORD) | self.words[lanes, np.minimum(used, self.words.shape[1] - 1)]
+        self.used[lanes] = used + 1
 
-def nibbles_of(most: int) -> int:
-    """Nibbles that spell ids up to ``most``."""
-    return max(4, (int(most).bit_length() + 3) // 4)
+    def place(self, part: _Part, total) -> tuple[np.ndarray, np.ndarray]:
+        """Where in 0 to ``total`` each lane's value lies, and how long a unit is."""
+        unit = part.range // total
+        return np.minimum((part.value - part.low) // unit, total - np.uint64(1)).astype(np.int64), unit
 
 
 def bounds_of(sums: np.ndarray, nibble: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -212,8 +239,13 @@ def bounds_of(sums: np.ndarray, nibble: np.ndarray) -> tuple[np.ndarray, np.ndar
     return start, flat[at] + nibble + 1
 
 
-def encode_blocks(ids: np.ndarray, nibbles: int, block: int = BLOCK) -> list[bytes]:
-    """Payloads of the ids, ``block`` in each but the last; at most LANES blocks at once stay small in memory."""
+def _halves(wide: bool) -> tuple[np.uint32, ...]:
+    """Shifts of the 16-bit halves that a new id is written in."""
+    return (np.uint32(16), np.uint32(0)) if wide else (np.uint32(0),)
+
+
+def encode_blocks(ids: np.ndarray, wide: bool, block: int = BLOCK) -> list[bytes]:
+    """Payloads of the ids, ``block`` (under 4,096) in each but the last; ids of over 16 bits must be ``wide``."""
     ids = np.ascontiguousarray(ids, np.uint32)
     if not len(ids):
         return []
@@ -222,61 +254,85 @@ def encode_blocks(ids: np.ndarray, nibbles: int, block: int = BLOCK) -> list[byt
     padded[: len(ids)] = ids
     steps = np.ascontiguousarray(padded.reshape(lanes, block).T)
     last = len(ids) - (lanes - 1) * block
-    model, coder = _Model(lanes, nibbles), _Writer(lanes, (nibbles + 2) * min(block, len(ids)) + 8)
+    model, coder = _Model(lanes), _Writer(lanes, (5 + wide) * min(block, len(ids)) + 8)
     for t in range(min(block, len(ids))):
         k = lanes if t < last else lanes - 1
         now = steps[t, :k]
         two, one, p_two, p_one = model.predict(k)
         came = now + np.uint32(1)
         kind = np.where(two == came, 0, np.where((one == came) & (p_one > 0), 1, 2))
-        low = np.where(kind == 0, 0, np.where(kind == 1, p_two, p_two + p_one))
-        size = np.where(kind == 0, p_two, np.where(kind == 1, p_one, _ONE - p_two - p_one))
-        coder.code(slice(0, k), low, size, np.uint64(_ONE))
+        part = coder.part(model.lane[:k])
+        coder.code(part, *_stretch(kind, p_two, p_one), np.uint64(_ONE))
+        coder.done(part)
         if (some := np.flatnonzero(kind == 2)).size:
-            value, prefix = now[some], np.zeros(len(some), np.uint32)
-            for level in range(nibbles):
-                rows = model.node(some, level, prefix)
-                nibble = ((value >> np.uint32(4 * (nibbles - 1 - level))) & np.uint32(15)).astype(np.int64)
-                sums = model.spelled[rows]
+            value = now[some]
+            number, prefix, part = model.numbers(some, value), np.zeros(len(some), np.int64), coder.part(some)
+            for level, first in enumerate((0, 1, 17)):
+                rows = some * _NODES + first + prefix
+                nibble = (number >> (8 - 4 * level)) & 15
+                sums = model.sums[rows]
                 start, end = bounds_of(sums, nibble)
-                coder.code(some, start, end - start, (sums[:, 15] + np.uint16(16)).astype(np.uint64))
+                coder.code(part, start, end - start, (sums[:, 15] + np.uint16(16)).astype(np.uint64))
                 model.add(rows, sums, nibble)
-                prefix = (prefix << np.uint32(4)) | nibble.astype(np.uint32)
+                prefix = (prefix << 4) | nibble
+            coder.done(part)
+            if (new := np.flatnonzero(number == 0)).size:
+                part, fresh = coder.part(some[new]), value[new]
+                for shift in _halves(wide):
+                    coder.code(part, (fresh >> shift) & np.uint32(0xFFFF), np.ones(len(new), np.uint64), np.uint64(_ONE))
+                coder.done(part)
+                model.enter(some[new], fresh, model.place[new])
         model.learn(now, kind)
     return coder.payloads()
 
 
-def decode_blocks(payloads: list[bytes], counts: list[int], nibbles: int) -> list[np.ndarray]:
+def _stretch(kind: np.ndarray, p_two: np.ndarray, p_one: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and length of each lane's kind: order 2 first, then order 1, then the rest."""
+    low = np.where(kind == 0, 0, np.where(kind == 1, p_two, p_two + p_one))
+    return low, np.where(kind == 0, p_two, np.where(kind == 1, p_one, _ONE - p_two - p_one))
+
+
+def decode_blocks(payloads: list[bytes], counts: list[int], wide: bool) -> list[np.ndarray]:
     """The ids of each payload, ``counts`` of them, as uint32."""
     order = sorted(range(len(counts)), key=lambda i: -counts[i])
     sizes = np.array([counts[i] for i in order], np.int64)
     if not len(sizes) or not sizes[0]:
         return [np.zeros(0, np.uint32) for _ in counts]
     lanes, out = len(sizes), np.zeros((int(sizes[0]), len(sizes)), np.uint32)
-    model, coder = _Model(lanes, nibbles), _Reader([payloads[i] for i in order])
+    model, coder = _Model(lanes), _Reader([payloads[i] for i in order])
     for t in range(int(sizes[0])):
         k = int(np.searchsorted(-sizes, -t))
         two, one, p_two, p_one = model.predict(k)
-        all_lanes = slice(0, k)
-        spot, unit = coder.place(all_lanes, np.uint64(_ONE))
+        part = coder.part(model.lane[:k])
+        spot, unit = coder.place(part, np.uint64(_ONE))
         kind = np.where(spot < p_two, 0, np.where(spot < p_two + p_one, 1, 2))
-        low = np.where(kind == 0, 0, np.where(kind == 1, p_two, p_two + p_one))
-        size = np.where(kind == 0, p_two, np.where(kind == 1, p_one, _ONE - p_two - p_one))
-        coder.narrow(all_lanes, low, size, unit)
+        coder.narrow(part, *_stretch(kind, p_two, p_one), unit)
+        coder.done(part)
         now = np.where(kind == 0, two, one) - np.uint32(1)
         if (some := np.flatnonzero(kind == 2)).size:
-            prefix = np.zeros(len(some), np.uint32)
-            for level in range(nibbles):
-                rows = model.node(some, level, prefix)
-                sums = model.spelled[rows]
-                spot, unit = coder.place(some, (sums[:, 15] + np.uint16(16)).astype(np.uint64))
+            number, part = np.zeros(len(some), np.int64), coder.part(some)
+            for first in (0, 1, 17):
+                rows = some * _NODES + first + number
+                sums = model.sums[rows]
+                spot, unit = coder.place(part, (sums[:, 15] + np.uint16(16)).astype(np.uint64))
                 below = (sums + _FIRST <= spot.astype(np.uint16)[:, None]).view(np.uint64) * _SUM_BYTES >> np.uint64(56)
-                nibble = (below[:, 0] + below[:, 1]).astype(np.int64)
+                nibble = np.minimum((below[:, 0] + below[:, 1]).astype(np.int64), 15)
                 start, end = bounds_of(sums, nibble)
-                coder.narrow(some, start, end - start, unit)
+                coder.narrow(part, start, end - start, unit)
                 model.add(rows, sums, nibble)
-                prefix = (prefix << np.uint32(4)) | nibble.astype(np.uint32)
-            now[some] = prefix
+                number = (number << 4) | nibble
+            coder.done(part)
+            value = model.ids[some * _NUMBERS + number]
+            if (new := np.flatnonzero(number == 0)).size:
+                part, fresh = coder.part(some[new]), np.zeros(len(new), np.uint32)
+                for shift in _halves(wide):
+                    spot, unit = coder.place(part, np.uint64(_ONE))
+                    coder.narrow(part, spot, np.ones(len(new), np.uint64), unit)
+                    fresh |= spot.astype(np.uint32) << shift
+                coder.done(part)
+                model.enter(some[new], fresh)
+                value[new] = fresh
+            now[some] = value
         model.learn(now, kind)
         out[t, :k] = now
     found = [np.zeros(0, np.uint32)] * lanes
