@@ -170,11 +170,11 @@ def _change(value: str, frame: WindowSpec) -> Column:
 def percentile_rank(df: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFrame:
     """Share of a series' 51 percentiles (0, 2 .. 100) that a value reaches; 0 for NULL.
 
-    Compared at nine decimals, below which interpolated percentiles are not exact.
+    Values within half of the ninth decimal count as equal, as interpolated percentiles are not exact below it.
     """
     bins = F.percentile(value, F.array(*(F.lit(p / 100) for p in range(0, 101, 2)))).over(Window.partitionBy(*keys))
     df = df.withColumn("__bins", bins)
-    rank = F.size(F.filter("__bins", lambda b: F.round(b, 9) <= F.round(value, 9))) / F.lit(51.0)
+    rank = F.size(F.filter("__bins", lambda b: b <= F.col(value) + 5e-10)) / F.lit(51.0)
     return df.withColumn(out, F.when(F.col(value).isNull(), F.lit(0.0)).otherwise(rank)).drop("__bins")
 
 

@@ -76,8 +76,11 @@ def grid_assign(spark, sf_dir):
 def grid_match(spark, sf_dir):
     """Each supplier's description in the image of its number; images have 1 to 6 boxes in a row."""
     columns = lambda image: F.get(F.array(*map(F.lit, _ROW_SIZES)), (image % len(_ROW_SIZES)).cast("int"))
-    cells = G.grid_coordinates(_boxes(spark, sf_dir, columns), ["image"], "idx").select("image", "idx", "row", "col")
-    wanted = _described(spark, sf_dir).select("s_suppkey", F.col("s_suppkey").alias("image"), T.position(F.col("descriptor")).alias("p"))
+    cells = P.cut(G.grid_coordinates(_boxes(spark, sf_dir, columns), ["image"], "idx").select("image", "idx", "row", "col"))
+    described = _described(spark, sf_dir)
+    # The grammar is a long expression: each distinct text is parsed once.
+    parsed = P.cut(described.select("descriptor").distinct().withColumn("p", T.position(F.col("descriptor"))))
+    wanted = described.join(parsed, "descriptor").select("s_suppkey", F.col("s_suppkey").alias("image"), "p")
     return G.resolve_positions(cells, wanted, ["image"], "idx").select("s_suppkey", F.col("chamber").alias("idx"))
 
 
