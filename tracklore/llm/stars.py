@@ -82,7 +82,8 @@ def groups(members: DataFrame, details: Details, near: MayLink, may_link: MayLin
     more = F.struct(*known.columns)
     firsts, seconds = (side.join(known.select(F.col("id").alias(f"{v}_id"), more.alias(f"{v}_more")), F.col(f"{v}.id") == F.col(f"{v}_id")) for side, v in ((firsts, "x"), (seconds, "y")))
     linked = firsts.join(seconds, [firsts[c] == seconds[c] for c in at] + [apart & near("x_more", "y_more")])
-    return _joined(found, cut(_ordered(linked)))
+    # Components are what is joined, so their pairs are enough, and few.
+    return _joined(found, cut(linked.select(F.col("part").alias("a"), F.col("other").alias("b")).distinct()))
 
 
 def _with_partner(some: DataFrame, others: DataFrame, at: list[str], apart: Column) -> DataFrame:
@@ -95,6 +96,3 @@ def _joined(found: DataFrame, more: DataFrame) -> DataFrame:
     so_far = found.select(F.col("component").alias("a"), F.col("node").alias("b"))
     return components(so_far.unionByName(more.select("a", "b"))) if more.head(1) else found
 
-
-def _ordered(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
