@@ -108,8 +108,12 @@ _FITTED = f"""bl AS (SELECT lb.*, min(lb.x) OVER w - 1 AS x0, min(lb.y) OVER w -
 rim AS (SELECT *, (x - x0)::DOUBLE AS u, (y - y0)::DOUBLE AS v FROM bl WHERE (SELECT count(*) FROM lb o WHERE o.image = bl.image AND o.part = bl.part AND abs(o.x - bl.x) + abs(o.y - bl.y) = 1) < 4),
 {_elimination(5)},
 cc AS (SELECT *, (m15 * m45 - 2 * m25 * m35) / (4 * m05 * m25 - m15 * m15) AS cu, (m15 * m35 - 2 * m05 * m45) / (4 * m05 * m25 - m15 * m15) AS cv FROM e5),
-ck AS (SELECT image, part, cu + x0 AS cx, cv + y0 AS cy, 1 - (m35 * cu + m45 * cv) / 2 AS k, m05 / k AS p, m15 / k AS q, m25 / k AS r, (p + r) / 2 AS mid, sqrt(pow((p - r) / 2, 2) + pow(q / 2, 2)) AS root FROM cc),
-fe AS (SELECT image, part, cx, cy, 1 / sqrt(mid - root) AS a, 1 / sqrt(mid + root) AS b, fmod(atan2(q, p - r) / 2 + {_TAU / 4} + {_TAU / 2}, {_TAU / 2}) AS t FROM ck),
+ck AS (SELECT image, part, n, cu + x0 AS fx, cv + y0 AS fy, 1 - (m35 * cu + m45 * cv) / 2 AS k, m05 / k AS p, m15 / k AS q, m25 / k AS r, (p + r) / 2 AS mid, sqrt(pow((p - r) / 2, 2) + pow(q / 2, 2)) AS root FROM cc),
+mo AS (SELECT image, part, avg(x) AS mx, avg(y) AS my, var_pop(x) AS xx, var_pop(y) AS yy, covar_pop(x, y) AS xy FROM bl GROUP BY 1, 2),
+mk0 AS (SELECT *, coalesce(n >= 5 AND mid - root > 0, FALSE) AS ok, (xx + yy) / 2 AS mm, sqrt(pow((xx - yy) / 2, 2) + pow(xy, 2)) AS mr FROM ck JOIN mo USING (image, part)),
+fe AS (SELECT image, part, CASE WHEN ok THEN fx ELSE mx END AS cx, CASE WHEN ok THEN fy ELSE my END AS cy, CASE WHEN ok THEN 1 / sqrt(greatest(mid - root, 1e-300)) ELSE 2 * sqrt(mm + mr) END AS a,
+CASE WHEN ok THEN 1 / sqrt(greatest(mid + root, 1e-300)) ELSE 2 * sqrt(greatest(mm - mr, 0)) END AS b,
+CASE WHEN ok THEN fmod(atan2(q, p - r) / 2 + {3 * _TAU / 4}, {_TAU / 2}) ELSE fmod(atan2(2 * xy, xx - yy) / 2 + {_TAU / 2}, {_TAU / 2}) END AS t FROM mk0),
 hw AS (SELECT image, part, coalesce(sum(255 - gray) FILTER ((px.x - cx) * cos(t) + (px.y - cy) * sin(t) > 0), 0) AS head, coalesce(sum(255 - gray) FILTER ((px.x - cx) * cos(t) + (px.y - cy) * sin(t) < 0), 0) AS tail
 FROM (SELECT *, greatest(floor(3 * a), 20) AS half FROM fe) f JOIN px USING (image) WHERE px.x >= floor(cx - half) AND px.x < floor(cx + half) AND px.y >= floor(cy - half) AND px.y < floor(cy + half) GROUP BY ALL),
 fh AS (SELECT fe.*, area, CASE WHEN tail > head THEN t + {_TAU / 2} ELSE t END AS theta FROM fe JOIN hw USING (image, part) JOIN ar USING (image, part))"""
