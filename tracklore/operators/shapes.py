@@ -73,15 +73,15 @@ def fitted_ellipses(pixels: DataFrame, keys: Sequence[str]) -> DataFrame:
     axes = scaled.select(*keys, "__n", "__fx", "__fy", (mid - root).alias("__least"), (mid + root).alias("__most"), turn.alias("__ft"))
     both = ellipse(pixels, keys).join(axes, list(keys), "left")
     good = (F.col("__n") >= 5) & (F.col("__least") > 0) & (F.col("__most") < float("inf")) & F.col("__fx").isNotNull()
-    fits = {"cx": F.col("__fx"), "cy": F.col("__fy"), "a": 1 / F.sqrt("__least"), "b": 1 / F.sqrt("__most"), "theta": F.col("__ft")}
+    fits = {"cx": F.col("__fx"), "cy": F.col("__fy"), "a": F.try_divide(F.lit(1.0), F.sqrt("__least")), "b": F.try_divide(F.lit(1.0), F.sqrt("__most")), "theta": F.col("__ft")}
     return both.select(*keys, *(F.when(F.coalesce(good, F.lit(False)), fit).otherwise(F.col(c)).alias(c) for c, fit in fits.items()))
 
 
 def inside(x: Column, y: Column) -> Column:
-    """Whether (x, y) lies in the filled ellipse (cx, cy, a, b, theta) beside it."""
+    """Whether (x, y) lies in the filled ellipse (cx, cy, a, b, theta) beside it; one without width holds all."""
     dx, dy = x - F.col("cx"), y - F.col("cy")
     along, across = dx * F.cos("theta") + dy * F.sin("theta"), dy * F.cos("theta") - dx * F.sin("theta")
-    return F.pow(along / F.col("a"), 2) + F.pow(across / F.col("b"), 2) <= 1
+    return F.coalesce(F.pow(F.try_divide(along, F.col("a")), 2) + F.pow(F.try_divide(across, F.col("b")), 2) <= 1, F.lit(True))
 
 
 def headings(bodies: DataFrame, pixels: DataFrame, keys: Sequence[str], blob: str = "blob", cell: int = 64) -> DataFrame:
