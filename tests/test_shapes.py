@@ -87,7 +87,7 @@ def test_ellipses_heads_and_wings(spark):
         ahead = sum((155 + 100 - g) * np.sign((x - r.cx) * math.cos(before) + (y - r.cy) * math.sin(before)) for v, y, x, g in gray if v == k)
         assert abs((r.theta - before) % (2 * math.pi) - (math.pi if ahead < 0 else 0)) < 1e-9
     areas = P.contour_area(pixels, ["v", "blob"]).withColumnRenamed("contour_area", "area")
-    known = spark.createDataFrame([(k, 0, cx, cy, a + 0.5, b + 0.5, t) for k, (cx, cy, a, b, t) in planted.items()], "v int, blob int, cx double, cy double, a double, b double, theta double")
+    known = spark.createDataFrame([(k, 0, float(cx), float(cy), a + 0.5, b + 0.5, t) for k, (cx, cy, a, b, t) in planted.items()], "v int, blob int, cx double, cy double, a double, b double, theta double")
     wings = {r.v: r.wing_angle for r in H.wing_angles(known.join(areas, ["v", "blob"]), pixels, ["v"]).collect()}
     assert all((abs(wings[k] - math.pi / 2) < 0.35) if k % 3 == 0 else wings[k] == 0 for k in planted)
     flat = {r.v: r.wing_angle for r in H.wing_angles(headed.join(areas, ["v", "blob"]).where("v >= 20"), pixels, ["v"]).collect()}
