@@ -163,7 +163,7 @@ def pack(
                 ids, counts = ids_of(block)
                 at = 0
                 for key, n in zip(keys[start:stop], counts.tolist(), strict=True):
-                    packer.add(Piece(key, 0, n + 1, np.append(ids[at : at + n], end_id)))
+                    packer.add(Piece(key, 0, n + 1, np.append(ids[at : at + n], np.int32(end_id))))
                     at += n
                 yield from ready()
         packer.finish()

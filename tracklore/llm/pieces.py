@@ -25,6 +25,8 @@ _BLANK[0x1C:0x20] = True
 _HEAD = np.uint64(0x9E3779B97F4A7C15)
 #: Pieces of more bytes are encoded where they occur and not kept.
 LONG = 256
+#: Pieces that a library encodes in one call: its encodings take some hundred bytes each until they are read.
+CALL = 4096
 
 
 def safe_cuts(block: Block) -> tuple[np.ndarray, np.ndarray]:
@@ -51,7 +53,7 @@ class PieceEncoder:
     pieces of a block at once; each hit counts only if its bytes are those of the piece kept there.
     """
 
-    def __init__(self, encode: Callable[[list[str], list[bool]], Iterable[list[int]]], most: int = 1_500_000, budget: int = 64 << 20):
+    def __init__(self, encode: Callable[[list[str], list[bool]], Iterable[list[int]]], most: int = 1_000_000, budget: int = 64 << 20):
         self._encode, self._most, self._budget = encode, most, budget
         self._slots = 1 << (2 * most).bit_length()
         self._clear()
@@ -98,14 +100,22 @@ class PieceEncoder:
             go[done] = False
             marks, rows, at = marks[go], rows[go], (at[go] + 1) & (self._slots - 1)
 
+    def _encoded(self, keys: list[bytes], begins: list[bool]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the pieces in order, and the number of ids of each."""
+        flat, size = [np.zeros(0, np.int32)], np.zeros(len(keys), np.int64)
+        for at in range(0, len(keys), CALL):
+            some = slice(at, at + CALL)
+            got = list(self._encode([k.decode("utf-8", "replace") for k in keys[some]], begins[some]))
+            flat.append(np.fromiter(chain.from_iterable(got), np.int32))
+            size[some] = [len(ids) for ids in got]
+        return np.concatenate(flat), size
+
     def _learn(self, keys: list[bytes], begins: list[bool], lasting: bool = True) -> None:
         """New rows at the table's end; bytes are kept of lasting ones only."""
-        got = list(self._encode([k.decode("utf-8", "replace") for k in keys], begins))
-        flat = np.fromiter(chain.from_iterable(got), np.int32)
-        size = np.fromiter(map(len, got), np.int64, len(got))
+        flat, size = self._encoded(keys, begins)
         while self._used + len(flat) > len(self._flat):
             self._flat = np.concatenate([self._flat, np.zeros_like(self._flat)])
-        while self._rows + len(got) > len(self._size):
+        while self._rows + len(size) > len(self._size):
             for name in ("_size", "_from", "_byte_from", "_byte_size"):
                 x = getattr(self, name)
                 setattr(self, name, np.concatenate([x, np.zeros_like(x)]))
@@ -114,7 +124,7 @@ class PieceEncoder:
             self._bytes = np.concatenate([self._bytes, np.zeros_like(self._bytes)])
         self._bytes[self._byte_used : self._byte_used + len(raw)] = raw
         self._flat[self._used : self._used + len(flat)] = flat
-        at = slice(self._rows, self._rows + len(got))
+        at = slice(self._rows, self._rows + len(size))
         self._size[at] = size
         self._from[at] = self._used + np.cumsum(size) - size
         n_bytes = np.fromiter(map(len, keys), np.int64, len(keys)) if lasting else np.zeros(len(keys), np.int64)
@@ -122,7 +132,7 @@ class PieceEncoder:
         self._byte_from[at] = self._byte_used + np.cumsum(n_bytes) - n_bytes
         self._byte_used += len(raw)
         self._used += len(flat)
-        self._rows += len(got)
+        self._rows += len(size)
 
     def _pieces(self, block: Block) -> tuple[np.ndarray, np.ndarray]:
         """Table row of each piece in order, and where each piece starts in the block."""
