@@ -14,6 +14,8 @@ Details = Callable[[DataFrame], DataFrame]
 MayLink = Callable[[str, str], Column]
 #: Members of a bucket that are compared in one task with as many others.
 CHUNK = 512
+#: Times that buckets whose members are apart are compared with one more of their members.
+PIVOTS = 2
 
 
 def in_shared_buckets(items: DataFrame) -> DataFrame:
@@ -33,7 +35,9 @@ def groups(members: DataFrame, details: Details, near: MayLink, may_link: MayLin
     which ``near(x, y)`` tells whether two do link.
     A bucket's centre is the member whose buckets are the fullest, the likeliest original of a
     group of copies. First each item is paired with the fullest of its buckets' centres, then
-    with those of the others that it is not connected to yet. Then, in buckets whose
+    with those of the others that it is not connected to yet. Then, PIVOTS times, buckets whose
+    members are still in different components compare them with one more member, so that members
+    that link among themselves join before all pairs are looked at. Then, in buckets whose
     members are still in different components, all pairs across components are tested: those that
     have a partner by traits are found first, one row each, and only they get their details and
     are tested where they meet, so that no pair is written but those that link. Buckets meet in
@@ -65,10 +69,18 @@ def groups(members: DataFrame, details: Details, near: MayLink, may_link: MayLin
     if apart.head(1):
         found = _joined(found, cut(confirm(apart)))
 
-    placed = members.join(found.withColumnRenamed("node", "id"), "id", "left")
-    placed = cut(placed.select("key", "id", *traits, F.coalesce("component", "id").alias("part")))
-    mixed = placed.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count("*").alias("n")).where("low < high")
-    left = placed.join(mixed.select("key", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks")), "key")
+    for turn in range(PIVOTS):
+        some = _apart(members, found, traits)
+        by = F.xxhash64("id", F.lit(turn))
+        pivot = some.groupBy("key").agg(F.min(F.struct(by.alias("by"), "part", F.struct("id", *traits).alias("y"))).alias("p"))
+        met = some.select("key", "part", x).join(pivot.select("key", F.col("p.part").alias("other"), "p.y"), "key")
+        met = met.where((F.col("part") != F.col("other")) & may_link("x", "y"))
+        ends = F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")
+        met = cut(met.select(*ends).distinct())
+        if not met.head(1):
+            break
+        found = _joined(found, cut(confirm(met)))
+    left = _apart(members, found, traits)
     left = left.withColumn("at", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
     each, item = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)), F.struct("id", *traits)
     one = left.select("key", F.col("at").alias("i"), each.alias("j"), "part", item.alias("x"))
@@ -86,6 +98,14 @@ def groups(members: DataFrame, details: Details, near: MayLink, may_link: MayLin
     return _joined(found, cut(linked.select(F.col("part").alias("a"), F.col("other").alias("b")).distinct()))
 
 
+def _apart(members: DataFrame, found: DataFrame, traits: list[str]) -> DataFrame:
+    """Members (key, id, traits, ``part``) of buckets that hold different components, and the bucket's ``chunks``."""
+    placed = members.join(found.withColumnRenamed("node", "id"), "id", "left")
+    placed = cut(placed.select("key", "id", *traits, F.coalesce("component", "id").alias("part")))
+    mixed = placed.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count("*").alias("n")).where("low < high")
+    return placed.join(mixed.select("key", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks")), "key")
+
+
 def _with_partner(some: DataFrame, others: DataFrame, at: list[str], apart: Column) -> DataFrame:
     """Rows of ``some`` that meet one of ``others`` from which they are apart and that they may link to."""
     return some.join(others, [some[c] == others[c] for c in at] + [apart], "left_semi")
