@@ -27,6 +27,8 @@ _HEAD = np.uint64(0x9E3779B97F4A7C15)
 LONG = 256
 #: Pieces that a library encodes in one call: its encodings take some hundred bytes each until they are read.
 CALL = 4096
+#: Pieces that a tokenizers library takes as the words of one text, which are encoded each by itself and put together.
+TOGETHER = 256
 
 
 def safe_cuts(block: Block) -> tuple[np.ndarray, np.ndarray]:
@@ -47,13 +49,15 @@ def safe_cuts(block: Block) -> tuple[np.ndarray, np.ndarray]:
 class PieceEncoder:
     """Ids of pieces from ``encode(pieces, begins)``, remembered for a bounded number of distinct short pieces.
 
+    ``encode`` gives a list for each piece, or one array of all ids and the number of each piece's.
+
     The table starts anew once it holds ``most`` pieces, or ``budget`` bytes of pieces and ids; a
     piece of over LONG bytes (a text without a safe boundary) lasts for its block only, so memory
     is bounded whatever the script. Pieces are looked up by a 64-bit hash, in an open-addressing table that numpy probes for all
     pieces of a block at once; each hit counts only if its bytes are those of the piece kept there.
     """
 
-    def __init__(self, encode: Callable[[list[str], list[bool]], Iterable[list[int]]], most: int = 1_000_000, budget: int = 64 << 20):
+    def __init__(self, encode: Callable[[list[str], list[bool]], Iterable[list[int]] | tuple[np.ndarray, np.ndarray]], most: int = 1_000_000, budget: int = 64 << 20):
         self._encode, self._most, self._budget = encode, most, budget
         self._slots = 1 << (2 * most).bit_length()
         self._clear()
@@ -105,9 +109,9 @@ class PieceEncoder:
         flat, size = [np.zeros(0, np.int32)], np.zeros(len(keys), np.int64)
         for at in range(0, len(keys), CALL):
             some = slice(at, at + CALL)
-            got = list(self._encode([k.decode("utf-8", "replace") for k in keys[some]], begins[some]))
-            flat.append(np.fromiter(chain.from_iterable(got), np.int32))
-            size[some] = [len(ids) for ids in got]
+            got = self._encode([k.decode("utf-8", "replace") for k in keys[some]], begins[some])
+            ids, size[some] = got if isinstance(got, tuple) else _end_to_end(got)
+            flat.append(ids)
         return np.concatenate(flat), size
 
     def _learn(self, keys: list[bytes], begins: list[bool], lasting: bool = True) -> None:
@@ -188,6 +192,12 @@ class PieceEncoder:
         return flat, np.diff(total[np.searchsorted(cut, block.bounds)])
 
 
+def _end_to_end(lists: Iterable[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """All ids in order, and the number of ids of each list."""
+    lists = list(lists)
+    return np.fromiter(chain.from_iterable(lists), np.int32), np.fromiter(map(len, lists), np.int64, len(lists))
+
+
 def sentencepiece_encoder(path: str) -> PieceEncoder:
     import sentencepiece
 
@@ -213,10 +223,33 @@ def tokenizers_encoder(model) -> PieceEncoder:
     plain = Tokenizer.from_str(model.to_str())
     plain.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
 
-    def encode(pieces: list[str], _: list[bool]) -> list[list[int]]:
-        word = [(p[1:] if p[:1] == " " else p).isalpha() for p in pieces]
-        short = iter(plain.encode_batch_fast([p for p, w in zip(pieces, word, strict=True) if w], add_special_tokens=False))
-        rest = iter(model.encode_batch_fast([p for p, w in zip(pieces, word, strict=True) if not w], add_special_tokens=False))
-        return [next(short if w else rest).ids for w in word]
+    n_bytes = np.zeros(model.get_vocab_size(), np.int64)
+    for token, i in model.get_vocab(with_added_tokens=False).items():
+        n_bytes[i] = len(token)  # a character for each byte
+    for i, token in model.get_added_tokens_decoder().items():
+        n_bytes[i] = len(token.content.encode())
+
+    def encoded(by, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Pieces are words of a few texts; their ids are told apart by where their bytes end."""
+        texts = [pieces[at : at + TOGETHER] for at in range(0, len(pieces), TOGETHER)]
+        found = by.encode_batch_fast(texts, is_pretokenized=True, add_special_tokens=False)
+        flat = np.fromiter(chain.from_iterable(e.ids for e in found), np.int32)
+        last, ends = np.cumsum(n_bytes[flat]), np.cumsum(np.fromiter((len(p.encode()) for p in pieces), np.int64, len(pieces)))
+        upto = np.searchsorted(last, ends, side="right")
+        if n_bytes[flat].all() and np.array_equal(np.append(0, last)[upto], ends) and upto[-1:].sum() == len(flat):
+            return flat, np.diff(upto, prepend=0)
+        # Some bytes have no token, or tokens of other bytes.
+        return _end_to_end([e.ids for e in by.encode_batch_fast(pieces, add_special_tokens=False)])
+
+    def encode(pieces: list[str], _: list[bool]) -> tuple[np.ndarray, np.ndarray]:
+        word = np.fromiter(((p[1:] if p[:1] == " " else p).isalpha() for p in pieces), bool, len(pieces))
+        order = np.argsort(~word, kind="stable")
+        n_words, listed = int(word.sum()), [pieces[i] for i in order.tolist()]
+        (short, short_size), (rest, rest_size) = encoded(plain, listed[:n_words]), encoded(model, listed[n_words:])
+        flat, size = np.concatenate([short, rest]), np.concatenate([short_size, rest_size])
+        start, back = np.cumsum(size) - size, np.argsort(order)
+        size, start = size[back], start[back]
+        total = np.cumsum(size)
+        return flat[np.repeat(start - total + size, size) + np.arange(len(flat))], size
 
     return PieceEncoder(encode)
