@@ -17,7 +17,7 @@ from tracklore.llm.linededup import dedup_lines
 from tracklore.llm.minhash import near_duplicates
 from tracklore.llm.packing import pack
 from tracklore.llm.quality import fit, score
-from tracklore.llm.runtime import cut, unused
+from tracklore.llm.runtime import cut, release, unused
 from tracklore.llm.secrets import find_secrets, redact
 
 #: Documents with a lower chance of good quality go.
@@ -108,4 +108,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         docs = stage(spark, docs, sf_dir)
         if number < len(STAGES) - 1:
             docs = cut(docs)
+            release(spark)
     return docs
