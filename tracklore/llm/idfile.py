@@ -32,7 +32,7 @@ from .runtime import prepare
 from .textblocks import blocks
 from .tokencount import encoder
 
-_MAGIC, _MANIFEST = b"IDRC0001", "_manifest.json"
+_MAGIC, _MANIFEST = b"IDRC0002", "_manifest.json"
 #: Blocks, whether ids have over 16 bits, bytes of the documents' table and their CRC-32, and the CRC-32 of these and the blocks' entries.
 _GROUP = struct.Struct("<IIIII")
 #: Ids, bytes and CRC-32 of a block.
