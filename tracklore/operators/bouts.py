@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -62,9 +63,12 @@ def to_frames(bouts: DataFrame) -> DataFrame:
     return bouts.withColumn("frame", F.explode(F.sequence("start", "end")))
 
 
-def seconds_to_frames(start_s: Column, end_s: Column, n_frames: Column, fps: float) -> tuple[Column, Column]:
-    """First frame and last of a span in seconds: floor(start * fps), ceil(end * fps) exclusive, within the video."""
-    first = F.greatest(F.floor(start_s * fps), F.lit(0))
+def seconds_to_frames(start_s: Column, end_s: Column, n_frames: Column, fps: float | Decimal) -> tuple[Column, Column]:
+    """First frame and last of a span in seconds: floor(start * fps), ceil(end * fps) exclusive, within the video.
+
+    Seconds and ``fps`` that are decimals are multiplied exactly.
+    """
+    first = F.greatest(F.floor(start_s * fps).cast("long"), F.lit(0))
     return first, F.least(F.ceil(end_s * fps), n_frames) - 1
 
 

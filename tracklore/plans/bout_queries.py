@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -126,8 +128,9 @@ def frame_labels(spark, sf_dir):
     """Frames of spans in seconds, at 2.5 frames a second, clipped to the series."""
     s = series(spark, sf_dir)
     n = s.groupBy("user_id").agg(F.count("*").alias("n"))
-    spans = s.where("value > 60").select("user_id", (F.col("frame") * 0.37).alias("a"), (F.col("frame") * 0.37 + F.col("value") / 100).alias("b"))
-    first, last = B.seconds_to_frames(F.col("a"), F.col("b"), F.col("n"), 2.5)
+    a = F.col("frame").cast("decimal(19,0)") * Decimal("0.37")  # SQL's literals are decimals: exact until the value, a double, joins
+    spans = s.where("value > 60").select("user_id", a.alias("a"), (a.cast("double") + F.col("value") / 100).alias("b"))
+    first, last = B.seconds_to_frames(F.col("a"), F.col("b"), F.col("n"), Decimal("2.5"))
     cut_spans = spans.join(n, "user_id").select("user_id", first.alias("start"), last.alias("end")).where("start <= end")
     return B.to_frames(B.merged(cut_spans, KEY, 1)).select("user_id", "frame")
 
