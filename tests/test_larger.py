@@ -1,6 +1,7 @@
 """Queries at sizes and on rows where they once failed or differed from their SQL."""
 
 import duckdb
+import pytest
 
 from tracklore.plans import catalog
 
@@ -18,3 +19,13 @@ def test_frame_labels_at_whole_frames(spark, tmp_path):
     rows.write.parquet(f"{tmp_path}/events.parquet")
     got = catalog.queries()["frame_labels"](spark, str(tmp_path)).collect()
     assert sorted((r.user_id, r.frame) for r in got) == in_duckdb("frame_labels", tmp_path, "events")
+
+
+@pytest.mark.parametrize("name", ["adaptive_foreground", "warm_foreground"])
+def test_exploded_rows_are_not_broadcast(spark, name):
+    """Spark takes rows for as few bytes as what they were exploded from, whatever they are made into."""
+    spark.conf.set("spark.sql.maxBroadcastTableSize", "1")
+    try:
+        assert catalog.queries()[name](spark, "/root/testdata/sf0.001").count() > 0
+    finally:
+        spark.conf.unset("spark.sql.maxBroadcastTableSize")

@@ -20,11 +20,16 @@ def otsu(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     whole, so_far = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy("v").rowsBetween(*SO_FAR)
     n, s = F.sum("n").over(whole), F.sum(F.col("v") * F.col("n")).over(whole)
     n0, s0 = F.sum("n").over(so_far), F.sum(F.col("v") * F.col("n")).over(so_far)
-    parts = counts.withColumns({"n1": n - n0, "n0": n0, "m0": s0 / n0, "m1": F.try_divide(s - s0, n - n0)})
-    between = F.coalesce(F.col("n0") * F.col("n1") * F.pow(F.col("m0") - F.col("m1"), 2), F.lit(0.0))
+    parts = counts.withColumns({"n0": n0, "s0": s0, "all": n, "sum": s})
+    between = between_classes(*(F.col(c) for c in ("n0", "s0", "all", "sum")))
     return parts.groupBy(*keys).agg(F.max_by("v", F.struct(between, -F.col("v"))).alias("threshold"))
 
 
+def between_classes(n0: Column, s0: Column, n: Column, s: Column) -> Column:
+    """The variance between the n0 values of sum s0 and the others of all n of sum s; 0 without others."""
+    return F.coalesce(n0 * (n - n0) * F.pow(s0 / n0 - F.try_divide(s - s0, n - n0), 2), F.lit(0.0))
+
+
 def background(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Upper median over time of each pixel (keys), of frames sampled before.
 
@@ -36,16 +41,22 @@ def background(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     return counts.groupBy(*keys).agg(F.min(F.when(F.col("so_far") > F.floor(F.col("all") / 2), F.col("v"))).alias("background"))
 
 
-def ellipse(df: DataFrame, keys: Sequence[str], x: str = "x", y: str = "y") -> DataFrame:
-    """Centre, half-axes (twice the deviations), heading in [0, pi) and area of each blob, from second moments."""
-    m = df.groupBy(*keys).agg(
-        F.avg(x).alias("cx"), F.avg(y).alias("cy"), F.var_pop(x).alias("xx"), F.var_pop(y).alias("yy"), F.covar_pop(x, y).alias("xy"), F.count("*").alias("area")
-    )
+def moments(x: str = "x", y: str = "y") -> list[Column]:
+    """Aggregates of which ``of_moments`` makes an ellipse."""
+    return [F.avg(x).alias("cx"), F.avg(y).alias("cy"), F.var_pop(x).alias("xx"), F.var_pop(y).alias("yy"), F.covar_pop(x, y).alias("xy")]
+
+
+def of_moments() -> dict[str, Column]:
+    """Half-axes (twice the deviations) and heading in [0, pi)."""
     mid, root = (F.col("xx") + F.col("yy")) / 2, F.sqrt(F.pow((F.col("xx") - F.col("yy")) / 2, 2) + F.pow(F.col("xy"), 2))
-    return m.select(
-        *keys, "cx", "cy", (2 * F.sqrt(mid + root)).alias("a"), (2 * F.sqrt(F.greatest(mid - root, F.lit(0.0)))).alias("b"),
-        F.pmod(F.atan2(2 * F.col("xy"), F.col("xx") - F.col("yy")) / 2, F.lit(PI)).alias("theta"), "area",
-    )
+    turn = F.pmod(F.atan2(2 * F.col("xy"), F.col("xx") - F.col("yy")) / 2, F.lit(PI))
+    return {"a": 2 * F.sqrt(mid + root), "b": 2 * F.sqrt(F.greatest(mid - root, F.lit(0.0))), "theta": turn}
+
+
+def ellipse(df: DataFrame, keys: Sequence[str], x: str = "x", y: str = "y") -> DataFrame:
+    """Centre, half-axes, heading in [0, pi) and area of each blob, from second moments."""
+    found = df.groupBy(*keys).agg(*moments(x, y), F.count("*").alias("area"))
+    return found.select(*keys, "cx", "cy", *(c.alias(n) for n, c in of_moments().items()), "area")
 
 
 def largest(df: DataFrame, keys: Sequence[str], area: str, n: int = 2) -> DataFrame:

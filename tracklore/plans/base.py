@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.series import with_frames
@@ -14,6 +14,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: Column, each: int) -> DataFrame:
+    """``df`` dealt by ``key`` to tasks of a million of the rows that will be made of it, ``each`` of one; as many tasks as cores at least.
+
+    What follows works on the rows of a key together, and moves none of the many rows again.
+    """
+    n = max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() * each // 1_000_000))
+    return df.repartition(n, key)
+
+
 def series(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``events`` as one series for each user, frames in order of time."""
     events = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value")
