@@ -3,15 +3,14 @@
 from __future__ import annotations
 
 import gc
-import os
 import tempfile
 import uuid
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.lineage import cut_fitted as cut_fitted
 from ..operators.lineage import fitted as fitted
+from ..operators.lineage import found_by_workers
 
 #: Rows and bytes of one Arrow batch: a Python worker holds a few such batches at most.
 BATCH_ROWS = 2048
@@ -30,10 +29,7 @@ def prepare(spark: SparkSession) -> SparkSession:
     spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
     context = spark.sparkContext
     context._jsc.sc().conf().set("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
-    if context.master.startswith("local["):
-        # Workers on this machine find the package wherever the driver was started; a cluster installs it.
-        paths = [str(Path(__file__).parents[2]), *filter(None, context.environment.get("PYTHONPATH", "").split(os.pathsep))]
-        context.environment["PYTHONPATH"] = os.pathsep.join(dict.fromkeys(paths))
+    found_by_workers(spark)
     if spark.conf.get("spark.checkpoint.dir", None) is None and context.getCheckpointDir() is None:
         if not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")

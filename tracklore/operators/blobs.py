@@ -6,11 +6,14 @@ Images are sets of pixels on an unbounded plane, of which nothing outside is for
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import partial
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, DoubleType, IntegerType
 
 from .bouts import overlaps
+from .frames import by_image, contours, labelled
 from .grid import plausible_blob
 from .lineage import cut
 from .links import components
@@ -88,8 +91,11 @@ def blob_runs(mask: DataFrame, keys: Sequence[str]) -> DataFrame:
     """(keys, blob, y, s, e): the runs of each blob, of pixels that touch by sides or corners.
 
     Rows of an image become runs first; runs of neighbouring rows that touch are linked, and
-    components of links are blobs, numbered by the first of their pixels from top to bottom.
+    components of links are blobs, numbered by the first of their pixels from top to bottom. Of
+    many images (``keys``), each is the work of one task; a single one is linked by all tasks.
     """
+    if keys:
+        return by_image(mask, keys, ["y", "x"], _made(mask, "blob y s e"), labelled)
     runs = _runs(mask, keys)
     parts = components(_touching(runs, keys, 1))
     known = runs.join(parts.withColumnRenamed("node", "id"), "id", "left").withColumn("part", F.coalesce("component", "id"))
@@ -98,6 +104,12 @@ def blob_runs(mask: DataFrame, keys: Sequence[str]) -> DataFrame:
     return known.withColumn("__first", first).withColumn("blob", number).select(*keys, "blob", "y", "s", "e")
 
 
+def _made(mask: DataFrame, names: str) -> dict[str, DataType]:
+    """The types of runs' columns."""
+    places = {"y": mask.schema["y"].dataType, "s": mask.schema["x"].dataType, "e": mask.schema["x"].dataType}
+    return {n: (places | {"blob": IntegerType(), "contour_area": DoubleType()})[n] for n in names.split()}
+
+
 def blob_pixels(mask: DataFrame, keys: Sequence[str]) -> DataFrame:
     """(keys, blob, y, x) of each pixel of the mask."""
     return blob_runs(mask, keys).select(*keys, "blob", "y", F.explode(F.sequence("s", "e")).alias("x"))
@@ -135,17 +147,21 @@ def contour_area(pixels: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def outer_contours(mask: DataFrame, keys: Sequence[str], least: float = 0.0) -> DataFrame:
-    """(keys, blob, y, x, contour_area) of the pixels of filled blobs whose contour area is over ``least``."""
+    """(keys, blob, y, x, contour_area) of the pixels of filled blobs whose contour area is over ``least``; of many images, each is one task's work."""
+    if keys:
+        runs = by_image(mask, keys, ["y", "x"], _made(mask, "blob y s e contour_area"), partial(contours, least=least))
+        return runs.repartition(*keys).select(*keys, "blob", "y", F.explode(F.sequence("s", "e")).alias("x"), "contour_area")
     pixels = cut(blob_pixels(filled(mask, keys), keys))
     areas = contour_area(pixels, [*keys, "blob"]).where(F.col("contour_area") > least)
     return pixels.join(areas, [*keys, "blob"])
 
 
-def border(pixels: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """The pixels (keys, y, x) with a side to a pixel that is not theirs."""
-    around = F.array(*(F.struct((F.col("y") + dy).alias("y"), (F.col("x") + dx).alias("x"), F.lit(own).alias("own")) for dy, dx, own in ((0, 0, 1), (0, 1, 0), (1, 0, 0), (0, -1, 0), (-1, 0, 0))))
-    near = pixels.select(*keys, F.explode(around).alias("p")).select(*keys, "p.*").groupBy(*keys, "y", "x")
-    return near.agg(F.count("*").alias("n"), F.max("own").alias("own")).where("own = 1 and n < 5").select(*keys, "y", "x")
+def bordered(pixels: DataFrame, keys: Sequence[str], name: str = "rim") -> DataFrame:
+    """``pixels`` of each blob (in ``keys``) with whether they have a side to a pixel that is not the blob's."""
+    row, column = Window.partitionBy(*keys, "y").orderBy("x"), Window.partitionBy(*keys, "x").orderBy("y")
+    beside = [f(c).over(w) == F.col(c) + d for c, w in (("x", row), ("y", column)) for f, d in ((F.lag, -1), (F.lead, 1))]
+    within = beside[0] & beside[1] & beside[2] & beside[3]
+    return pixels.withColumn(name, ~F.coalesce(within, F.lit(False)))
 
 
 def blobs(mask: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -11,6 +13,14 @@ from pyspark.sql import DataFrame, SparkSession
 TASK_ROWS = 32_768
 
 
+def found_by_workers(spark: SparkSession) -> None:
+    """Workers on this machine find the package wherever the driver was started; a cluster installs it."""
+    context = spark.sparkContext
+    if context.master.startswith("local["):
+        paths = [str(Path(__file__).parents[2]), *filter(None, context.environment.get("PYTHONPATH", "").split(os.pathsep))]
+        context.environment["PYTHONPATH"] = os.pathsep.join(dict.fromkeys(paths))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` computed once, kept in the folder of spark.checkpoint.dir (one of its own where that is unset)."""
     _shared(df.sparkSession)

@@ -2,18 +2,20 @@
 
 Blobs are rows of pixels (keys, blob, y, x), their ellipses rows of (keys, blob, cx, cy, a, b, theta)
 with half axes a >= b and the heading theta of the longer one.
+
+Joins are merges by hint: Spark takes rows for as few bytes as what they were exploded from, and would broadcast all pixels.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import PI, TAU
-from .blobs import blob_pixels, border
-from .image import ellipse
+from .blobs import blob_pixels, bordered
+from .image import moments, of_moments
 
 #: A wing's least and greatest share of the blob's area, its furthest place in long axes.
 WING_AREA, WING_REACH = (0.05, 0.5), 2.0
@@ -52,26 +54,27 @@ def fitted_ellipses(pixels: DataFrame, keys: Sequence[str]) -> DataFrame:
     equations, which are solved in each row. Blobs of under five border pixels, and those whose
     conic is no ellipse, take the ellipse of their second moments.
     """
-    corner = pixels.groupBy(*keys).agg((F.min("x") - 1).alias("__x0"), (F.min("y") - 1).alias("__y0"))
-    rim = border(pixels, keys).join(corner, list(keys))
+    each = Window.partitionBy(*keys)
+    placed = bordered(pixels, keys, "__rim").withColumns({f"__{c}0": F.min(c).over(each) - 1 for c in "xy"})
     u, v = (F.col("x") - F.col("__x0")).cast("double"), (F.col("y") - F.col("__y0")).cast("double")
     power = lambda i, j: F.pow(u, F.lit(i)) * F.pow(v, F.lit(j))
     terms = [(2, 0), (1, 1), (0, 2), (1, 0), (0, 1)]
     wanted = sorted({(i + k, j + m) for i, j in terms for k, m in terms} | set(terms))
-    sums = rim.groupBy(*keys, "__x0", "__y0").agg(F.count("*").alias("__n"), *(F.sum(power(i, j)).alias(f"__s{i}{j}") for i, j in wanted))
+    on_rim = [F.count_if("__rim").alias("__n"), *(F.sum(F.when(F.col("__rim"), power(i, j))).alias(f"__s{i}{j}") for i, j in wanted)]
+    sums = placed.groupBy(*keys, "__x0", "__y0").agg(*on_rim, *moments())
     rows = F.array(*(F.array(*(F.col(f"__s{i + k}{j + m}") for k, m in terms), F.col(f"__s{i}{j}")) for i, j in terms))
-    conic = sums.select(*keys, "__x0", "__y0", "__n", solved(rows, 5).alias("__c"))
+    own = {"cx": F.col("cx"), "cy": F.col("cy")} | of_moments()
+    conic = sums.select(*keys, *(c.alias(n) for n, c in own.items()), "__x0", "__y0", "__n", solved(rows, 5).alias("__c"))
     p, q, r, d, e = (F.get("__c", F.lit(k)) for k in range(5))
     det = 4 * p * r - q * q
     names = dict(zip(("__p", "__q", "__r", "__d", "__e"), (p, q, r, d, e), strict=True))
     centre = {"__u": F.try_divide(q * e - 2 * r * d, det), "__v": F.try_divide(q * d - 2 * p * e, det)}
-    centred = conic.select(*keys, "__n", "__x0", "__y0", *(c.alias(n) for n, c in (names | centre).items()))
+    centred = conic.select(*keys, *own, "__n", "__x0", "__y0", *(c.alias(n) for n, c in (names | centre).items()))
     level = 1 - (F.col("__d") * F.col("__u") + F.col("__e") * F.col("__v")) / 2
-    scaled = centred.select(*keys, "__n", (F.col("__u") + F.col("__x0")).alias("__fx"), (F.col("__v") + F.col("__y0")).alias("__fy"), *(F.try_divide(F.col(c), level).alias(c) for c in ("__p", "__q", "__r")))
+    scaled = centred.select(*keys, *own, "__n", (F.col("__u") + F.col("__x0")).alias("__fx"), (F.col("__v") + F.col("__y0")).alias("__fy"), *(F.try_divide(F.col(c), level).alias(c) for c in ("__p", "__q", "__r")))
     p, q, r = (F.col(c) for c in ("__p", "__q", "__r"))
     mid, root, turn = (p + r) / 2, F.sqrt(F.pow((p - r) / 2, 2) + F.pow(q / 2, 2)), F.pmod(F.atan2(q, p - r) / 2 + PI / 2, F.lit(PI))
-    axes = scaled.select(*keys, "__n", "__fx", "__fy", (mid - root).alias("__least"), (mid + root).alias("__most"), turn.alias("__ft"))
-    both = ellipse(pixels, keys).join(axes, list(keys), "left")
+    both = scaled.select(*keys, *own, "__n", "__fx", "__fy", (mid - root).alias("__least"), (mid + root).alias("__most"), turn.alias("__ft"))
     good = (F.col("__n") >= 5) & (F.col("__least") > 0) & (F.col("__most") < float("inf")) & F.col("__fx").isNotNull()
     fits = {"cx": F.col("__fx"), "cy": F.col("__fy"), "a": F.try_divide(F.lit(1.0), F.sqrt("__least")), "b": F.try_divide(F.lit(1.0), F.sqrt("__most")), "theta": F.col("__ft")}
     return both.select(*keys, *(F.when(F.coalesce(good, F.lit(False)), fit).otherwise(F.col(c)).alias(c) for c, fit in fits.items()))
@@ -96,12 +99,12 @@ def headings(bodies: DataFrame, pixels: DataFrame, keys: Sequence[str], blob: st
     for c in "yx":
         windows = windows.withColumn(f"__c{c}", F.explode(F.sequence(F.floor(F.col(f"__{c}0") / cell), F.floor(F.greatest(f"__{c}1", f"__{c}0") / cell))))
     dots = pixels.select(*keys, "y", "x", "gray", F.floor(F.col("y") / cell).alias("__cy"), F.floor(F.col("x") / cell).alias("__cx"))
-    met = windows.join(dots, [*keys, "__cy", "__cx"]).where("x between __x0 and __x1 and y between __y0 and __y1")
+    met = windows.join(dots.hint("merge"), [*keys, "__cy", "__cx"]).where("x between __x0 and __x1 and y between __y0 and __y1")
     ahead = (F.col("x") - F.col("cx")) * F.cos("theta") + (F.col("y") - F.col("cy")) * F.sin("theta")
     dark = (255 - F.col("gray")).cast("double")
     sums = met.groupBy(*keys, blob).agg(F.sum(F.when(ahead > 0, dark)).alias("__head"), F.sum(F.when(ahead < 0, dark)).alias("__tail"))
     turned = F.coalesce("__tail", F.lit(0.0)) > F.coalesce("__head", F.lit(0.0))
-    out = bodies.join(sums, [*keys, blob], "left")
+    out = bodies.join(sums.hint("merge"), [*keys, blob], "left")
     return out.withColumn("theta", F.pmod(F.col("theta") + F.when(turned, PI).otherwise(0.0), F.lit(TAU))).select(*bodies.columns)
 
 
@@ -113,14 +116,14 @@ def wing_angles(bodies: DataFrame, pixels: DataFrame, keys: Sequence[str], area:
     """
     body = bodies.withColumnRenamed(blob, "__body")
     own = pixels.select(*keys, F.col(blob).alias("__body"), "y", "x")
-    rest = own.join(body.select(*keys, "__body", "cx", "cy", "a", "b", "theta"), [*keys, "__body"]).where(~inside(F.col("x"), F.col("y")))
+    rest = own.hint("merge").join(body.select(*keys, "__body", "cx", "cy", "a", "b", "theta"), [*keys, "__body"]).where(~inside(F.col("x"), F.col("y")))
     parts = blob_pixels(rest.select(*keys, "__body", "y", "x"), [*keys, "__body"])
     parts = parts.groupBy(*keys, "__body", "blob").agg(F.count("*").alias("__n"), F.avg("x").alias("__x"), F.avg("y").alias("__y"))
     dx, dy = F.col("__x") - F.col("cx"), F.col("__y") - F.col("cy")
-    near = parts.join(body, [*keys, "__body"]).withColumn("__d", F.sqrt(dx * dx + dy * dy))
+    near = parts.hint("merge").join(body, [*keys, "__body"]).withColumn("__d", F.sqrt(dx * dx + dy * dy))
     near = near.where((F.col("__n") > WING_AREA[0] * F.col(area)) & (F.col("__n") < WING_AREA[1] * F.col(area)) & (F.col("__d") < WING_REACH * 2 * F.col("a")))
     along = F.greatest(F.least(F.try_divide(dx * F.cos("theta") + dy * F.sin("theta"), F.col("__d")), F.lit(1.0)), F.lit(-1.0))
     angle = F.when(F.col("__d") > 1e-6, F.acos(along)).otherwise(0.0)
     found = near.groupBy(*keys, "__body").agg(F.max_by(angle, F.struct("__n", -F.col("blob"))).alias("wing_angle"))
-    out = bodies.join(found.withColumnRenamed("__body", blob), [*keys, blob], "left")
+    out = bodies.join(found.withColumnRenamed("__body", blob).hint("merge"), [*keys, blob], "left")
     return out.withColumn("wing_angle", F.coalesce("wing_angle", F.lit(0.0))).select(*bodies.columns, "wing_angle")

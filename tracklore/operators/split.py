@@ -1,4 +1,7 @@
-"""Blobs that hold two bodies, taken apart; bodies that were lost, found again around their last places."""
+"""Blobs that hold two bodies, taken apart; bodies that were lost, found again around their last places.
+
+Joins are merges by hint: Spark takes rows for as few bytes as what they were exploded from, and would broadcast all pixels.
+"""
 
 from __future__ import annotations
 
@@ -7,7 +10,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .blobs import _moved, blob_pixels, contour_area, kernel, outer_contours
+from .blobs import blob_pixels, contour_area, outer_contours
+from .frames import NO_LABEL, by_image, flood
 from .lineage import cut
 
 #: Squares of the share of the greatest distance that a middle exceeds, in hundredths.
@@ -44,17 +48,13 @@ def squared_distances(pixels: DataFrame, keys: Sequence[str]) -> DataFrame:
 def flooded(pixels: DataFrame, seeds: DataFrame, keys: Sequence[str], label: str = "label") -> DataFrame:
     """(keys, y, x, label): labels of ``seeds`` spread to all pixels that sides or corners join to them, the nearer in steps first.
 
-    One round a step, over all blobs at once: only pixels that the last round labelled reach
-    further. Of labels that arrive together the smallest stays.
+    Of labels that arrive together the smallest stays. Each image (``keys``) is the work of one task.
     """
     place = [*keys, "y", "x"]
-    edge = cut(seeds.select(*place, label))
-    done = edge
-    while edge.head(1):
-        near = _moved(edge, [*keys, label], kernel(3)).join(pixels.select(*place), place).join(done.select(*place), place, "left_anti")
-        edge = cut(near.groupBy(*place).agg(F.min(label).alias(label)))
-        done = done.unionByName(edge)
-    return done
+    either = pixels.select(*place, F.lit(NO_LABEL).alias("__l")).unionByName(seeds.select(*place, F.col(label).cast("long").alias("__l")))
+    known = either.repartition(*keys).groupBy(*place).agg(F.min("__l").alias("__l"))
+    made = {"y": pixels.schema["y"].dataType, "x": pixels.schema["x"].dataType, label: seeds.schema[label].dataType}
+    return by_image(known, keys, ["y", "x", "__l"], made, flood)
 
 
 def split_blobs(pixels: DataFrame, keys: Sequence[str], least: float = 0.0, blob: str = "blob") -> DataFrame:
@@ -74,13 +74,13 @@ def split_blobs(pixels: DataFrame, keys: Sequence[str], least: float = 0.0, blob
     seeds = cut(several)
     tried = seeds.select(*inner).distinct()
     mine = pixels.select(*keys, F.col(blob).alias("__whole"), "y", "x")
-    parts = cut(flooded(mine.join(tried, inner, "left_semi"), seeds, inner))
+    parts = cut(flooded(mine.join(tried.hint("merge"), inner, "left_semi"), seeds, inner))
     areas = contour_area(parts, [*inner, "label"]).where(F.col("contour_area") > least)
     order = F.row_number().over(Window.partitionBy(*inner).orderBy(F.desc("contour_area"), "label"))
     kept = areas.withColumn("__o", order).where("__o <= 2").withColumn("__n", F.count("*").over(Window.partitionBy(*inner))).where("__n = 2")
     kept = cut(kept.select(*inner, "label", (F.col("__o") - 1).alias("part")))
-    two = parts.join(kept, [*inner, "label"]).select(*inner, "part", "y", "x")
-    one = mine.join(kept.select(*inner).distinct(), inner, "left_anti").select(*inner, F.lit(0).alias("part"), "y", "x")
+    two = parts.join(kept.hint("merge"), [*inner, "label"]).select(*inner, "part", "y", "x")
+    one = mine.join(kept.select(*inner).distinct().hint("merge"), inner, "left_anti").select(*inner, F.lit(0).alias("part"), "y", "x")
     return two.unionByName(one).withColumnRenamed("__whole", blob)
 
 
@@ -108,13 +108,13 @@ def found_again(places: DataFrame, pixels: DataFrame, keys: Sequence[str], fly:
     if known is not None:
         wide = places.withColumns({f"__{c}{k}": F.floor(F.col(f"p{c}") + d * reach) for c in "yx" for k, d in ((0, -1), (1, 1))})
         wide = _in_cells(wide, {c: f"__{c}0" for c in "yx"}, {c: f"__{c}1" for c in "yx"}, cell)
-        near = wide.join(known.select(*keys, "y", "x").withColumns(at), join)
+        near = wide.join(known.select(*keys, "y", "x").withColumns(at).hint("merge"), join)
         near = near.where(F.hypot(F.col("x") - F.col("px"), F.col("y") - F.col("py")) < reach).select(*keys, fly).distinct()
-        windows = windows.join(near, [*keys, fly], "left_anti")
-    met = windows.join(pixels.withColumns(at), join).where("x between __x0 and __x1 and y between __y0 and __y1")
+        windows = windows.join(near.hint("merge"), [*keys, fly], "left_anti")
+    met = windows.join(pixels.withColumns(at).hint("merge"), join).where("x between __x0 and __x1 and y between __y0 and __y1")
     top = F.max("diff").over(Window.partitionBy(*keys, fly))
     faint = (top > _FAINT) & (F.col("diff") > F.greatest(F.lit(_FAINT), F.floor(top * _SHARE)))
     mask = met.select(*keys, fly, "y", "x", "on", "diff").withColumn("__m", F.col("on") | faint).where("__m")
     shapes = cut(outer_contours(mask.select(*keys, fly, "y", "x"), [*keys, fly], least))
     best = shapes.groupBy(*keys, fly).agg(F.max_by("blob", F.struct("contour_area", -F.col("blob"))).alias("blob"))
-    return shapes.join(best, [*keys, fly, "blob"]).select(*keys, fly, "y", "x", "contour_area")
+    return shapes.join(best.hint("merge"), [*keys, fly, "blob"]).select(*keys, fly, "y", "x", "contour_area")
