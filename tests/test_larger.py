@@ -35,6 +35,14 @@ def test_exploded_rows_are_not_broadcast(spark, name):
         spark.conf.unset("spark.sql.maxBroadcastTableSize")
 
 
+def test_lost_bodies_keep_their_holes(spark, tmp_path):
+    """Parts of sf0.1 whose masks have a hole, which the SQL leaves."""
+    parts = spark.read.parquet("/root/testdata/sf0.1/part.parquet").where("p_partkey div 2 in (356, 1500, 1501)")
+    parts.write.parquet(f"{tmp_path}/part.parquet")
+    got = catalog.queries()["bodies_found_again"](spark, str(tmp_path)).collect()
+    assert sorted((r.image, r.fly, r.n, r.area, r.x, r.y) for r in got) == in_duckdb("bodies_found_again", tmp_path, "part")
+
+
 def noise(seed, n, shape=(13, 17)):
     rng = np.random.default_rng(seed)
     return {k: rng.random(shape) < rng.choice([0.3, 0.55, 0.7, 0.85]) for k in range(n)}

@@ -146,12 +146,15 @@ def contour_area(pixels: DataFrame, keys: Sequence[str]) -> DataFrame:
     return corners.groupBy(*keys).agg(F.sum(F.when(F.col("n") == 4, 1.0).when(F.col("n") == 3, 0.5).otherwise(0.0)).alias("contour_area"))
 
 
-def outer_contours(mask: DataFrame, keys: Sequence[str], least: float = 0.0) -> DataFrame:
-    """(keys, blob, y, x, contour_area) of the pixels of filled blobs whose contour area is over ``least``; of many images, each is one task's work."""
+def outer_contours(mask: DataFrame, keys: Sequence[str], least: float = 0.0, fill: bool = True) -> DataFrame:
+    """(keys, blob, y, x, contour_area) of the pixels of filled blobs whose contour area is over ``least``.
+
+    Without ``fill`` holes stay, and their squares do not count. Of many images, each is one task's work.
+    """
     if keys:
-        runs = by_image(mask, keys, ["y", "x"], _made(mask, "blob y s e contour_area"), partial(contours, least=least))
+        runs = by_image(mask, keys, ["y", "x"], _made(mask, "blob y s e contour_area"), partial(contours, least=least, fill=fill))
         return runs.repartition(*keys).select(*keys, "blob", "y", F.explode(F.sequence("s", "e")).alias("x"), "contour_area")
-    pixels = cut(blob_pixels(filled(mask, keys), keys))
+    pixels = cut(blob_pixels(filled(mask, keys) if fill else mask, keys))
     areas = contour_area(pixels, [*keys, "blob"]).where(F.col("contour_area") > least)
     return pixels.join(areas, [*keys, "blob"])
 

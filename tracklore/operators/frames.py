@@ -135,13 +135,15 @@ def without_holes(image, y, s, e):
     return image[starts], y[starts], s[starts], e[np.append(starts[1:], len(s)) - 1]
 
 
-def contours(image, y, x, least):
-    """The runs of filled blobs whose contour area is over ``least``, with their blobs' numbers and areas.
+def contours(image, y, x, least, fill=True):
+    """The runs of blobs, with ``fill`` filled ones, whose contour area is over ``least``, with their blobs' numbers and areas.
 
     Two runs of neighbouring rows have a whole square between each two columns that they share,
     and half of one where one run goes on at an end of the other.
     """
-    image, y, s, e = without_holes(*row_runs(image, y, x))
+    image, y, s, e = row_runs(image, y, x)
+    if fill:
+        image, y, s, e = without_holes(image, y, s, e)
     a, b = touching(image, y, s, e, 1)
     label = least_reached(len(y), a, b)
     halves = sum(((s[p] <= e[q]) & (e[q] < e[p])).astype(np.int64) + ((s[p] < s[q]) & (s[q] <= e[p])) for p, q in ((a, b), (b, a)))

@@ -90,14 +90,15 @@ def _in_cells(df: DataFrame, low: dict[str, str], high: dict[str, str], cell: in
     return df
 
 
-def found_again(places: DataFrame, pixels: DataFrame, keys: Sequence[str], fly: str, reach: int, least: float, known: DataFrame | None = None, cell: int = 64) -> DataFrame:
+def found_again(places: DataFrame, pixels: DataFrame, keys: Sequence[str], fly: str, reach: int, least: float, known: DataFrame | None = None, cell: int = 64, fill: bool = True) -> DataFrame:
     """(keys, fly, y, x, contour_area): pixels of the largest blob around the last place (px, py) of each lost body.
 
     ``pixels`` (keys, y, x, diff, on) hold each pixel's difference from the background, where
     there is any, and whether it is foreground. In the square of ``reach`` around a place a pixel
     counts if it is foreground, or if it differs by over 0.3 of the region's greatest difference
     (and over 5, as that must); blobs of a contour area over ``least`` count. Places within
-    ``reach`` of a pixel of ``known`` are not lost. Places and pixels meet in cells of the image.
+    ``reach`` of a pixel of ``known`` are not lost. Without ``fill`` holes stay.
+    Places and pixels meet in cells of the image.
     """
     windows = places
     for c in "yx":
@@ -115,6 +116,6 @@ def found_again(places: DataFrame, pixels: DataFrame, keys: Sequence[str], fly:
     top = F.max("diff").over(Window.partitionBy(*keys, fly))
     faint = (top > _FAINT) & (F.col("diff") > F.greatest(F.lit(_FAINT), F.floor(top * _SHARE)))
     mask = met.select(*keys, fly, "y", "x", "on", "diff").withColumn("__m", F.col("on") | faint).where("__m")
-    shapes = cut(outer_contours(mask.select(*keys, fly, "y", "x"), [*keys, fly], least))
+    shapes = cut(outer_contours(mask.select(*keys, fly, "y", "x"), [*keys, fly], least, fill))
     best = shapes.groupBy(*keys, fly).agg(F.max_by("blob", F.struct("contour_area", -F.col("blob"))).alias("blob"))
     return shapes.join(best.hint("merge"), [*keys, fly, "blob"]).select(*keys, fly, "y", "x", "contour_area")
